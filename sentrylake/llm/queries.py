@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, fingerprints, quality_classifier, quality_rules, token_counts
+from ._shared import in_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(4, 2)
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), training=~held_out)
+    out = docs.select("doc_id", held_out.alias("held_out"), quality_classifier.score_column(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,7 +38,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_fingerprints, op6_token_counts, op7_byte_bpe)}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {}
