@@ -88,9 +88,10 @@ def base_failed(stats: str = "") -> Column:
 
 
 def group_keys(levels: tuple[str, ...] = ("lang", "source")) -> list[Column]:
-    """A document's groups, narrowest first; a null name is a group of its own."""
+    """A document's groups, narrowest first; a null name is a group of its own. The last one's key is made from a
+    column, so that its join stays one by key."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in levels)
-    return [F.concat(F.lit("2\x01"), lang, F.lit("\x01"), source), F.concat(F.lit("1\x01"), lang), F.lit("0")]
+    return [F.concat(F.lit("2\x01"), lang, F.lit("\x01"), source), F.concat(F.lit("1\x01"), lang), F.concat(F.substring(lang, 1, 0), F.lit("0"))]
 
 
 def chi_square_cdf(x: float, k: int) -> float:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, lm_scoring, packing, quality_classifier, quality_rules, token_counts, warc
+from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, token_counts, warc
 from ._shared import in_fold
 
 
@@ -46,13 +46,32 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), in_fold(7, 2))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op4_fingerprints, op5_warc, op6_token_counts, op7_byte_bpe, op9_lm_scoring)
+    for f in (
+        op1_quality_rules,
+        op2_quality_classifier,
+        op3_packing,
+        op4_fingerprints,
+        op5_warc,
+        op6_token_counts,
+        op7_byte_bpe,
+        op8_jaccard_join,
+        op9_lm_scoring,
+        op10_line_dedup,
+    )
 }
 
 #: SQL for the queries that it can express; the others are tested against brute force.
