@@ -54,8 +54,9 @@ def build(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 def scaler(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Means and population deviations; a feature that doesn't vary is left at its scale."""
     row = rows.agg(*(F.avg(n).alias(f"m{i}") for i, n in enumerate(names)), *(F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names))).first()
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(names))])
-    return mean, np.array([row[f"s{i}"] or 1.0 for i in range(len(names))])
+    # nine decimals: sums of doubles depend on their order
+    mean = np.array([round(row[f"m{i}"] or 0.0, 9) for i in range(len(names))])
+    return mean, np.array([round(row[f"s{i}"] or 0.0, 9) or 1.0 for i in range(len(names))])
 
 
 def fit(rows: DataFrame, names: list[str], id_column: str = "ordinal", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, pool: int = 80_000) -> dict:
