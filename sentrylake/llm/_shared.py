@@ -37,10 +37,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back."""
+#: Narrow rows that a file of a short table holds.
+FILE_ROWS = 250_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write `df` to the shared folder and read it back. `rows`: a bound on the rows of a narrow
+    table, which is then written in as few tasks and files as that asks for."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,12 +100,12 @@ def block_pairs(df: DataFrame, group: str, size: str, member: str, block: int) -
     return out.withColumn("part", F.xxhash64(F.col(group), low, high)).withColumn("own", low == high).drop("_n", "_o")
 
 
-def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a long, b long): (node, root), root the smallest node.
+def components(edges: DataFrame, name: str, rows: int, most: int = 60) -> DataFrame:
+    """Connected components of at most `rows` undirected edges (a long, b long): (node, root), root the smallest node.
 
     Alternating large-star and small-star steps, each a grouping and a join; a node's neighbours are never gathered
     in one row. Stops when the edges no longer change."""
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, rows)
     mark = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -107,7 +114,7 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.*").where("a <> b").distinct(), name)
+        edges = stored(small.select("e.*").where("a <> b").distinct(), name, 2 * (mark[0] if mark else rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

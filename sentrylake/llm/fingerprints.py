@@ -15,39 +15,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import prepare, text_bytes
+from .shingles import M1, M2, M3, U, mix, terms
 
-SLOTS, WORDS = 64, 5
-U = np.uint64
-#: Fixed odd multipliers of the mixing steps.
-M1, M2, M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
+SLOTS = 64
 SEEDS = (np.arange(1, SLOTS + 1, dtype=np.uint64) * M3) ^ (np.arange(1, SLOTS + 1, dtype=np.uint64) << U(17))
 LOWEST = np.iinfo(np.int64).min
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * M1
-    x = (x ^ (x >> U(27))) * M2
-    return x ^ (x >> U(31))
-
-
-def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct term hashes, sorted, and how often each occurs."""
-    words = text.encode().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    n = max(1, len(h) - WORDS + 1)
-    s = np.zeros(n, np.uint64)
-    for j in range(min(WORDS, len(h))):
-        s = mix(s * M3 + h[j : j + n])
-    return np.unique(s, return_counts=True)
-
-
 def sampled(sets: list[tuple[np.ndarray, np.ndarray]], chunk: int = 2048) -> np.ndarray:
     """The signatures (uint16, one row each) of several weighted term sets; a (term, weight) that they share is
     evaluated once."""

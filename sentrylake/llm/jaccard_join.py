@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import block_pairs, components, groups, prepare, small_join, stored, text_bytes
-from .fingerprints import mix, terms
+from .shingles import mix, terms
 
 TREES, DEEPEST, THRESHOLD, TARGET = 32, 8, 0.8, 0.99999
 #: Nodes of a block, and rows up to which a list of nodes is broadcast.
@@ -126,18 +126,24 @@ def stars(ends: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in ends])) for k in (0, 1)], ["a", "b"])
 
 
-def common(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
-    """The sizes of all pairwise intersections, by products of indicator matrices."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    kinds, place = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+def common(sets: list[np.ndarray], columns: int = 4096, entries: int = 300_000) -> np.ndarray:
+    """The sizes of all pairwise intersections of sorted sets, by products of indicator matrices: the shingles are
+    taken in ranges of about `entries`, so that memory doesn't grow with the texts."""
     out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, len(kinds), chunk):
-        lo, hi = np.searchsorted(place, [at, at + chunk])
-        m = np.zeros((len(sets), min(chunk, len(kinds) - at)), np.float32)
-        m[owner[lo:hi], place[lo:hi] - at] = 1
-        out += m @ m.T
+    ranges = sum(map(len, sets)) // entries + 1
+    edges = [int(k * (1 << 64) // ranges) for k in range(1, ranges)]
+    cuts = [[0, *np.searchsorted(s, np.array(edges, np.uint64)), len(s)] for s in sets]
+    for k in range(ranges):
+        part = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in part])
+        kinds, place = np.unique(np.concatenate(part), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for at in range(0, len(kinds), columns):
+            lo, hi = np.searchsorted(place, [at, at + columns])
+            m = np.zeros((len(sets), min(columns, len(kinds) - at)), np.float32)
+            m[owner[lo:hi], place[lo:hi] - at] = 1
+            out += m @ m.T
     return out
 
 
@@ -186,19 +192,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = buckets.select("node").distinct()
     sigs = rows.select("node", "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     edges = bucket_links(dealt(in_parts(buckets, "key").join(sigs, "node").select("part", "block", "own", "node", "sig")), TREES * d)
-    near = stored(components(stored(edges, "candidates"), "near"), "near-roots")
+    edges = stored(edges, "candidates", buckets.count())
+    count = edges.count()
+    near = stored(components(edges, "near", count), "near-roots", 2 * count)
     # one text of each node: the first id, and of equal ids any with the node's set
     pick = rows.select("id", "node").join(near, "node").groupBy("node", "root").agg(F.min("id").alias("id"))
-    pick = stored(pick, "picked")
-    texts = small_join(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), text_bytes().alias("text")), pick.select("id", F.col("node").alias("wanted")), ["id"], pick.count(), FEW, "inner")
+    pick = stored(pick, "picked", near.count())
+    found = pick.count()
+    texts = small_join(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), text_bytes().alias("text")), pick.select("id", F.col("node").alias("wanted")), ["id"], found, FEW, "inner")
     sets = shingled(texts).where("node = wanted").select("node", "shingles")
     parts = in_parts(pick.select("root", "node"), "root")
     links = stored(verified(dealt(parts.join(sets, "node").select("part", "block", "own", "node", "shingles")), threshold), "links")
-    roots = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), "classes")
+    roots = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), "classes", links.count())
     first = F.min(F.struct("id", "t"))
     nodes = rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("n_copies"))
     nodes = nodes.join(roots, "node", "left").join(links.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left")
-    nodes = stored(nodes.select("node", "first", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "nodes")
+    nodes = stored(nodes.select("node", "first", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "nodes", rows.count())
     named = nodes.groupBy("root").agg(F.min("first").alias("head"))
     nodes = nodes.join(named, "root").select("node", F.col("head.id").alias("class_id"), F.col("head.t").alias("class_t"), F.col("first.id").alias("copy_of"), "n_copies", "n_links")
     return rows.select("id", "t", "node").join(nodes, "node")
