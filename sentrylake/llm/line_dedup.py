@@ -24,6 +24,8 @@ from ._shared import stored
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts are cut before each line that has a word, so that blank lines stay with the line above them.
+CUT = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
 LOWEST = -(1 << 63)
 DOC = ["k", "t"]
 
@@ -33,14 +35,23 @@ def identity(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64(F.col(text)).alias("t")]
 
 
+def word_count(line: Column) -> Column:
+    """The words of a line: by its spaces, where they are single and the only white space, else by pattern."""
+    t = F.trim(line)
+    plain = ~(F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\x0b")) | F.contains(t, F.lit("\f")) | F.contains(t, F.lit("\r")))
+    return F.when(plain, F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
+def count_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def positions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """k, t, pos, line_no, upto (the last of the blank lines that follow), a, b (the line's id), words."""
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    rows = docs.where(F.col(text).isNotNull()).select(*identity(text, doc_id), F.size(F.split(text, "\n")).alias("n"), F.filter(numbered, lambda s: s["x"].rlike(WORD)).alias("l"))
-    rows = rows.select(*DOC, "n", F.transform("l", lambda s, i: F.struct(s["i"].alias("i"), s["x"].alias("x"), F.coalesce(F.get("l", i + 1)["i"], F.col("n")).alias("next"))).alias("l"))
-    rows = rows.select(*DOC, F.posexplode("l").alias("pos", "s"))
-    line = F.col("s.x")
-    return rows.select(*DOC, "pos", F.col("s.i").alias("line_no"), (F.col("s.next") - 1).alias("upto"), F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"), F.regexp_count(line, F.lit(WORD)).alias("words"))
+    """k, t, pos, a, b (the line's id), words, lines (it and the blank ones below)."""
+    rows = docs.where(F.col(text).isNotNull()).select(*identity(text, doc_id), F.posexplode(F.split(text, CUT)).alias("pos", "x"))
+    rows = rows.where(F.col("x").rlike(WORD))  # a first piece may be blank
+    line = F.substring_index("x", "\n", 1)
+    return rows.select(*DOC, "pos", F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"), word_count(line).alias("words"), count_lines(F.col("x")).alias("lines"))
 
 
 def ranked(pairs: DataFrame, name: str) -> DataFrame:
@@ -68,19 +79,20 @@ def shortest_runs(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """k, t, gone (sorted line numbers to delete), words (how many they hold), sources (ids of the documents with the
+    """k, t, gone (sorted positions to delete), lines and words (how many they hold), sources (ids of the documents with the
     first copies)."""
     lines = stored(positions(docs, text, doc_id).distinct(), "lines")
+    n = lines.count()  # no table below has more rows, but `runs` twice as many
     often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    level = lines.join(ranked(often, "ranks"), ["a", "b"]).select(*DOC, "pos", "line_no", "upto", "words", F.array("rank").alias("r"))
-    level = stored(level, "level-0")
-    runs = stored(shortest_runs(level, min_words), "runs")
+    level = lines.join(ranked(often, "ranks"), ["a", "b"]).select(*DOC, "pos", "lines", "words", F.array("rank").alias("r"))
+    level = stored(level, "level-0", n)
+    runs = stored(shortest_runs(level, min_words), "runs", 2 * n)
     longest = runs.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 1
     for k in range(int(math.log2(longest))):
         there = F.max(F.get("r", F.lit(k))).over(Window.partitionBy(*DOC).orderBy("pos").rangeBetween(1 << k, 1 << k))
-        halves = stored(level.withColumn("a", F.get("r", F.lit(k))).withColumn("b", there), f"halves-{k}")
+        halves = stored(level.withColumn("a", F.get("r", F.lit(k))).withColumn("b", there), f"halves-{k}", n)
         often = halves.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-        level = stored(halves.join(ranked(often, f"ranks-{k}"), ["a", "b"], "left").select(*DOC, "pos", "line_no", "upto", "words", F.concat("r", F.array("rank")).alias("r")), f"level-{k + 1}")
+        level = stored(halves.join(ranked(often, f"ranks-{k}"), ["a", "b"], "left").select(*DOC, "pos", "lines", "words", F.concat("r", F.array("rank")).alias("r")), f"level-{k + 1}", n)
     # a run's name: its length and the ranks of its first and last 2^k lines
     size = F.col("last") - F.col("first") + 1
     k = F.floor(F.log2(size.cast("double"))).cast("int")
@@ -88,15 +100,15 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     ranks = level.select(*DOC, "pos", "r")
     named = named.join(ranks.withColumnRenamed("pos", "first").withColumnRenamed("r", "ra"), [*DOC, "first"]).join(ranks.withColumnRenamed("pos", "tail").withColumnRenamed("r", "rb"), [*DOC, "tail"])
     named = named.select(*DOC, "first", "last", "size", F.get("ra", "lg").alias("ra"), F.get("rb", "lg").alias("rb")).where("ra is not null and rb is not null")
-    named = stored(named, "named")
+    named = stored(named, "named", 2 * n)
     place = F.struct(*DOC, "first")
     firsts = named.groupBy("size", "ra", "rb").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = named.join(firsts, ["size", "ra", "rb"]).where(place != F.col("origin"))
     gone = later.select(*DOC, F.col("origin.k").alias("source"), F.explode(F.sequence("first", "last")).alias("pos"))
     gone = gone.groupBy(*DOC, "pos").agg(F.min("source").alias("source"))
-    gone = gone.join(level.select(*DOC, "pos", "line_no", "upto", "words"), [*DOC, "pos"])
-    gone = gone.groupBy(*DOC).agg(F.array_sort(F.flatten(F.collect_list(F.sequence("line_no", "upto")))).alias("gone"), F.sum("words").alias("words"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return stored(gone, "gone")
+    gone = gone.join(level.select(*DOC, "pos", "lines", "words"), [*DOC, "pos"])
+    gone = gone.groupBy(*DOC).agg(F.array_sort(F.collect_list("pos")).alias("gone"), F.sum("lines").alias("lines"), F.sum("words").alias("words"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return stored(gone, "gone", n)
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -106,17 +118,19 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = F
     A text that consists of later copies becomes empty; blank lines go with the line above them. Null and empty texts
     stay as they are. Rows that repeat both id and text are one document and get the same result; rows of one id with
     other texts are ordered by a hash of the text. An empty table gives no rows."""
-    gone = copied_lines(docs, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone"), F.col("words").alias("__words"), F.col("sources").alias("__sources"))
+    gone = copied_lines(docs, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone"), F.col("lines").alias("__lines"), F.col("words").alias("__words"), F.col("sources").alias("__sources"))
     k, t = identity()
-    rows = docs.withColumn("__k", k).withColumn("__t", t).withColumn("__l", F.split("text", "\n")).drop("text")
-    rows = rows.join(gone, ["__k", "__t"], "left")
-    # the lines are a column by now: looked up by number, not split again for each
+    rows = docs.withColumn("__k", k).withColumn("__t", t).withColumn("__n", count_lines(F.col("text"))).withColumn("__l", F.split("text", CUT)).drop("text")
+    # the same plan at every size; only the short side is held, by partition
+    rows = rows.join(gone.hint("shuffle_hash"), ["__k", "__t"], "left")
+    # the pieces are a column by now: looked up by number, not split again for each
     kept = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.col("__gone"))
-    lines = F.when(F.col("__gone").isNull(), F.col("__l")).otherwise(F.transform(kept, lambda i: F.get("__l", i)))
-    rows = rows.withColumn("text", F.array_join(lines, "\n"))
+    pieces = F.when(F.col("__gone").isNull(), F.col("__l")).otherwise(F.transform(kept, lambda i: F.get("__l", i)))
+    rows = rows.withColumn("text", F.array_join(pieces, "\n"))
     extra = []
     if report:
-        extra = [F.coalesce(F.size("__l"), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__deleted_lines"), F.coalesce("__words", F.lit(0)).cast("long").alias("__deleted_words"), F.coalesce("__sources", F.array().cast("array<bigint>")).alias("__copied_from")]
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        extra = [zero("__n").alias("__n_lines"), zero("__lines").alias("__deleted_lines"), zero("__words").alias("__deleted_words"), F.coalesce("__sources", F.array().cast("array<bigint>")).alias("__copied_from")]
     return rows.select(*docs.columns, *extra)
 
 
