@@ -192,7 +192,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = buckets.select("node").distinct()
     sigs = rows.select("node", "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     edges = bucket_links(dealt(in_parts(buckets, "key").join(sigs, "node").select("part", "block", "own", "node", "sig")), TREES * d)
-    edges = stored(edges, "candidates", buckets.count())
+    edges = stored(edges, "candidates", 8 * buckets.count())  # a wide input: fewer of its rows a task
     count = edges.count()
     near = stored(components(edges, "near", count), "near-roots", 2 * count)
     # one text of each node: the first id, and of equal ids any with the node's set
