@@ -1,12 +1,13 @@
 """Language-model scores: context-tree weighting over bytes, beside an add-one unigram model over words.
 
 Context tree. A text is its UTF-8 bytes after A-Z are lowered, between DEPTH start marks and one end mark. Spark
-counts every byte with the DEPTH bytes before it over all training texts. A context is a node of the tree if it
-precedes at least one in CONTEXTS of all bytes (so there are at most CONTEXTS at each depth, at any input size); the
-rarer extensions of a node share one further leaf. Each byte is eight binary decisions; each node has a
-Krichevsky-Trofimov estimate for each decision, and the estimates of all depths are mixed with the weights that
-context-tree weighting gives (half for stopping at a node, half for its children). A node's mixed code lengths for
-all bytes are tabulated, and texts are scored by stepping from context to context, many chunks at a time.
+counts every byte with the DEPTH bytes before it over all training texts; every context that occurs is a node, so the
+tree grows with the corpus. Each byte is eight binary decisions; each node has a Krichevsky-Trofimov estimate for each
+decision, and the estimates of all depths are mixed with the weights that context-tree weighting gives (half for
+stopping at a node, half for its children). Code lengths go up by grouping on the shortened context and the mixture
+down by joining on it; no table of the tree is on the driver or broadcast. What occurs only in held-out texts has
+count 0, which changes no weight. A batch of texts sends its distinct (context, byte) to the buckets that hold their
+logarithms and is scored when they are back.
 
 Words. c(word) is exact for every word: words of at least about one in HEAVY of all tokens are counted per batch and
 broadcast (there are at most HEAVY of them); all others meet by hash in the shuffle, packed into one row per batch and
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import groups, prepare, stored, text_bytes
 
-DEPTH, CONTEXTS, HEAVY = 4, 16_384, 65_536
+DEPTH, HEAVY = 4, 65_536
 PAD, STOP = 0xFE, 0xFF  # bytes that UTF-8 never has
 #: The end token's hash: no word has white space.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -34,6 +35,10 @@ TRAIN = 1 << 15
 #: Bytes of text after which counts are handed on, and bytes and documents of a batch.
 COUNTED, BATCH_BYTES, BATCH_DOCS = 4_000_000, 4_000_000, TRAIN - 1
 LANES = 8192
+#: (Context, byte) rows that a task computes at once; a context of DEPTH - 1 bytes has at most 65,536 of them.
+CHUNK = 200_000
+#: Bytes of a batch's text whose positions are held at once.
+PART_BYTES = 1 << 19
 
 
 def lowered(text: str) -> bytes:
@@ -43,14 +48,39 @@ def lowered(text: str) -> bytes:
 # --- the context tree ---
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (DEPTH bytes, byte) as numbers, and their counts."""
+def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """At each byte after the first DEPTH of the texts with their marks: (DEPTH bytes, byte) as a number, and whether
+    the byte is no start mark."""
     start, stop = bytes([PAD] * DEPTH), bytes([STOP])
     b = np.frombuffer(b"".join(start + t + stop for t in texts), np.uint8)
-    key = np.zeros(len(b) - DEPTH, np.uint64)
+    key = np.zeros(max(len(b) - DEPTH, 0), np.uint64)
     for k in range(DEPTH + 1):
         key = (key << np.uint64(8)) | b[k : len(b) - DEPTH + k]
-    return np.unique(key[b[DEPTH:] != PAD], return_counts=True)
+    return key, b[DEPTH:] != PAD
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (DEPTH bytes, byte) as numbers, and their counts."""
+    key, real = positions(texts)
+    return np.unique(key[real], return_counts=True)
+
+
+def parts_of(texts: list[bytes]):
+    """The texts in lists of about PART_BYTES."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + DEPTH + 1
+        if size >= PART_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def distinct(texts: list[bytes]) -> np.ndarray:
+    """Distinct (DEPTH bytes, byte) as sorted numbers."""
+    return np.unique(np.concatenate([grams(x)[0] for x in parts_of(texts)]))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -93,7 +123,8 @@ def byte_logs(one: np.ndarray) -> np.ndarray:
 
 def weighted_tree(nodes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(next state, log10 P) tables of 256 columns. nodes[d]: sorted contexts of d bytes as numbers (the last byte
-    lowest); counts[d]: rows of 256 counts of the byte that follows."""
+    lowest); counts[d]: rows of 256 counts of the byte that follows. The tree of a small corpus in memory: what
+    `gram_logs` is held against."""
     depth = len(nodes) - 1
     parent = [None, *(np.searchsorted(nodes[d - 1], nodes[d] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1))]
     inner, rest, stay, below = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1), None
@@ -160,12 +191,14 @@ def text_logs(texts: list[bytes], to: np.ndarray, logs: np.ndarray) -> np.ndarra
 
 
 def counted(docs: DataFrame, training: Column) -> DataFrame:
-    """(kind, key, n) of the training texts: kind 0 the bytes in context, kind 1 tokens frequent in a part of the
-    input, kind 2 the number of tokens."""
+    """(kind, key, n): kind 0 the bytes in context of all texts and their counts in the training texts, and of those
+    kind 1 tokens frequent in a part of the input, kind 2 the number of tokens."""
 
     def run(batches):
         def flush():
             k, n = grams(held)
+            other = np.setdiff1d(grams(apart)[0], k, assume_unique=True)
+            k, n = np.concatenate([k, other]), np.concatenate([n, np.zeros(len(other), np.int64)])
             words = Counter()
             for t in held:
                 words.update(t.split())
@@ -176,37 +209,115 @@ def counted(docs: DataFrame, training: Column) -> DataFrame:
             n = np.concatenate([n, np.array([c for _, c in often], np.int64), [total]])
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-        held, size = [], 0
+        held, apart, size = [], [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(lowered(t))
+            for t, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (held if train else apart).append(lowered(t))
                 size += len(t)
                 if size >= COUNTED:
                     yield flush()
-                    held, size = [], 0
-        if held:
+                    held, apart, size = [], [], 0
+        if held or apart:
             yield flush()
 
-    rows = docs.where(training).select(text_bytes().alias("text")).mapInArrow(run, "kind int, key long, n long")
+    rows = docs.select(text_bytes().alias("text"), training.alias("train")).mapInArrow(run, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def build_tree(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of the tree from (key, n): the nodes are chosen by Spark, at most CONTEXTS of each depth."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    nodes, tables = [], []
-    for d in range(DEPTH + 1):
-        context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-        rows = counts.groupBy(context.alias("c"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("b")).agg(F.sum("n").alias("n"))
-        often = rows.groupBy("c").agg(F.sum("n").alias("m")).where(F.col("m") * CONTEXTS >= total).select("c")
-        got = rows.join(often, "c", "left_semi").toPandas()
-        c = got["c"].to_numpy().astype(np.uint64)
-        node = np.unique(c) if d else np.zeros(1, np.uint64)
-        table = np.zeros((len(node), 256))
-        table[np.searchsorted(node, c), got["b"].to_numpy(int)] = got["n"].to_numpy()
-        nodes.append(node)
-        tables.append(table)
-    return weighted_tree(nodes, tables)
+def chunks(batches, key: str, rows: int):
+    """Of Arrow batches sorted by `key`: tables of about `rows` rows of whole groups."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            got = pa.Table.from_batches(held).combine_chunks()
+            k = got.column(key).to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield got.slice(0, cut)
+            held = got.slice(cut).to_batches()
+            size = len(got) - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def leaves(key: np.ndarray, n: np.ndarray):
+    """The decisions of the deepest contexts (context << 8 | place in heap order), their zeros and ones, and for each
+    of the eight decisions of each key its place among them and the bit."""
+    context, byte = key >> np.uint64(8) << np.uint64(8), key & np.uint64(255)
+    node = np.concatenate([context | np.uint64(1 << j) | byte >> np.uint64(8 - j) for j in range(8)])
+    bit = np.concatenate([byte >> np.uint64(7 - j) & np.uint64(1) for j in range(8)]).astype(bool)
+    node, place = np.unique(node, return_inverse=True)
+    n = np.tile(n, 8)
+    return node, np.bincount(place, np.where(bit, 0, n), len(node)), np.bincount(place, np.where(bit, n, 0), len(node)), place, bit
+
+
+def shorter(node: np.ndarray, d: int) -> np.ndarray:
+    """Decisions in contexts of `d` bytes, of decisions in longer ones."""
+    return node & np.uint64((1 << 8 * (d + 1)) - 1)
+
+
+NODES = "node long, a double, b double, w double, stay double"
+
+
+def nodes(node, a, b, split) -> pa.RecordBatch:
+    """NODES of inner decisions, `split` being the logarithm of what the children give."""
+    own = kt_log(a, b)
+    both = np.logaddexp(own, split)
+    arrays = [node.view(np.int64), a, b, both - np.log(2), np.exp(own - both)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "a", "b", "w", "stay"])
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """(key, log): log10 P of the byte in its context, of all rows of (key, n)."""
+    near = DEPTH - 1
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * near) - 1))
+    rows = counts.select(context.alias("c"), "key", "n")
+
+    def deepest(batches):
+        for t in chunks(batches, "c", CHUNK):
+            node, a, b, _, _ = leaves(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy())
+            up, place = np.unique(shorter(node, near), return_inverse=True)
+            yield nodes(up, *(np.bincount(place, x, len(up)) for x in (a, b, kt_log(a, b))))
+
+    def inner(batches):
+        for t in batches:
+            yield nodes(t.column(0).to_numpy().view(np.uint64), *(t.column(k).to_numpy() for k in (1, 2, 3)))
+
+    most = 8 * counts.count()
+    levels = {near: stored(rows.repartition("c").sortWithinPartitions("c").mapInArrow(deepest, NODES), "lm-nodes", most)}
+    parent = lambda d: F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))
+    for d in range(near, 0, -1):
+        sums = levels[d].groupBy(parent(d).alias("node")).agg(*(F.sum(x).alias(x) for x in ("a", "b", "w")))
+        levels[d - 1] = stored(sums.mapInArrow(inner, NODES), "lm-nodes", min(most, 255 << 8 * (d - 1)))
+    mixed = None
+    for d in range(DEPTH):
+        estimate = F.col("stay") * (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
+        if mixed is None:
+            mixed = levels[0].select("node", estimate.alias("sum"), (1 - F.col("stay")).alias("rest"))
+        else:
+            above = mixed.select(F.col("node").alias("up"), F.col("sum").alias("sum_up"), F.col("rest").alias("rest_up"))
+            both = levels[d].withColumn("up", parent(d)).join(above, "up")
+            mixed = both.select("node", (F.col("sum_up") + F.col("rest_up") * estimate).alias("sum"), (F.col("rest_up") * (1 - F.col("stay"))).alias("rest"))
+
+    def last(batches):
+        for t in chunks(batches, "c", CHUNK):
+            is_node = t.column("n").is_null().to_numpy()
+            key = t.column("key").to_numpy().view(np.uint64)
+            at = np.flatnonzero(is_node)
+            at = at[np.argsort(key[at])]
+            total, rest = (t.column(x).to_numpy()[at] for x in ("sum", "rest"))
+            known, key = key[at], key[~is_node]
+            node, a, b, place, bit = leaves(key, t.column("n").filter(pa.array(~is_node)).to_numpy())
+            up = np.searchsorted(known, shorter(node, near))
+            one = np.clip(total[up] + rest[up] * (b + 0.5) / (a + b + 1), 1e-12, 1 - 1e-12)[place]
+            log = np.log10(np.where(bit, one, 1 - one)).reshape(8, -1).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log)], ["key", "log"])
+
+    down = mixed.select(F.shiftrightunsigned("node", 8).alias("c"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "sum", "rest")
+    both = rows.select("c", "key", "n", F.lit(0.0).alias("sum"), F.lit(0.0).alias("rest")).unionByName(down)
+    return both.repartition("c").sortWithinPartitions("c").mapInArrow(last, "key long, log double")
 
 
 # --- scores ---
@@ -239,16 +350,26 @@ def packed(texts: list[bytes], training: np.ndarray, heavy: np.ndarray, buckets:
             yield int(bucket[lo]), h[lo:hi], doc[lo:hi], n[lo:hi]
 
 
+def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of sorted (context, byte) numbers: their order by bucket, the buckets, and the bounds of each."""
+    with np.errstate(over="ignore"):
+        part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    return order, parts, np.append(first, len(key))
+
+
 PACKED = "kind int, part long, batch long, a binary, b binary, c binary, d binary"
-#: kind 0: a batch's documents (ids, training, tokens, score); 1: frequent tokens; 2: other tokens, by bucket.
-DOCS, OFTEN, SELDOM = 0, 1, 2
+#: kind 0: a batch's documents (ids and lengths, training, tokens, text); 1: frequent tokens; 2: other tokens,
+#: by bucket; 3: bytes in context, by bucket.
+DOCS, OFTEN, SELDOM, GRAMS = 0, 1, 2, 3
 
 
-def scored(docs: DataFrame, training: Column, heavy: np.ndarray, tree: tuple, buckets: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, *tree))
+def scored(docs: DataFrame, training: Column, heavy: np.ndarray, buckets: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
-        heavy, to, logs = shared.value
+        heavy = shared.value
 
         def flush():
             batch = int.from_bytes(os.urandom(7), "little")  # any number that no other batch has
@@ -256,11 +377,14 @@ def scored(docs: DataFrame, training: Column, heavy: np.ndarray, tree: tuple, bu
             train = np.array(held["train"], bool)
             rows = [(OFTEN if p < 0 else SELDOM, p, batch, a.tobytes(), b.tobytes(), c.tobytes(), b"") for p, a, b, c in packed(texts, train, heavy, buckets)]
             words = np.array([len(t.split()) + 1 for t in texts], np.int64)
-            ids = pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64())], ["i"])
+            key = distinct(texts)
+            order, parts, first = dealt(key, buckets)
+            rows += [(GRAMS, int(p), batch, key[order[lo:hi]].tobytes(), b"", b"", b"") for p, lo, hi in zip(parts, first, first[1:], strict=False)]
+            ids = pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["i", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as w:
                 w.write_batch(ids)
-            rows.append((DOCS, -1, batch, sink.getvalue().to_pybytes(), train.tobytes(), words.tobytes(), text_logs(texts, to, logs).tobytes()))
+            rows.append((DOCS, -1, batch, sink.getvalue().to_pybytes(), train.tobytes(), words.tobytes(), pa.compress(b"".join(texts), "zstd", asbytes=True)))
             kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "batch", "a", "b", "c", "d"])
 
@@ -311,6 +435,47 @@ def seldom_sums(packed_rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "batch long, distinct long, a binary, b binary, c binary")
 
 
+def gram_replies(packed_rows: DataFrame, logs: DataFrame, buckets: int) -> DataFrame:
+    """For each batch and bucket: the logarithms of the bytes in context that the batch sent there, in its order."""
+
+    def pack(batches):
+        for g in batches:
+            key, log = g.column(0).to_numpy().view(np.uint64), g.column(1).to_numpy()
+            order, parts, first = dealt(key, buckets)
+            spans = [order[lo:hi] for lo, hi in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([None] * len(parts), pa.int64()), pa.array([key[s].tobytes() for s in spans], pa.binary()), pa.array([log[s].tobytes() for s in spans], pa.binary())], ["part", "batch", "a", "b"])
+
+    def run(batches):
+        for g in groups(batches, "part"):
+            part, (ids, a, b) = g.column("part")[0].as_py(), (g.column(x).to_pylist() for x in ("batch", "a", "b"))
+            table = [k for k, i in enumerate(ids) if i is None]
+            key = np.concatenate([np.frombuffer(a[k], np.uint64) for k in table])
+            log = np.concatenate([np.frombuffer(b[k], float) for k in table])
+            order = np.argsort(key)
+            key, log = key[order], log[order].astype(np.float32)
+            back = [(i, log[np.searchsorted(key, np.frombuffer(x, np.uint64))].tobytes()) for i, x in zip(ids, a, strict=True) if i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in back], pa.int64()), pa.array([part] * len(back), pa.int64()), pa.array([x for _, x in back], pa.binary())], ["batch", "part", "a"])
+
+    asked = packed_rows.where(F.col("kind") == GRAMS).select("part", "batch", "a", F.lit(b"").alias("b"))
+    rows = asked.union(logs.mapInArrow(pack, "part long, batch long, a binary, b binary"))
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "batch long, part long, a binary")
+
+
+def text_scores(texts: list[bytes], replies: dict[int, bytes], buckets: int) -> np.ndarray:
+    """log10 P of each text, its end included."""
+    known = distinct(texts)
+    order, parts, _ = dealt(known, buckets)
+    log = np.empty(len(known))
+    log[order] = np.concatenate([np.frombuffer(replies[int(p)], np.float32) for p in parts])
+    sums = []
+    for some in parts_of(texts):
+        key, real = positions(some)
+        flat = np.zeros(len(key) + DEPTH)
+        flat[DEPTH:][real] = log[np.searchsorted(known, key[real])]
+        sums.append(np.add.reduceat(flat, np.cumsum([0] + [len(t) + DEPTH + 1 for t in some[:-1]])))
+    return np.concatenate(sums)
+
+
 def frequent_counts(packed_rows: DataFrame, size: int) -> np.ndarray:
     """Exact training counts of the `size` frequent tokens."""
 
@@ -343,8 +508,9 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     tokens = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     often = counts.where("kind = 1").where(F.col("n") * HEAVY >= tokens).select("key").toPandas()  # at most HEAVY rows
     heavy = np.sort(often["key"].to_numpy(np.int64).view(np.uint64))
-    tree = build_tree(counts.where("kind = 0").select("key", "n"))
-    rows = stored(scored(docs, ~held_out, heavy, tree, int(spark.conf.get("spark.sql.shuffle.partitions"))), "lm-packed")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(scored(docs, ~held_out, heavy, buckets), "lm-packed")
+    replies = gram_replies(rows, gram_logs(counts.where("kind = 0").select("key", "n")), buckets)
     sums = stored(seldom_sums(rows), "lm-sums")
     known = frequent_counts(rows, len(heavy))
     distinct = (sums.agg(F.sum("distinct")).first()[0] or 0) + int((known > 0).sum())
@@ -357,10 +523,14 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
             kind = np.array(g.column("kind").to_pylist())
             a, b, c, d = (g.column(x).to_pylist() for x in "abcd")
             head = int(np.flatnonzero(kind == DOCS)[0])
-            ids = pa.ipc.open_stream(a[head]).read_all().column(0)
+            ids, sizes = pa.ipc.open_stream(a[head]).read_all().columns
+            ends = np.cumsum(sizes.to_numpy())
+            text = pa.decompress(d[head], int(ends[-1]), "zstd", asbytes=True)
+            texts = [text[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+            score = text_scores(texts, {p: x for k, p, x in zip(kind, g.column("part").to_pylist(), a, strict=True) if k == GRAMS}, buckets)
             words = np.frombuffer(c[head], np.int64)
             value, seen = np.zeros(len(words)), np.zeros(len(words))
-            for k in np.flatnonzero(kind != DOCS):
+            for k in np.flatnonzero((kind == OFTEN) | (kind == SELDOM)):
                 if kind[k] == OFTEN:
                     t, doc, n = np.frombuffer(a[k], np.uint16), np.frombuffer(b[k], np.uint16) & (TRAIN - 1), np.frombuffer(c[k], np.uint32)
                     value += np.bincount(doc, n * np.log10(known[t] + 1), len(words))
@@ -369,8 +539,9 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
                     doc = np.frombuffer(a[k], np.uint16)
                     value[doc] += np.frombuffer(b[k], float)
                     seen[doc] += np.frombuffer(c[k], np.uint32)
-            yield pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array(~np.frombuffer(b[head], bool)), pa.array(words), pa.array(seen.astype(np.int64)), pa.array(np.full(len(words), tokens)), pa.array(value - words * floor), pa.array(np.frombuffer(d[head], float))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array(~np.frombuffer(b[head], bool)), pa.array(words), pa.array(seen.astype(np.int64)), pa.array(np.full(len(words), tokens)), pa.array(value - words * floor), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    own = rows.where(F.col("kind") != SELDOM).select("batch", "kind", "a", "b", "c", "d")
-    back = sums.where("batch is not null").select("batch", F.lit(SELDOM).alias("kind"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
-    return own.unionByName(back).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, RESULT)
+    own = rows.where(F.col("kind").isin(DOCS, OFTEN)).select("batch", "kind", "part", "a", "b", "c", "d")
+    back = sums.where("batch is not null").select("batch", F.lit(SELDOM).alias("kind"), F.lit(-1).cast("long").alias("part"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+    logs = replies.select("batch", F.lit(GRAMS).alias("kind"), "part", "a", *(F.lit(None).cast("binary").alias(x) for x in "bcd"))
+    return own.unionByName(back).unionByName(logs).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, RESULT)

@@ -145,6 +145,25 @@ def test_lanes_score_as_one():
     assert np.allclose(lm.text_logs(texts, to, logs), want, atol=1e-3)
 
 
+def test_every_context_is_a_node(spark):
+    """Scores equal those of the tree of all contexts, also of the many that precede one byte in 100,000."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnop é", k=rng.randrange(3000))) for _ in range(100)] + ["", "never seen: ÄÖ 123"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    k, n = lm.grams([lm.lowered(t) for t, h in zip(texts, held, strict=True) if not h])
+    nodes, tables = [], []
+    for d in range(lm.DEPTH + 1):
+        node, at = np.unique((k >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1), return_inverse=True)
+        table = np.zeros((len(node), 256))
+        np.add.at(table, (at, (k & np.uint64(255)).astype(int)), n)
+        nodes.append(node)
+        tables.append(table)
+    assert n.sum() > 100_000 and len(nodes[-1]) > 16_384
+    want = lm.text_logs([lm.lowered(t) for t in texts], *lm.weighted_tree(nodes, tables))
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), in_fold(7, 2)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-3)
+
+
 # --- near duplicates ---
 
 
