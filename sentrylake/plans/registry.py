@@ -344,6 +344,14 @@ def alert_latest(spark, sf_dir):
     return latest(rows.unionByName(rows)).select("alert_id")
 
 
+@query(sql("al", "SELECT alert_id, scored_at, risk_score FROM al"))
+def alert_latest_versions(spark, sf_dir):
+    """Every alert, and an earlier version of every alert."""
+    rows = alerts(spark, sf_dir)
+    earlier = rows.withColumn("scored_at", F.expr("scored_at - INTERVAL 1 DAY")).withColumn("risk_score", F.lit(-1))
+    return latest(rows.unionByName(earlier)).select("alert_id", "scored_at", "risk_score")
+
+
 _KEY = "alert_id, risk_score, severity"
 
 

@@ -82,6 +82,11 @@ def test_get_and_page(spark, sf):
     assert report.check_spread(alerts, 1.0) and not report.check_spread(alerts, 0.0)
 
 
+def test_latest_takes_every_alert(spark, sf):
+    got = R.alert_latest_versions(spark, sf).collect()
+    assert len(got) == R.alerts(spark, sf).select("alert_id").distinct().count() and all(r.risk_score >= 0 for r in got)
+
+
 def test_filters_reach_the_scan(spark, sf):
     q = A.AlertQuery(severities=("high",), least_risk=60, anomalies_only=True)
     plan = q.run(R.alerts(spark, sf)).select("alert_id")._jdf.queryExecution().executedPlan().toString()
