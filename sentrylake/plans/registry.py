@@ -621,9 +621,15 @@ def returnflag_terms(spark, sf_dir):
 
 
 def _drained(rows: DataFrame, name: str) -> DataFrame:
-    q = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """What the stream gives until its source is read, kept in the folder of spark.checkpoint.dir."""
+    from .session import tempfile, uuid
+
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    q = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1 HAVING time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")

@@ -87,6 +87,21 @@ def test_latest_takes_every_alert(spark, sf):
     assert len(got) == R.alerts(spark, sf).select("alert_id").distinct().count() and all(r.risk_score >= 0 for r in got)
 
 
+def test_streamed_signals_across_hours_and_files(spark, tmp_path):
+    from sentrylake.streaming.jobs import failure_signals
+
+    hour, minute = 473_000 * 3_600_000_000, 60_000_000
+    at = [hour + m * minute for m in (55, 58, 61, 66, 66, 69)]  # over the full hour
+    rows = [(datetime.fromtimestamp(us / 1e6), "h", "a", i, us, i != 3) for i, us in enumerate(at)]
+    schema = "ts timestamp, host string, account string, ordinal long, us long, failed boolean"
+    for k, part in enumerate((rows[:2], rows[2:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = R._drained(failure_signals(stream, "1 hour"), "signals")
+    assert [r.recent_auth_failures for r in got.orderBy("ordinal").collect()] == [1, 2, 3, 2, 3, 3]
+    assert got.inputFiles()  # files, not rows that the driver holds
+
+
 def test_filters_reach_the_scan(spark, sf):
     q = A.AlertQuery(severities=("high",), least_risk=60, anomalies_only=True)
     plan = q.run(R.alerts(spark, sf)).select("alert_id")._jdf.queryExecution().executedPlan().toString()
