@@ -225,6 +225,12 @@ def profile_topk(spark, sf_dir):
     return baseline.top_keys(profile(spark, sf_dir), 10).select("kind", "key", "n", "rank")
 
 
+@query(sql("prof", "SELECT kind, key, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, first_seen) AS INT) AS rank FROM prof) WHERE rank <= 5000"))
+def profile_kept(spark, sf_dir):
+    """The keys that a saved profile keeps."""
+    return baseline.top_keys(profile(spark, sf_dir)).select("kind", "key", "n", "rank")
+
+
 @query(sql("rar", f"SELECT ordinal, {d6('rarity_host_exe', 'rarity_user_exe', 'rarity_exe', 'rarity_record_type', 'rarity_user_host')} FROM rar"))
 def rarity(spark, sf_dir):
     return featured(spark, sf_dir).select("ordinal", *r6(*(f"rarity_{k}" for k in baseline.READ_KINDS)))
