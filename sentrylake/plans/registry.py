@@ -414,6 +414,11 @@ def document_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(A.matches("token Worthless", ("text",))).select("doc_id")
 
 
+@query(r"SELECT page_id FROM pages WHERE list_has_any(regexp_extract_all(lower(html), '[\p{L}\p{N}_]+(?:[.''][\p{L}\p{N}_]+)*'), ['token', 'worthless'])")
+def page_search(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(A.matches("token Worthless", ("html",))).select("page_id")
+
+
 @query(sql("al", "SELECT count(*) AS total, count(*) FILTER (prediction = -1) AS anomalies, floor(avg(risk_score) * 10 + 0.5) / 10 AS avg_risk, max(risk_score) AS max_risk, count(*) FILTER (scored_at >= TIMESTAMP '2024-01-06 13:00:00' - INTERVAL 24 HOUR) AS last_day FROM al"))
 def alert_stats(spark, sf_dir):
     return A.stats(alerts(spark, sf_dir), F.lit("2024-01-06 13:00:00").cast("timestamp"))
