@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -13,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch: texts are long, so batches are kept short.
-BATCH_ROWS = 1000
+#: Rows of a batch that a worker turns into Python objects at once (Spark itself bounds a batch in bytes).
+SOME = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers (once per context) and keep Arrow batches short."""
+    """Make the package importable in Python workers (once per context). No setting of the session is changed."""
     sc = spark.sparkContext
     if not getattr(sc, "_sentrylake_shipped", False):
         root = Path(__file__).resolve().parents[1]
@@ -28,13 +30,36 @@ def prepare(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(str(target))
         sc._sentrylake_shipped = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def some(batches):
+    """Arrow batches in slices of at most SOME rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            yield batch.slice(at, SOME)
+
+
+#: Paths of scratch tables, in the order of their making.
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names (a temporary one where it is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder that spark.checkpoint.dir names (where it is unset: in the warehouse, shared too)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = re.sub(r"^file:/(?!/)", "file:///", base)
+    _written.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes the scratch tables made inside, but the one that was made last: a result that is stored needs no other."""
+    start = len(_written)
+    yield
+    gone, _written[start:] = _written[start:-1], _written[-1:] if len(_written) > start else []
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Narrow rows that a file of a short table holds.
@@ -46,8 +71,8 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     table, which is then written in as few tasks and files as that asks for."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    if rows is not None:
-        df = df.coalesce(rows // FILE_ROWS + 1)
+    if rows is not None and (files := rows // FILE_ROWS + 1) < 8:
+        df = df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,32 +113,38 @@ def groups(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def block_pairs(df: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
-    """Adds `part` (and `block`): rows of a group of up to `block` rows share one part. Larger groups are cut into
-    n blocks by a hash of `member`; a row goes to the n parts that pair its block with each other block, so that every
-    pair of rows meets in exactly one part (pairs inside a block: in the part of the block with itself) and no part
-    holds more than about two blocks."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64(F.col(member), F.lit(11)), n).cast("int")
-    out = df.withColumn("_n", n).withColumn("block", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+def block_pairs(df: DataFrame, group: str, blocks: Column, member: str) -> DataFrame:
+    """Adds `part`, `block` and `own`: rows of a group of one block share one part. Groups of n blocks are cut by a hash
+    of `member`; a row goes to the n parts that pair its block with each other block, so that every pair of rows meets
+    in exactly one part (pairs inside a block: in the part of the block with itself) and no part holds more than about
+    two blocks."""
+    mine = F.pmod(F.xxhash64(F.col(member), F.lit(11)), F.col("_n")).cast("int")
+    out = df.withColumn("_n", F.greatest(blocks.cast("int"), F.lit(1)))
+    out = out.withColumn("block", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     low, high = F.least("block", "_o"), F.greatest("block", "_o")
     return out.withColumn("part", F.xxhash64(F.col(group), low, high)).withColumn("own", low == high).drop("_n", "_o")
 
 
+def regrouped(df: DataFrame, key: str) -> DataFrame:
+    """Grouped rows with their key made anew: a join by it shuffles both sides for itself, and adaptive execution can
+    split a key that holds many rows (it can't where the join shares the shuffle of the grouping)."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def components(edges: DataFrame, name: str, rows: int, most: int = 60) -> DataFrame:
     """Connected components of at most `rows` undirected edges (a long, b long): (node, root), root the smallest node.
 
     Alternating large-star and small-star steps, each a grouping and a join; a node's neighbours are never gathered
-    in one row. Stops when the edges no longer change."""
+    in one row, and a hub's rows can be split. Stops when the edges no longer change."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, rows)
     mark = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(regrouped(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large.join(regrouped(low, "a"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = stored(small.select("e.*").where("a <> b").distinct(), name, 2 * (mark[0] if mark else rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

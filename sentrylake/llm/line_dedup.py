@@ -3,14 +3,21 @@
 Texts are sequences of their lines that have a word. Lines that occur once end every run, so only the others are
 positions of the suffix array. Distributed prefix doubling ranks the positions by their first 1, 2, 4, ... lines: the
 ranks of two halves are grouped, the pairs that occur twice or more are sorted by range over the partitions and
-numbered in order, and all others leave the next level. Positions that agree in their first n lines are an interval
-of the suffix array with a longest common prefix of at least n; the ranks of the run's first and last 2^k <= n lines name it.
-
-A run is deleted where it has at least `min_words` words and is not the first of its interval, in the order of doc_id
-and line. The maximal repeated runs are exactly covered by the shortest runs of that many words that begin at a
-position and those that end at one: a line of a longer run either ends such a run inside it or is covered by the one
-that the longer run begins with. So doubling only goes as far as such shortest runs are long (at most min_words
-lines), and what it finds is joined into the maximal runs when their lines are deleted.
+numbered in order, and all others leave the next level. A position keeps its ranks of all levels.
+
+The array holds the suffixes where a run of at least `min_words` words can begin, cut to the shortest such run, and
+those cut to the shortest run that ends at a position: sorted by range (length, ranks, then place in the corpus),
+so that an interval of equal prefixes may span partitions. The longest common prefix of two neighbours reaches the
+run's length n where they agree in the ranks of its first and of its last 2^k <= n lines; where it doesn't, an interval
+begins. The first row of an interval is the run's first occurrence; it is handed on to the interval's other rows
+inside a partition by a window and from partition to partition by a table of one row each. No interval is grouped
+in one task.
+
+The others are later copies, and their lines are deleted, but for those that overlap the first occurrence itself: a
+line that repeats goes on as far as the first whole run, which stays. The maximal repeated runs are exactly covered
+by the shortest ones that begin and end at their positions: a line of a longer run either ends such a run inside it
+or is covered by the one that the longer run begins with. So doubling only goes as far as such shortest runs are long
+(at most min_words lines).
 """
 
 from __future__ import annotations
@@ -51,7 +58,7 @@ def positions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     rows = docs.where(F.col(text).isNotNull()).select(*identity(text, doc_id), F.posexplode(F.split(text, CUT)).alias("pos", "x"))
     rows = rows.where(F.col("x").rlike(WORD))  # a first piece may be blank
     line = F.substring_index("x", "\n", 1)
-    return rows.select(*DOC, "pos", F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"), word_count(line).alias("words"), count_lines(F.col("x")).alias("lines"))
+    return rows.select(*DOC, "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), word_count(line).alias("words"), count_lines(F.col("x")).alias("lines"))
 
 
 def ranked(pairs: DataFrame, name: str) -> DataFrame:
@@ -78,6 +85,30 @@ def shortest_runs(rows: DataFrame, min_words: int) -> DataFrame:
     return rows.select(*DOC, F.explode(F.array_distinct(F.array_compact(F.array(begin, end)))).alias("r")).select(*DOC, "r.first", "r.last")
 
 
+PREFIX = ["size", "ra", "rb"]
+
+
+def later_copies(named: DataFrame, rows: int) -> DataFrame:
+    """k, t, first, last, origin (k, t, first, last of the first occurrence) of the runs that repeat an earlier one
+    without overlapping it; of at most `rows` runs (k, t, first, last, size, ra, rb)."""
+    place, prefix = F.struct(*DOC, "first", "last"), F.struct(*PREFIX)
+    laid = named.repartitionByRange(*PREFIX, *DOC, "first").withColumn("pid", F.spark_partition_id())
+    order = Window.partitionBy("pid").orderBy(*PREFIX, *DOC, "first")
+    begins = F.lag(prefix).over(order) != prefix  # null at a partition's first row: its neighbour is elsewhere
+    array = laid.withColumn("begins", begins)
+    array = array.withColumn("head", F.last(F.when(F.col("begins"), place), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    array = stored(array.drop("begins"), "suffix-array", rows)
+    at = F.struct(prefix.alias("prefix"), place.alias("place"), F.col("head"))
+    ends = array.groupBy("pid").agg(F.min(at).alias("low"), F.max(at).alias("high"))  # one row a partition
+    pids = Window.orderBy("pid")
+    ends = ends.withColumn("own", F.when(F.coalesce(F.lag("high.prefix").over(pids) != F.col("low.prefix"), F.lit(True)), F.col("low.place")))
+    before = F.last(F.coalesce("high.head", "own"), ignorenulls=True).over(pids.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("pid", F.coalesce("own", before).alias("entry"))
+    array = array.join(F.broadcast(ends), "pid").withColumn("origin", F.coalesce("head", "entry"))
+    overlaps = (F.col("k") == F.col("origin.k")) & (F.col("t") == F.col("origin.t")) & (F.col("first") <= F.col("origin.last"))
+    return array.where((place != F.col("origin")) & ~overlaps).select(*DOC, "first", "last", "origin")
+
+
 def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """k, t, gone (sorted positions to delete), lines and words (how many they hold), sources (ids of the documents with the
     first copies)."""
@@ -100,10 +131,7 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     ranks = level.select(*DOC, "pos", "r")
     named = named.join(ranks.withColumnRenamed("pos", "first").withColumnRenamed("r", "ra"), [*DOC, "first"]).join(ranks.withColumnRenamed("pos", "tail").withColumnRenamed("r", "rb"), [*DOC, "tail"])
     named = named.select(*DOC, "first", "last", "size", F.get("ra", "lg").alias("ra"), F.get("rb", "lg").alias("rb")).where("ra is not null and rb is not null")
-    named = stored(named, "named", 2 * n)
-    place = F.struct(*DOC, "first")
-    firsts = named.groupBy("size", "ra", "rb").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = named.join(firsts, ["size", "ra", "rb"]).where(place != F.col("origin"))
+    later = later_copies(named, 2 * n)
     gone = later.select(*DOC, F.col("origin.k").alias("source"), F.explode(F.sequence("first", "last")).alias("pos"))
     gone = gone.groupBy(*DOC, "pos").agg(F.min("source").alias("source"))
     gone = gone.join(level.select(*DOC, "pos", "lines", "words"), [*DOC, "pos"])
@@ -112,29 +140,29 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """The documents with `text` freed of later copies; with `report` also n_lines, deleted_lines, deleted_words and
-    copied_from as __n_lines, ....
+    """The documents with `text` freed of later copies; with `report` also a struct `report` of n_lines, deleted_lines,
+    deleted_words and copied_from. All other columns keep their values, whatever they are called.
 
     A text that consists of later copies becomes empty; blank lines go with the line above them. Null and empty texts
     stay as they are. Rows that repeat both id and text are one document and get the same result; rows of one id with
     other texts are ordered by a hash of the text. An empty table gives no rows."""
-    gone = copied_lines(docs, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone"), F.col("lines").alias("__lines"), F.col("words").alias("__words"), F.col("sources").alias("__sources"))
     k, t = identity()
-    rows = docs.withColumn("__k", k).withColumn("__t", t).withColumn("__n", count_lines(F.col("text"))).withColumn("__l", F.split("text", CUT)).drop("text")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), k, t, count_lines(F.col("text")).alias("n"), F.split("text", CUT).alias("pieces"))
     # the same plan at every size; only the short side is held, by partition
-    rows = rows.join(gone.hint("shuffle_hash"), ["__k", "__t"], "left")
+    rows = rows.join(copied_lines(docs, min_words).hint("shuffle_hash"), DOC, "left")
     # the pieces are a column by now: looked up by number, not split again for each
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.col("__gone"))
-    pieces = F.when(F.col("__gone").isNull(), F.col("__l")).otherwise(F.transform(kept, lambda i: F.get("__l", i)))
-    rows = rows.withColumn("text", F.array_join(pieces, "\n"))
-    extra = []
+    kept = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("gone"))
+    pieces = F.when(F.col("gone").isNull(), F.col("pieces")).otherwise(F.transform(kept, lambda i: F.get("pieces", i)))
+    text = F.array_join(pieces, "\n")
+    out = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     if report:
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        extra = [zero("__n").alias("__n_lines"), zero("__lines").alias("__deleted_lines"), zero("__words").alias("__deleted_words"), F.coalesce("__sources", F.array().cast("array<bigint>")).alias("__copied_from")]
-    return rows.select(*docs.columns, *extra)
+        found = {"n_lines": zero("n"), "deleted_lines": zero("lines"), "deleted_words": zero("words"), "copied_from": F.coalesce("sources", F.array().cast("array<bigint>"))}
+        out.append(F.struct(*(c.alias(name) for name, c in found.items())).alias("report"))
+    return rows.select(*out)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, deleted_lines, deleted_words, copied_from (ids of documents with first copies), text."""
-    rows = without_copies(docs.select("doc_id", "text"), min_words, report=True)
-    return rows.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_lines", "deleted_lines", "deleted_words", "copied_from")), "text")
+    return without_copies(docs.select("doc_id", "text"), min_words, report=True).select("doc_id", "report.*", "text")

@@ -3,9 +3,11 @@
 Writing: one record a page, each its own gzip member, in files of about ROLL bytes. Pages with equal payloads of at
 least LEAST bytes share one response record, that of the smallest page_id; the others become revisit records that
 refer to it and leave the payload out. The digests are joined with the few that occur more than once; the join's
-hot keys can be split by adaptive execution, and pages are never gathered by payload.
+hot keys can be split by adaptive execution, and pages are never gathered by payload. Shorter payloads, which are
+all responses, have keys of their own, so that empty pages don't meet.
 
-Reading: files are cut into byte ranges of SPLIT bytes. A task scans its range for the gzip magic, takes a candidate
+Reading: files are cut into byte ranges of SPLIT bytes, dealt over a number of tasks that grows with the bytes (each
+range is a task of its own up to ALONE of them). A task scans its range for the gzip magic, takes a candidate
 as a member only if it decodes to a WARC header, and reads each record that starts inside its range to its end, also
 past the range. The check sum of the member, its length against Content-Length and the payload's digest are verified.
 Files are reached through pyarrow's file systems (local, HDFS, S3, GCS), under the folder the session shares.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from ._shared import prepare, scratch
 
 LEAST, ROLL, SPLIT, BLOCK = 100, 32 << 20, 4 << 20, 1 << 18
+#: Ranges up to which each has a task, and ranges of a task beyond.
+ALONE, RANGES = 4096, 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed: archives of the same pages are the same.
@@ -53,8 +57,11 @@ def with_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, first (the response's page_id, where a payload is shared), revisit."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(shared.where("n > 1 and first is not null").select("digest", "first"), "digest", "left")
+    long_ = F.octet_length("payload") >= LEAST
+    shared = rows.where(long_).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    shared = shared.where("n > 1 and first is not null").select(F.col("digest").alias("shared"), "first")
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest").cast("string"))  # no digest begins so
+    rows = rows.withColumn("shared", F.when(long_, F.col("digest")).otherwise(own)).join(shared, "shared", "left").drop("shared")
     return rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
@@ -170,7 +177,13 @@ def read_archives(files: DataFrame, folder: str, split: int = SPLIT) -> DataFram
 
     starts = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(run, PAGES)
+    return ranges.repartition(tasks_of(files, split)).mapInArrow(run, PAGES)
+
+
+def tasks_of(files: DataFrame, split: int = SPLIT) -> int:
+    """The number of tasks that read the files: an explicit one, which adaptive execution doesn't merge."""
+    ranges = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    return int(min(ranges, ALONE) + max(ranges - ALONE, 0) // RANGES)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, node int, part int, k int, t int, bucket int, key int, __d int"
-CLASH = ("x", "y", 1, 2, 3, 4, 5, 6, 7)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, node int, part int, k int, t int, bucket int, key int, __d int, __k string, __t string, __n string, __s string, __x string, row string, pieces string, stats string"
+CLASH = ("x", "y", 1, 2, 3, 4, 5, 6, 7, "k", "t", "n", "s", "x", "r", "p", "st")
 
 
 def words(n, seed, kinds=400):
@@ -25,3 +25,11 @@ def frame(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def same_extras(before, after, every=True):
+    """The rows of `after` have the columns and types of `before`, and the values of all columns but the text."""
+    assert after.dtypes == before.dtypes
+    names = [c for c in before.columns if c not in ("text", "n_chars")]
+    a, b = (sorted((tuple(r) for r in d.select(*names).collect()), key=str) for d in (before, after))
+    assert a == b if every else set(b) <= set(a)

@@ -249,24 +249,30 @@ def test_components(spark):
 
 
 def dedup(docs, least):
-    seen, out = defaultdict(list), {}
+    """By definition: a run of lines of at least `least` words goes where an equal run occurred before, unless it
+    overlaps the first such occurrence. Of long texts only the shortest runs from and to each line are tried."""
     parsed = []
     for i, t in docs:
         lines = t.split("\n")
         parsed.append((i, lines, [(n, x, len(WORD.findall(x))) for n, x in enumerate(lines) if WORD.search(x)]))
+    times = Counter(x[1] for _, _, s in parsed for x in s)
+    first, out = {}, {}
     for d, (i, lines, s) in enumerate(parsed):
-        gone = set()
+        upto = np.cumsum([0, *(x[2] for x in s)])
+        runs = set()
         for p in range(len(s)):
-            best = 0
-            for e, q in seen[s[p][1]] + [(d, q) for q in range(p) if s[q][1] == s[p][1]]:
-                z, n = parsed[e][2], 0
-                while p + n < len(s) and q + n < len(z) and s[p + n][1] == z[q + n][1]:
-                    n += 1
-                best = max(best, n)
-            if sum(x[2] for x in s[p : p + best]) >= least:
-                gone |= set(range(p, p + best))
-        for q, x in enumerate(s):
-            seen[x[1]].append((d, q))
+            e = int(np.searchsorted(upto, upto[p] + least))
+            if e <= len(s):
+                runs |= {(p, q) for q in (range(e, len(s) + 1) if len(s) < 60 else (e,))}
+            if upto[p + 1] >= least:
+                runs.add((int(np.searchsorted(upto, upto[p + 1] - least, "right")) - 1, p + 1))
+        gone = set()
+        for p, e in sorted(runs):
+            if any(times[x[1]] == 1 for x in s[p:e]):
+                continue
+            o = first.setdefault(tuple(x[1] for x in s[p:e]), (d, p))
+            if o != (d, p) and not (o[0] == d and p < o[1] + e - p):
+                gone |= set(range(p, e))
         drop = {n for p in gone for n in range(s[p][0], s[p + 1][0] if p + 1 < len(s) else len(lines))}
         out[i] = ("\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop), sum(s[p][2] for p in gone))
     return out
@@ -285,6 +291,32 @@ def test_runs_against_longest_earlier_matches(spark):
     compare(spark, [(i, "\n".join(rng.choice("xy") for _ in range(40))) for i in range(12)], 9)
 
 
+def test_the_first_whole_run_stays(spark):
+    five = "a b c d e"
+    rows = [(1, "\n".join([five] * 12)), (2, "\n".join(["f g h i j", "k l m n o"] * 11)), (3, "\n".join(["p q r s t"] * 25))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in ld.line_dedup(docs).collect()}
+    assert got[1] == [five] * 12  # the copies of its first ten lines all overlap them
+    assert got[2] == ["f g h i j", "k l m n o"] * 5 and got[3] == ["p q r s t"] * 10
+    compare(spark, rows, 50)
+    again = spark.createDataFrame([*rows, (4, rows[0][1])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in ld.line_dedup(again).collect()}[4] == ""
+
+
+def test_intervals_span_partitions(spark):
+    """One passage in most texts: its rows lie in several partitions of the suffix array."""
+    passage = "\n".join(f"w{i} x y z" for i in range(14))
+    rows = [(i, f"begin {i}\n{passage}\nend {i}" if i % 5 else f"own {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.text for r in ld.line_dedup(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [i for i, t in got.items() if passage in t] == [1]
+    assert all(got[i] == (f"begin {i}\nend {i}" if i % 5 else f"own {i}") for i in got if i != 1)
+
+
 def test_line_query(spark, sf):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: r for r in op10_line_dedup(spark, sf).collect()}
@@ -301,6 +333,5 @@ def test_line_awkward_rows(spark):
     assert by[40, False] is None and by[41, False] == "" and by[42, False] == " \n\t "
     assert by[47, False] and by[48, True] == ""  # which repeats it
     assert sum(r.doc_id == 49 for r in got) == 3
-    cleaned = ld.without_copies(docs)
-    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+    cases.same_extras(docs, ld.without_copies(docs))
     assert ld.line_dedup(cases.empty(spark)).count() == 0
