@@ -44,6 +44,9 @@ def test_lm_query(spark, sf):
     size = dict((i, len(t.encode()) + 1) for i, t in docs)
     bits = [-r.score / math.log10(2) / size[r.doc_id] for r in rows if r.held_out]
     assert np.average(bits) < 4  # bytes of these languages: under an order-0 model about 4.3
+    want = tree_scores([t or "" for _, t in docs], [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs])
+    got = {r.doc_id: r.score for r in rows}
+    assert np.allclose([got[i] for i, _ in docs], want, rtol=1e-5, atol=1e-3)
 
 
 def test_lm_awkward_rows(spark):
@@ -51,10 +54,21 @@ def test_lm_awkward_rows(spark):
     assert lm.lm_scores(cases.empty(spark), in_fold(7, 2)).count() == 0
 
 
-def test_seldom_tokens_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAVY", 3)
-    docs = spark.createDataFrame([(r[0], r[1]) for r in cases.rows()], "doc_id long, text string")
-    check_base(lm.lm_scores(docs, in_fold(7, 2)).collect(), [(r[0], r[1]) for r in cases.rows()])
+def test_many_batches_parts_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_ROWS", 3000)
+    monkeypatch.setattr(lm, "ASKED_BYTES", 3000)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 30_000)
+    rows = [(r[0], r[1]) for r in cases.rows() if len(r[1] or "") < 50_000]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), in_fold(7, 2)).collect()
+    check_base(got, rows)
+    want = tree_scores([t or "" for _, t in rows], [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows])
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-5, atol=1e-3)
+
+
+def test_questions_are_restored():
+    for n in (0, 1, 1000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        assert (lm.restored(lm.squeezed(keys)) == keys).all()
 
 
 def tree_probability(history, counts, depth):
@@ -145,21 +159,25 @@ def test_lanes_score_as_one():
     assert np.allclose(lm.text_logs(texts, to, logs), want, atol=1e-3)
 
 
-def test_every_context_is_a_node(spark):
-    """Scores equal those of the tree of all contexts, also of the many that precede one byte in 100,000."""
-    rng = random.Random(3)
-    texts = ["".join(rng.choices("abcdefghijklmnop é", k=rng.randrange(3000))) for _ in range(100)] + ["", "never seen: ÄÖ 123"]
-    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    k, n = lm.grams([lm.lowered(t) for t, h in zip(texts, held, strict=True) if not h])
+def tree_scores(texts, held):
+    """Scores by the tree of all contexts of the training texts, in memory."""
     nodes, tables = [], []
+    k, n = lm.grams([lm.lowered(t) for t, h in zip(texts, held, strict=True) if not h])
     for d in range(lm.DEPTH + 1):
         node, at = np.unique((k >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1), return_inverse=True)
         table = np.zeros((len(node), 256))
         np.add.at(table, (at, (k & np.uint64(255)).astype(int)), n)
         nodes.append(node)
         tables.append(table)
-    assert n.sum() > 100_000 and len(nodes[-1]) > 16_384
-    want = lm.text_logs([lm.lowered(t) for t in texts], *lm.weighted_tree(nodes, tables))
+    return lm.text_logs([lm.lowered(t) for t in texts], *lm.weighted_tree(nodes, tables))
+
+
+def test_every_context_is_a_node(spark):
+    """Scores equal those of the tree of all contexts, also of the many that precede one byte in 100,000."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnop é", k=rng.randrange(3000))) for _ in range(100)] + ["", "never seen: ÄÖ 123"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    want = tree_scores(texts, held)
     got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), in_fold(7, 2)).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-3)
 
@@ -230,12 +248,41 @@ def test_jaccard_awkward_rows(spark):
     assert jj.jaccard_join(cases.empty(spark)).count() == 0
     one = jj.one_of_each(docs)
     heads = {str(c[1]) for c in classes([(r[0], r[1]) for r in cases.rows()])}
-    assert one.columns == docs.columns and one.count() == len(heads) + 1  # two classes begin with a null id
-
-
-def test_depth_reaches_the_recall():
-    d = jj.depth(0.8)
-    assert 1 - (1 - 0.8**d) ** jj.TREES >= jj.TARGET > 1 - (1 - 0.8 ** (d + 1)) ** jj.TREES
+    assert one.count() == len(heads) + 1  # two classes begin with a null id
+    cases.same_extras(docs, one, every=False)
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    d = jj.shallowest(0.8)
+    assert jj.recall(0.8, d) >= jj.TARGET > jj.recall(0.8, d + 1)
+    at = lambda share, n: np.eye(1, jj.SLOTS + 1, round(share * jj.SLOTS), dtype=int)[0] * n
+    close, far = at(0.97, 1000), at(0.81, 1000)
+    assert jj.estimated_recall(close, jj.DEEPEST, 0.8) >= jj.TARGET > jj.estimated_recall(far, jj.DEEPEST, 0.8)
+    assert jj.estimated_recall(far, d, 0.8) >= jj.TARGET and jj.estimated_recall(at(0.5, 9), 5, 0.8) == 0
+
+
+def test_levels_meet_each_pair_once(spark):
+    """Over all levels and tries: exactly the pairs of nodes that share a prefix of the last level in some trie."""
+    rng = np.random.default_rng(4)
+    bytes_ = rng.integers(0, 256, (60, jj.TREES, jj.DEEPEST), dtype=np.uint8)
+    bytes_[20:] = np.where(rng.random((40, jj.TREES, jj.DEEPEST)) < 0.85, bytes_[rng.integers(0, 6, 40)], bytes_[20:])
+    labels = bytes_.view(">u8").astype(np.uint64).view(np.int64)[:, :, 0]
+    nodes = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(labels)], "node long, labels array<long>").repartition(3)
+    pairs = {(i, j) for i in range(60) for j in range(i)}
+    least = jj.shallowest(0.8)
+    meet = {p for p in pairs if ((bytes_[p[0], :, :least] == bytes_[p[1], :, :least]).all(1)).any()}
+    got = []
+    tries = jj.matched(nodes, least).collect()
+    for d in range(jj.DEEPEST, least - 1, -1):
+        by = defaultdict(set)
+        for r in tries:
+            if r.most >= d:
+                by[r.tree, r.label >> 8 * (jj.DEEPEST - d)].add(r.node)
+        for (tree, _), group in by.items():
+            ids = sorted(group)
+            new = jj.agreement(labels[ids], d, tree)[1]
+            got += [(ids[j], ids[i]) for i, j in np.argwhere(new)]
+    assert len(got) == len(set(got)) and set(got) == meet
 
 
 def test_components(spark):
