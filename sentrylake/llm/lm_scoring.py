@@ -6,12 +6,15 @@ tree grows with the corpus. Each byte is eight binary decisions; each node has a
 decision, and the estimates of all depths are mixed with the weights that context-tree weighting gives (half for
 stopping at a node, half for its children). Code lengths go up by grouping on the shortened context and the mixture
 down by joining on it; no table of the tree is on the driver or broadcast. What occurs only in held-out texts has
-count 0, which changes no weight. A batch of texts sends its distinct (context, byte) to the buckets that hold their
-logarithms and is scored when they are back.
+count 0, which changes no weight.
 
-Words. c(word) is exact for every word: words of at least about one in HEAVY of all tokens are counted per batch and
-broadcast (there are at most HEAVY of them); all others meet by hash in the shuffle, packed into one row per batch and
-bucket, and send each document's sum back. Null and empty texts consist of the end alone.
+Words. The same pass counts every word of the training texts, exactly. Null and empty texts consist of the end alone.
+
+Scores. Texts are taken in batches of about BATCH_BYTES. A batch asks for its distinct bytes in context and its
+distinct words, by the part of the tables that has them, and is scored when the answers are back. There are as many
+parts as keep a part's table short; a part with many questions is dealt over tasks that each get its table, and
+answers them one after another, so no task holds more than a table, a question and a batch. Both numbers follow from
+the input, not from session settings.
 """
 
 from __future__ import annotations
@@ -25,20 +28,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import groups, prepare, stored, text_bytes
+from ._shared import groups, prepare, some, stored, text_bytes
 
-DEPTH, HEAVY = 4, 65_536
+DEPTH = 4
 PAD, STOP = 0xFE, 0xFF  # bytes that UTF-8 never has
 #: The end token's hash: no word has white space.
 END = xxhash.xxh64_intdigest(b"\n")
-TRAIN = 1 << 15
-#: Bytes of text after which counts are handed on, and bytes and documents of a batch.
-COUNTED, BATCH_BYTES, BATCH_DOCS = 4_000_000, 4_000_000, TRAIN - 1
+#: Bytes of text after which counts are handed on, and bytes of a batch.
+COUNTED, BATCH_BYTES = 4_000_000, 4_000_000
 LANES = 8192
 #: (Context, byte) rows that a task computes at once; a context of DEPTH - 1 bytes has at most 65,536 of them.
-CHUNK = 200_000
+CHUNK = 60_000
 #: Bytes of a batch's text whose positions are held at once.
 PART_BYTES = 1 << 19
+#: Rows of a part's table, and bytes of questions to a part that a task answers.
+PART_ROWS, ASKED_BYTES = 150_000, 8_000_000
 
 
 def lowered(text: str) -> bytes:
@@ -190,27 +194,28 @@ def text_logs(texts: list[bytes], to: np.ndarray, logs: np.ndarray) -> np.ndarra
     return np.add.reduceat(flat, np.cumsum([0] + [len(t) + DEPTH + 1 for t in texts[:-1]]))
 
 
+GRAM, WORD = 0, 1
+
+
 def counted(docs: DataFrame, training: Column) -> DataFrame:
-    """(kind, key, n): kind 0 the bytes in context of all texts and their counts in the training texts, and of those
-    kind 1 tokens frequent in a part of the input, kind 2 the number of tokens."""
+    """(kind, key, n): GRAM the bytes in context of all texts and their counts in the training texts, WORD the tokens of the
+    training texts and their counts."""
 
     def run(batches):
         def flush():
             k, n = grams(held)
             other = np.setdiff1d(grams(apart)[0], k, assume_unique=True)
-            k, n = np.concatenate([k, other]), np.concatenate([n, np.zeros(len(other), np.int64)])
             words = Counter()
             for t in held:
                 words.update(t.split())
-            total = sum(words.values()) + len(held)
-            often = [(xxhash.xxh64_intdigest(w), c) for w, c in words.items() if c * HEAVY >= total] + [(END, len(held))]
-            key = np.concatenate([k, np.array([h for h, _ in often], np.uint64), np.zeros(1, np.uint64)])
-            kind = np.repeat(np.array([0, 1, 2], np.int32), [len(k), len(often), 1])
-            n = np.concatenate([n, np.array([c for _, c in often], np.int64), [total]])
+            w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            key = np.concatenate([k, other, w, np.array([END], np.uint64)])
+            kind = np.repeat(np.array([GRAM, WORD], np.int32), [len(k) + len(other), len(w) + 1])
+            n = np.concatenate([n, np.zeros(len(other), np.int64), np.fromiter(words.values(), np.int64, len(words)), [len(held)]])
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
         held, apart, size = [], [], 0
-        for batch in batches:
+        for batch in some(batches):
             for t, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (held if train else apart).append(lowered(t))
                 size += len(t)
@@ -258,14 +263,14 @@ def shorter(node: np.ndarray, d: int) -> np.ndarray:
     return node & np.uint64((1 << 8 * (d + 1)) - 1)
 
 
-NODES = "node long, a double, b double, w double, stay double"
+NODES = "node long, a long, b long, w double, stay double"
 
 
 def nodes(node, a, b, split) -> pa.RecordBatch:
     """NODES of inner decisions, `split` being the logarithm of what the children give."""
     own = kt_log(a, b)
     both = np.logaddexp(own, split)
-    arrays = [node.view(np.int64), a, b, both - np.log(2), np.exp(own - both)]
+    arrays = [node.view(np.int64), a.astype(np.int64), b.astype(np.int64), both - np.log(2), np.exp(own - both)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "a", "b", "w", "stay"])
 
 
@@ -323,78 +328,69 @@ def gram_logs(counts: DataFrame) -> DataFrame:
 # --- scores ---
 
 
-def packed(texts: list[bytes], training: np.ndarray, heavy: np.ndarray, buckets: int):
-    """A batch's token entries (hash, document | TRAIN, count): the frequent ones by their place in `heavy`, and the
-    others by bucket."""
-    hashes, docs, times = [], [], []
-    for k, t in enumerate(texts):
-        words = Counter(t.split())
-        hashes += [xxhash.xxh64_intdigest(w) for w in words]
-        times += words.values()
-        hashes.append(END)
-        times.append(1)
-        docs.append(len(words) + 1)
-    h = np.array(hashes, np.uint64)
-    doc = np.repeat(np.arange(len(texts)) | np.where(training, TRAIN, 0), docs).astype(np.uint16)
-    n = np.array(times, np.uint32)
-    at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
-    is_heavy = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
-    yield -1, at[is_heavy].astype(np.uint16), doc[is_heavy], n[is_heavy]
-    h, doc, n = h[~is_heavy], doc[~is_heavy], n[~is_heavy]
-    order = np.lexsort((h, h % np.uint64(buckets)))
-    h, doc, n = h[order], doc[order], n[order]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(h)], strict=True):
-        if hi > lo:
-            yield int(bucket[lo]), h[lo:hi], doc[lo:hi], n[lo:hi]
-
-
-def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets of sorted (context, byte) numbers: their order by bucket, the buckets, and the bounds of each."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Of sorted keys: the places of those of each part."""
+    part = part_of(keys, parts)
     order = np.argsort(part, kind="stable")
-    parts, first = np.unique(part[order], return_index=True)
-    return order, parts, np.append(first, len(key))
+    which, first = np.unique(part[order], return_index=True)
+    return list(zip(which.tolist(), np.split(order, first[1:]), strict=True)) if len(keys) else []
 
 
-PACKED = "kind int, part long, batch long, a binary, b binary, c binary, d binary"
-#: kind 0: a batch's documents (ids and lengths, training, tokens, text); 1: frequent tokens; 2: other tokens,
-#: by bucket; 3: bytes in context, by bucket.
-DOCS, OFTEN, SELDOM, GRAMS = 0, 1, 2, 3
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys in short: their differences, byte by byte place."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    raw = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def scored(docs: DataFrame, training: Column, heavy: np.ndarray, buckets: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def restored(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], 8 * n, "zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
 
-    def run(batches):
-        heavy = shared.value
 
+def wanted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """What a batch asks for: its distinct bytes in context, and its distinct tokens by their hashes, both sorted; and the
+    words in the order of the latter (the end token is the empty word)."""
+    words = [*set().union(*(t.split() for t in texts)), b""]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h[-1] = END
+    order = np.argsort(h, kind="stable")
+    return distinct(texts), h[order], [words[i] for i in order]
+
+
+PACKED = "kind int, part long, batch long, a binary, b binary, c binary"
+#: The kinds GRAM and WORD: a batch's questions to a part; DOCS: its documents (ids and lengths; training; text).
+DOCS = 2
+
+
+def batches_of(docs: DataFrame, training: Column, parts: tuple[int, int]) -> DataFrame:
+    def run(batches):
         def flush():
             batch = int.from_bytes(os.urandom(7), "little")  # any number that no other batch has
             texts = [lowered(t) for t in held["text"]]
-            train = np.array(held["train"], bool)
-            rows = [(OFTEN if p < 0 else SELDOM, p, batch, a.tobytes(), b.tobytes(), c.tobytes(), b"") for p, a, b, c in packed(texts, train, heavy, buckets)]
-            words = np.array([len(t.split()) + 1 for t in texts], np.int64)
-            key = distinct(texts)
-            order, parts, first = dealt(key, buckets)
-            rows += [(GRAMS, int(p), batch, key[order[lo:hi]].tobytes(), b"", b"", b"") for p, lo, hi in zip(parts, first, first[1:], strict=False)]
+            grams_, tokens, _ = wanted(texts)
+            rows = [(kind, p, batch, squeezed(keys[at]), b"", b"") for kind, keys in ((GRAM, grams_), (WORD, tokens)) for p, at in dealt(keys, parts[kind])]
             ids = pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["i", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as w:
                 w.write_batch(ids)
-            rows.append((DOCS, -1, batch, sink.getvalue().to_pybytes(), train.tobytes(), words.tobytes(), pa.compress(b"".join(texts), "zstd", asbytes=True)))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "batch", "a", "b", "c", "d"])
+            rows.append((DOCS, -1, batch, sink.getvalue().to_pybytes(), np.array(held["train"], bool).tobytes(), pa.compress(b"".join(texts), "zstd", asbytes=True)))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "batch", "a", "b", "c"])
 
         held, size = {"doc_id": [], "text": [], "train": []}, 0
-        for b in batches:
+        for b in some(batches):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for k, v in zip(held, row, strict=True):
                     held[k].append(v)
                 size += len(row[1])
-                if size >= BATCH_BYTES or len(held["text"]) >= BATCH_DOCS:
+                if size >= BATCH_BYTES:
                     yield flush()
                     held, size = {"doc_id": [], "text": [], "train": []}, 0
         if held["text"]:
@@ -403,97 +399,77 @@ def scored(docs: DataFrame, training: Column, heavy: np.ndarray, buckets: int) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), training.alias("train")).mapInArrow(run, PACKED)
 
 
-def arrays(table: pa.Table, *kinds) -> list[list[np.ndarray]]:
-    return [[np.frombuffer(v, k) for v in table.column(c).to_pylist()] for c, k in zip("abcd", kinds, strict=False)]
+ANSWERS = "batch long, kind int, part long, a binary"
 
 
-def seldom_sums(packed_rows: DataFrame) -> DataFrame:
-    """For each bucket and batch: the documents' sums of n * log10(c + 1) and of n where c > 0 (part: -1), and for
-    each bucket the number of distinct training tokens."""
+def packed(table: DataFrame, kind: int, parts: int) -> DataFrame:
+    """Rows (key, value) as (kind, part, a: keys, b: values)."""
 
     def run(batches):
-        for g in groups(batches, "part"):
-            a, b, c = arrays(g, np.uint64, np.uint16, np.uint32)
-            h, doc, n = np.concatenate(a), np.concatenate(b), np.concatenate(c).astype(np.int64)
-            owner = np.repeat(np.arange(len(a)), [len(x) for x in a])
-            kinds, place = np.unique(h, return_inverse=True)
-            count = np.bincount(place, np.where(doc & TRAIN, n, 0), len(kinds))
-            rows = [(None, int((count > 0).sum()), b"", b"", b"")]
-            value, seen = n * np.log10(count + 1)[place], np.where(count[place] > 0, n, 0)
-            key = owner.astype(np.int64) << 16 | (doc & (TRAIN - 1))
-            key, place = np.unique(key, return_inverse=True)
-            value, seen = np.bincount(place, value, len(key)), np.bincount(place, seen, len(key)).astype(np.uint32)
-            ids = g.column("batch").to_pylist()
-            cuts = np.searchsorted(key >> 16, np.arange(len(a) + 1))
-            for k in range(len(a)):
-                s = slice(cuts[k], cuts[k + 1])
-                rows.append((ids[k], 0, (key[s] & 0xFFFF).astype(np.uint16).tobytes(), value[s].tobytes(), seen[s].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "distinct", "a", "b", "c"])
-
-    rows = packed_rows.where(F.col("kind") == SELDOM).select("part", "batch", "a", "b", "c")
-    rows = rows.repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(run, "batch long, distinct long, a binary, b binary, c binary")
-
-
-def gram_replies(packed_rows: DataFrame, logs: DataFrame, buckets: int) -> DataFrame:
-    """For each batch and bucket: the logarithms of the bytes in context that the batch sent there, in its order."""
-
-    def pack(batches):
         for g in batches:
-            key, log = g.column(0).to_numpy().view(np.uint64), g.column(1).to_numpy()
-            order, parts, first = dealt(key, buckets)
-            spans = [order[lo:hi] for lo, hi in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([None] * len(parts), pa.int64()), pa.array([key[s].tobytes() for s in spans], pa.binary()), pa.array([log[s].tobytes() for s in spans], pa.binary())], ["part", "batch", "a", "b"])
-
-    def run(batches):
-        for g in groups(batches, "part"):
-            part, (ids, a, b) = g.column("part")[0].as_py(), (g.column(x).to_pylist() for x in ("batch", "a", "b"))
-            table = [k for k, i in enumerate(ids) if i is None]
-            key = np.concatenate([np.frombuffer(a[k], np.uint64) for k in table])
-            log = np.concatenate([np.frombuffer(b[k], float) for k in table])
+            key, value = g.column(0).to_numpy().view(np.uint64), g.column(1).to_numpy()
             order = np.argsort(key)
-            key, log = key[order], log[order].astype(np.float32)
-            back = [(i, log[np.searchsorted(key, np.frombuffer(x, np.uint64))].tobytes()) for i, x in zip(ids, a, strict=True) if i is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in back], pa.int64()), pa.array([part] * len(back), pa.int64()), pa.array([x for _, x in back], pa.binary())], ["batch", "part", "a"])
+            key, value = key[order], value[order]
+            spans = dealt(key, parts)
+            arrays = [pa.array([kind] * len(spans), pa.int32()), pa.array([p for p, _ in spans], pa.int64())]
+            arrays += [pa.array([squeezed(key[at]) for _, at in spans], pa.binary()), pa.array([value[at].tobytes() for _, at in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "part", "a", "b"])
 
-    asked = packed_rows.where(F.col("kind") == GRAMS).select("part", "batch", "a", F.lit(b"").alias("b"))
-    rows = asked.union(logs.mapInArrow(pack, "part long, batch long, a binary, b binary"))
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "batch long, part long, a binary")
+    return table.mapInArrow(run, "kind int, part long, a binary, b binary")
 
 
-def text_scores(texts: list[bytes], replies: dict[int, bytes], buckets: int) -> np.ndarray:
-    """log10 P of each text, its end included."""
-    known = distinct(texts)
-    order, parts, _ = dealt(known, buckets)
-    log = np.empty(len(known))
-    log[order] = np.concatenate([np.frombuffer(replies[int(p)], np.float32) for p in parts])
-    sums = []
-    for some in parts_of(texts):
-        key, real = positions(some)
-        flat = np.zeros(len(key) + DEPTH)
-        flat[DEPTH:][real] = log[np.searchsorted(known, key[real])]
-        sums.append(np.add.reduceat(flat, np.cumsum([0] + [len(t) + DEPTH + 1 for t in some[:-1]])))
-    return np.concatenate(sums)
-
+def answers(asked: DataFrame, logs: DataFrame, counts: DataFrame, parts: tuple[int, int], tasks: int) -> DataFrame:
+    """For the questions (kind, part, batch, a): the values of the keys, in their order; 0 for keys that no table has.
 
-def frequent_counts(packed_rows: DataFrame, size: int) -> np.ndarray:
-    """Exact training counts of the `size` frequent tokens."""
+    logs, counts: (key, value) of the kinds GRAM (float) and WORD (long). A part's questions are dealt over `tasks` tasks."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for g in batches:
-            for a, b, c in zip(*arrays(pa.Table.from_batches([g]), np.uint16, np.uint16, np.uint32), strict=True):
-                total += np.bincount(a, np.where(b & TRAIN, c, 0), size).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"t": at.astype(np.int64), "n": total[at]})
-
-    rows = packed_rows.where(F.col("kind") == OFTEN).select("a", "b", "c").mapInArrow(run, "t long, n long")
-    got = rows.groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # at most HEAVY rows
-    out = np.zeros(size, np.int64)
-    out[got["t"].to_numpy(int)] = got["n"]
+        group, table, keys, values = None, [], None, None
+        for g in some(batches):
+            out = []
+            for kind, part, batch, a, b in zip(*(g.column(x).to_pylist() for x in ("kind", "part", "batch", "a", "b")), strict=True):
+                if group != (kind, part):
+                    group, table, keys = (kind, part), [], None
+                if batch is None:
+                    table.append((restored(a), np.frombuffer(b, np.float32 if kind == GRAM else np.int64)))
+                    continue
+                if keys is None:
+                    keys, values = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    order = np.argsort(keys)
+                    keys, values, table = keys[order], values[order], []
+                mine = restored(a)
+                at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+                found = np.where(keys[at] == mine, values[at], 0) if len(keys) else np.zeros(len(mine), np.int64)
+                out.append((batch, kind, part, found.astype(np.float32 if kind == GRAM else np.int64).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], strict=True)], ["batch", "kind", "part", "a"])
+
+    table = packed(logs, GRAM, parts[GRAM]).union(packed(counts, WORD, parts[WORD]))
+    table = table.select("kind", "part", F.lit(None).cast("long").alias("batch"), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    rows = asked.select("kind", "part", "batch", "a", F.lit(b"").alias("b"), F.pmod(F.xxhash64("batch"), F.lit(tasks)).cast("int").alias("task"))
+    rows = rows.unionByName(table).repartition(tasks * sum(parts), "kind", "part", "task")
+    return rows.sortWithinPartitions("kind", "part", "task", F.col("batch").asc_nulls_first()).mapInArrow(run, ANSWERS)
+
+
+def gathered(keys: np.ndarray, parts: int, replies: dict[int, bytes], kind: type) -> np.ndarray:
+    """The answers to a batch's sorted keys, in their order."""
+    out = np.zeros(len(keys), kind)
+    for p, at in dealt(keys, parts):
+        out[at] = np.frombuffer(replies[p], kind)
     return out
 
 
+def text_scores(texts: list[bytes], known: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """log10 P of each text, its end included; `log` has that of each of `known`, the distinct bytes in context."""
+    sums = []
+    for piece in parts_of(texts):
+        key, real = positions(piece)
+        flat = np.zeros(len(key) + DEPTH)
+        flat[DEPTH:][real] = log[np.searchsorted(known, key[real])]
+        sums.append(np.add.reduceat(flat, np.cumsum([0] + [len(t) + DEPTH + 1 for t in piece[:-1]])))
+    return np.concatenate(sums)
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -502,46 +478,43 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Learns from the rows for which `held_out` (a condition on doc_id) does not hold. Repeated rows count and score
     each for itself; an empty table gives no rows; without training texts every count is 0 and the tree is its prior."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     counts = stored(counted(docs, ~held_out), "lm-counts")
-    tokens = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    often = counts.where("kind = 1").where(F.col("n") * HEAVY >= tokens).select("key").toPandas()  # at most HEAVY rows
-    heavy = np.sort(often["key"].to_numpy(np.int64).view(np.uint64))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(scored(docs, ~held_out, heavy, buckets), "lm-packed")
-    replies = gram_replies(rows, gram_logs(counts.where("kind = 0").select("key", "n")), buckets)
-    sums = stored(seldom_sums(rows), "lm-sums")
-    known = frequent_counts(rows, len(heavy))
-    distinct = (sums.agg(F.sum("distinct")).first()[0] or 0) + int((known > 0).sum())
-    floor = np.log10(tokens + distinct + 1)
-    shared = spark.sparkContext.broadcast(known)
+    sizes = {r.kind: r for r in counts.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("kinds")).collect()}
+    parts = tuple(sizes[k].rows // PART_ROWS + 1 if k in sizes else 1 for k in (GRAM, WORD))
+    tokens, kinds = (sizes[WORD].n, sizes[WORD].kinds) if WORD in sizes else (0, 0)
+    rows = stored(batches_of(docs, ~held_out, parts), "lm-batches")
+    asked = rows.where(F.col("kind") != DOCS)
+    most = asked.groupBy("kind", "part").agg(F.sum(F.octet_length("a")).alias("n")).agg(F.max("n")).first()[0] or 0
+    logs = gram_logs(counts.where(F.col("kind") == GRAM).select("key", "n")).select("key", F.col("log").cast("float"))
+    floor = np.log10(tokens + kinds + 1)
+    replies = answers(asked, logs, counts.where(F.col("kind") == WORD).select("key", "n"), parts, most // ASKED_BYTES + 1)
 
     def run(batches):
-        known = shared.value
         for g in groups(batches, "batch"):
-            kind = np.array(g.column("kind").to_pylist())
-            a, b, c, d = (g.column(x).to_pylist() for x in "abcd")
-            head = int(np.flatnonzero(kind == DOCS)[0])
+            kind, part, a = (g.column(x).to_pylist() for x in ("kind", "part", "a"))
+            head = kind.index(DOCS)
+            back = ({p: x for k, p, x in zip(kind, part, a, strict=True) if k == which} for which in (GRAM, WORD))
             ids, sizes = pa.ipc.open_stream(a[head]).read_all().columns
             ends = np.cumsum(sizes.to_numpy())
-            text = pa.decompress(d[head], int(ends[-1]), "zstd", asbytes=True)
+            text = pa.decompress(g.column("c")[head].as_py(), int(ends[-1]), "zstd", asbytes=True)
             texts = [text[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
-            score = text_scores(texts, {p: x for k, p, x in zip(kind, g.column("part").to_pylist(), a, strict=True) if k == GRAMS}, buckets)
-            words = np.frombuffer(c[head], np.int64)
-            value, seen = np.zeros(len(words)), np.zeros(len(words))
-            for k in np.flatnonzero((kind == OFTEN) | (kind == SELDOM)):
-                if kind[k] == OFTEN:
-                    t, doc, n = np.frombuffer(a[k], np.uint16), np.frombuffer(b[k], np.uint16) & (TRAIN - 1), np.frombuffer(c[k], np.uint32)
-                    value += np.bincount(doc, n * np.log10(known[t] + 1), len(words))
-                    seen += np.bincount(doc, np.where(known[t] > 0, n, 0), len(words))
-                else:
-                    doc = np.frombuffer(a[k], np.uint16)
-                    value[doc] += np.frombuffer(b[k], float)
-                    seen[doc] += np.frombuffer(c[k], np.uint32)
-            yield pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array(~np.frombuffer(b[head], bool)), pa.array(words), pa.array(seen.astype(np.int64)), pa.array(np.full(len(words), tokens)), pa.array(value - words * floor), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    own = rows.where(F.col("kind").isin(DOCS, OFTEN)).select("batch", "kind", "part", "a", "b", "c", "d")
-    back = sums.where("batch is not null").select("batch", F.lit(SELDOM).alias("kind"), F.lit(-1).cast("long").alias("part"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
-    logs = replies.select("batch", F.lit(GRAMS).alias("kind"), "part", "a", *(F.lit(None).cast("binary").alias(x) for x in "bcd"))
-    return own.unionByName(back).unionByName(logs).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, RESULT)
+            known, tokens_, words = wanted(texts)
+            score = text_scores(texts, known, gathered(known, parts[GRAM], next(back), np.float32))
+            count = gathered(tokens_, parts[WORD], next(back), np.int64)
+            value = dict(zip(words, np.log10(count + 1).tolist(), strict=True))
+            new = {w for w, c in zip(words, count.tolist(), strict=True) if not c}
+            n_tokens, n_known, base = [], [], []
+            for t in texts:
+                w = [*t.split(), b""]
+                n_tokens.append(len(w))
+                n_known.append(len(w) - (sum(map(new.__contains__, w)) if new else 0))
+                base.append(sum(map(value.__getitem__, w)) - len(w) * floor)
+            train = np.frombuffer(g.column("b")[head].as_py(), bool)
+            arrays = [ids.combine_chunks(), pa.array(~train), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(texts), tokens)), pa.array(base, pa.float64()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    none = F.lit(None).cast("binary")
+    own = rows.where(F.col("kind") == DOCS).select("batch", "kind", "part", "a", "b", "c")
+    back = replies.select("batch", "kind", "part", "a", none.alias("b"), none.alias("c"))
+    return own.unionByName(back).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, RESULT)
