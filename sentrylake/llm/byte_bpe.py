@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import pandas as pd
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._shared import prepare, text_bytes
 
-#: Characters up to which a text is given to the library whole; bytes up to which a match is.
-LONG, HUGE = 65_536, 4_096
+#: Characters up to which a text is given to the library whole.
+LONG = 65_536
 SAFE = regex.compile(r"(?<=\S)(?= \S)")
 
 
@@ -43,7 +42,7 @@ class ByteBpe:
                 ids += self.library.encode_ordinary(part)
             else:
                 for m in self.matches.finditer(part):
-                    ids += self.merged(m.group().encode())
+                    ids += self.library._core_bpe.encode_single_piece(m.group().encode())
         return ids
 
     def segments(self, text: str):
@@ -60,31 +59,6 @@ class ByteBpe:
             at = cut
         yield text[at:]
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The ids of one match."""
-        if len(piece) <= HUGE:
-            return self.library._core_bpe.encode_single_piece(piece)
-        ranks, n = self.ranks, len(piece)
-        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, mid, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or mid >= n or not alive[mid] or end[mid] != stop:
-                continue
-            end[i], alive[mid] = stop, False
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            if (b := before[i]) >= 0 and (r := ranks.get(piece[b:stop])) is not None:
-                heapq.heappush(heap, (r, b, i, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
-
     def decode(self, ids: list[int]) -> bytes:
         return self.library.decode_bytes(ids)
 

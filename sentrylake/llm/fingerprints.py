@@ -15,13 +15,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import prepare, text_bytes
+from ._shared import prepare, some, stored, text_bytes
 from .shingles import M1, M2, M3, U, mix, terms
 
 SLOTS = 64
+#: Bytes of text in a range of ids, and ranges at most (they are read as streams).
+RANGE_BYTES, MOST_RANGES = 4_000_000, 16_384
 SEEDS = (np.arange(1, SLOTS + 1, dtype=np.uint64) * M3) ^ (np.arange(1, SLOTS + 1, dtype=np.uint64) << U(17))
 LOWEST = np.iinfo(np.int64).min
 
@@ -93,28 +95,33 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """How many ranges of ids the texts are dealt over: one for about RANGE_BYTES, as far as MOST_RANGES."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(min(max(size // RANGE_BYTES, 7) + 1, MOST_RANGES))
+
+
 def with_successor(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, mark, doc_id, text) in runs ordered by doc_id, then text: each bucket holds a range of ids and
     ends with a marked copy of the row that follows it (after the last: the first). One shuffle of the texts; ranges
-    come from approximate quantiles, so they only affect balance. A null doc_id comes first."""
+    come from approximate quantiles, so they only affect balance. A null doc_id comes first. A bucket is read as a
+    stream, so its size bounds no memory."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     rows = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    cuts = np.unique(docs.select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets))
 
     @F.pandas_udf("int")
     def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts), k.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
 
     rows = rows.withColumn("bucket", bucket("k"))
-    first = rows.groupBy("bucket").agg(F.min("k").alias("k"))  # one row a bucket
-    ids = sorted(r.bucket for r in first.select("bucket").collect())
-    first = rows.join(F.broadcast(first), ["bucket", "k"], "left_semi").groupBy("bucket", "k", "doc_id").agg(F.min("text").alias("text"))
-    before = F.create_map(*[F.lit(x) for b, c in zip(ids, [*ids[1:], *ids[:1]], strict=True) for x in (c, b)]) if ids else None
-    if before is None:
-        return rows.select("bucket", F.lit(0).alias("mark"), "k", "doc_id", "text")
-    ends = first.select(before[F.col("bucket")].alias("bucket"), F.lit(1).alias("mark"), "k", "doc_id", "text")
+    heads = stored(rows.groupBy("bucket").agg(F.min("k").alias("k")), "heads", 1)  # one row a bucket
+    order = Window.orderBy("bucket")
+    before = heads.select("bucket", "k", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("ahead"))
+    first = rows.join(F.broadcast(before), ["bucket", "k"]).groupBy("ahead", "k", "doc_id").agg(F.min("text").alias("text"))
+    ends = first.select(F.col("ahead").alias("bucket"), F.lit(1).alias("mark"), "k", "doc_id", "text")
     all_rows = rows.select("bucket", F.lit(0).alias("mark"), "k", "doc_id", "text").unionByName(ends)
-    return all_rows.repartition("bucket").sortWithinPartitions("bucket", "mark", "k", "text")
+    return all_rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "mark", "k", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         prev = wait = None  # the row whose successor isn't known; the row whose successor's fingerprint isn't
 
-        for batch in batches:
+        for batch in some(batches):
             out = []
             for bucket, mark, _, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = terms(text)
@@ -152,4 +159,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, arrow, strict=True)], names)
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return with_successor(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
+    return with_successor(docs, bucket_count(docs)).mapInArrow(run, schema)

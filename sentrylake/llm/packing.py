@@ -5,14 +5,16 @@ piece taking what is over. Full pieces are sequences of their own. The others ar
 about SHARD pieces each, dealt by a hash: a shard is packed best fit, longest first; then local search raises the
 sum of squared fills: the fullest bins that still have room take a piece from the emptiest bins (a move), exchange a
 piece for a longer one (one for one) or for two that are longer together (two for one), and what is left of the
-emptiest bins is packed again, until no bin empties. Bins filled to within TOLERANCE are closed; the pieces of the
-others go to the next round's fewer shards, and the last round, a single shard, closes all.
+emptiest bins is packed again, from more and more of the bins, until no bin empties. Full bins are closed; the pieces
+of the others go to the next round, dealt anew over as few shards as they need. The rounds end with a single shard,
+or with one that makes no fewer sequences of its pieces than they had.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe
 from .token_counts import byte_letters
-from ._shared import groups, prepare, stored, text_bytes
+from ._shared import groups, prepare, some, stored, text_bytes
 
-CAPACITY, SHARD, TOLERANCE, PASSES = 2048, 16_384, 4, 12
+CAPACITY, SHARD = 2048, 16_384
 #: Words kept with their ids by a worker.
 KEPT = 300_000
 
@@ -42,7 +44,12 @@ class TokenIds:
             file = json.load(f)
         letters = byte_letters()
         self.bpe = ByteBpe({bytes(letters[c] for c in t): i for t, i in file["model"]["vocab"].items()}, pattern)
+        made = [file["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in file["model"]["merges"]]
+        if file["pre_tokenizer"]["type"] != "ByteLevel" or file["normalizer"] is not None or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{path}: its ids are not those of byte-level merges in the order of their ranks")
         self.special = {a["content"]: a["id"] for a in file["added_tokens"]}
+        names = sorted(self.special, key=len, reverse=True)  # the first to begin counts, and of those the longest
+        self.names = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.kept: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -69,10 +76,13 @@ class TokenIds:
 
     def __call__(self, text: str) -> bytes:
         """The ids of the text; a special token's string in it is that token, the library's default."""
-        for name, number in self.special.items():
-            if name in text:
-                return array("I", [number]).tobytes().join(self(p) for p in text.split(name))
-        return self.part(text)
+        if not any(name in text for name in self.special):
+            return self.part(text)
+        out, at = [], 0
+        for m in self.names.finditer(text):
+            out += [self.part(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes()]
+            at = m.end()
+        return b"".join((*out, self.part(text[at:])))
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +97,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, separator: int = 0, capacit
     def run(batches):
         ids = load(path, pattern)
         end = array("I", [separator]).tobytes()
-        for batch in batches:
+        for batch in some(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = ids(text) + end
@@ -143,13 +153,20 @@ class Search:
 
     def two(self, low: int, high: int) -> tuple[int, int] | None:
         """Two lengths of the pool with the greatest sum in (low, high]."""
-        for total in range(high, max(low, high - 3), -1):
-            a = np.arange(max(1, total - self.capacity), total // 2 + 1)
-            ok = (self.count[a] > 0) & (self.count[total - a] > np.where(2 * a == total, 1, 0))
-            if ok.any():
-                x = int(a[ok][-1])
-                return x, total - x
-        return None
+        if high < 2:
+            return None
+        n = min(high, self.capacity + 1)
+        place = np.arange(n)
+        there = self.count[:n] > 0
+        near = np.maximum.accumulate(np.where(there, place, 0))  # the greatest length up to each
+        a = np.flatnonzero(there[: high // 2 + 1])  # the smaller of the two
+        b = near[np.minimum(high - a, n - 1)]
+        b = np.where((b == a) & (self.count[a] < 2), 0, b)
+        total = np.where(b >= a, a + b, 0)
+        if not len(a) or total.max() <= low:
+            return None
+        k = int(total.argmax())
+        return int(a[k]), int(b[k])
 
     def fill(self, bin_: list[tuple[int, int]], room: int) -> int:
         """Improve one bin as long as an exchange gains; what is left of its room."""
@@ -182,12 +199,12 @@ class Search:
         return [(length, i) for length in np.flatnonzero(self.count).tolist() for i in self.by[length]]
 
 
-def packed(lengths: list[int], capacity: int = CAPACITY, passes: int = PASSES) -> list[list[tuple[int, int]]]:
+def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int]]]:
     """Bins of (length, place in `lengths`)."""
     fill = lambda b: sum(n for n, _ in b)
     done, rest = [], best_fit([(n, i) for i, n in enumerate(lengths)], capacity)
-    share = 0.15
-    for _ in range(passes):
+    share = 0.1
+    while share < 1:
         done += [b for b in rest if fill(b) == capacity]
         rest = sorted((b for b in rest if fill(b) < capacity), key=fill)
         need = -(-sum(map(fill, rest)) // capacity)
@@ -201,8 +218,8 @@ def packed(lengths: list[int], capacity: int = CAPACITY, passes: int = PASSES) -
         again = kept + best_fit(search.pool(), capacity)
         if len(again) < len(rest):
             rest = again
-        elif (share := 2 * share) > 1:  # no bin emptied: open more bins, or leave it there
-            break
+        else:  # no bin emptied: open more bins
+            share *= 1.5
     return done + rest
 
 
@@ -222,7 +239,7 @@ def packing_round(rows: DataFrame, number: int, shards: int, capacity: int) -> D
                     order.append(i)
                     sequence.append(number << 56 | shard << 24 | k)
                     offset.append(at)
-                    is_open.append(shards > 1 and left > TOLERANCE)
+                    is_open.append(shards > 1 and left > 0)
                     at += n
             out = g.drop_columns(["shard"]).take(pa.array(order, pa.int64()))
             for name, v in (("sequence_id", pa.array(sequence, pa.int64())), ("offset", pa.array(offset, pa.int64())), ("open", pa.array(is_open))):
@@ -241,15 +258,20 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) ->
     no rows. Texts are read and encoded once; only lengths and check sums are shuffled."""
     rows = stored(pieces(docs, path, pattern, capacity=capacity), "pieces")
     whole = rows.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    left, parts, number = rows.where(F.col("length") < capacity), [whole], 0
-    while n := left.count():
+    left, parts, number, before = rows.where(F.col("length") < capacity), [whole], 0, None
+    sequences = lambda placed: placed.where("open").agg(F.count("*"), F.sum((F.col("offset") == 0).cast("long"))).first()
+    n = left.count()
+    while n:
         shards = -(-n // SHARD)
         placed = stored(packing_round(left, number, shards, capacity), f"packed-{number}")
+        if before is not None:
+            made = placed.where("offset = 0").count()
+            if made >= before[1]:  # no sequence less than these pieces had: they stay as they were
+                parts.append(before[0].where("open").drop("open"))
+                break
         parts.append(placed.where("not open").drop("open"))
-        left, before, number = placed.where("open").drop("open", "sequence_id", "offset"), n, number + 1
-        if shards > 1 and left.count() > 0.9 * before:  # little closes any more: close what there is
-            parts.append(placed.where("open").drop("open"))
-            break
+        n, some_open = sequences(placed)
+        left, before, number = placed.where("open").drop("open", "sequence_id", "offset"), (placed, some_open), number + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

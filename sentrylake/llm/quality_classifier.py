@@ -52,24 +52,38 @@ def indicators(text: str) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """Places in the shorter of two forms: numbers, or a bit for each place of the table. A text of any length is thus
+    at most 2^BITS / 8 bytes of the sample."""
+    if len(x) * 32 <= 1 << BITS:
+        return x
+    bits = np.zeros(1 << BITS, bool)
+    bits[x] = True
+    return np.packbits(bits)
+
+
+def places(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype == np.int32 else np.flatnonzero(np.unpackbits(x)).astype(np.int32)
+
+
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """log of the classes' smoothed indicator shares, positive over negative."""
     counts = {s: np.full(1 << BITS, alpha) for s in (1, -1)}
     for x, s in zip(rows, y, strict=True):
-        counts[int(s)][x] += 1
+        counts[int(s)][places(x)] += 1
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise |w|^2/2 + cost * hinge losses of the unit vectors r[x]/|r[x]|."""
     w, bias = np.zeros(len(r)), 0.0
-    norm = np.array([max(math.sqrt(float(r[x] @ r[x])), 1e-9) for x in rows])
+    norm = np.array([max(math.sqrt(float(r[x] @ r[x])), 1e-9) for x in map(places, rows)])
     diagonal = np.array([1.0 if len(x) else 0.0 for x in rows]) + 1.0  # the intercept is a feature of value 1
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x, s = rows[i], y[i]
+            x, s = places(rows[i]), y[i]
             v = r[x] / norm[i]
             gradient = s * (float(w[x] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost)
@@ -83,7 +97,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
 
 def margins(rows: list[np.ndarray], model: dict) -> np.ndarray:
     r, wr = model["r"], model["wr"]
-    return np.array([float(wr[x].sum()) / max(math.sqrt(float((r[x] * r[x]).sum())), 1e-9) + model["bias"] if len(x) else model["bias"] for x in rows])
+    return np.array([float(wr[x].sum()) / max(math.sqrt(float((r[x] * r[x]).sum())), 1e-9) + model["bias"] if len(x) else model["bias"] for x in map(places, rows)])
 
 
 def logistic(m: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
@@ -139,17 +153,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", training: Co
     the weight table of fixed size comes to the driver."""
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def places(texts: pd.Series) -> pd.Series:
-        return pd.Series([indicators(t).tobytes() for t in texts])
+    @F.pandas_udf("bits boolean, x binary")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [packed(indicators(t)) for t in texts]
+        return pd.DataFrame({"bits": [x.dtype != np.int32 for x in rows], "x": [x.tobytes() for x in rows]})
 
     def learn(batches):
-        got = [(i, y, np.frombuffer(x, np.int32)) for b in batches for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = [(i, y, np.frombuffer(x, np.uint8 if bits else np.int32)) for b in batches for i, y, bits, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort(key=lambda g: g[0])
         model = train([g[2] for g in got], np.array([g[1] for g in got], int))
         yield pa.RecordBatch.from_pydict({"r": [model["r"].tobytes()], "wr": [model["wr"].tobytes()], "bias": [model["bias"]], "a": [model["a"]], "b": [model["b"]]})
 
-    rows = sample(docs, labels, label, training, max_rows).select(F.xxhash64("doc_id").alias("h"), "y", places("text").alias("x"))
+    rows = sample(docs, labels, label, training, max_rows).select(F.xxhash64("doc_id").alias("h"), "y", found("text").alias("x")).select("h", "y", "x.bits", "x.x")
     got = rows.repartition(1).mapInArrow(learn, "r binary, wr binary, bias double, a double, b double").first()
     if got is None:
         return train([], np.zeros(0, int))

@@ -4,7 +4,10 @@ Each text gives a vector of transformed shares. Per source of a language (where
 language, else over all) the minimum-covariance-determinant estimate is found by concentration steps: every document's
 distance under the current estimate, then mean and covariance of the three quarters nearest to it. Distances are
 gathered in narrow logarithmic bins with their moments, so a step is one grouping with partial sums over all
-documents, and an estimate is made from at most BINS rows; the bin on the edge counts in part. The estimate is
+documents, and an estimate is made from at most BINS rows; the bin on the edge counts in part.
+
+A group begins from several estimates: medians with median absolute deviations, and STARTS small subsets drawn by hash.
+After two steps the one of the least determinant goes on, until no group's determinant falls any more. The estimate is
 then corrected for consistency, reweighted once, and documents beyond the chi-square quantile are rejected.
 """
 
@@ -24,9 +27,12 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The vector: log of word length; square roots of symbols, upper-case letters, digits, marks and repeated words in proportion.
 SHARES = ("length", "symbols", "upper", "digits", "marks", "repeats")
 P = len(SHARES)
-#: Least standard deviations: shares that are almost constant in a group would else reject any other value.
+#: Least standard deviations: shares that are almost constant in a group would else reject any other value. Only variances
+#: (along the axes of the scatter, in units of these) that are less are raised.
 FLOORS = (0.06, 0.06, 0.06, 0.06, 0.12, 0.10)
-COVERED, STEPS, BINS, REWEIGHT, REJECT, LEAST = 0.75, 8, 640, 0.975, 0.9999999, 200
+COVERED, BINS, REWEIGHT, REJECT, LEAST = 0.75, 640, 0.975, 0.9999999, 200
+#: Drawn starts besides the medians, the documents of each, steps before the choice, and the least fall of log determinants.
+STARTS, DRAWN, TRIED, SETTLED = 3, 16, 2, 1e-3
 SPACE, SYMBOLS, DIGITS, MARKS = b" \t\n\v\f\r", b"#*$%&|<>", b"0123456789", b"!?;:"
 UPPER = bytes(range(65, 91))
 STRUCT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<double>"
@@ -79,7 +85,7 @@ def stats_column(text: Column) -> Column:
     def stats(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measured(t) for t in texts], columns=[*NAMES, "x"])
 
-    return stats(text)
+    return stats.asNondeterministic()(text)  # evaluated once, where it stands
 
 
 def base_failed(stats: str = "") -> Column:
@@ -129,12 +135,19 @@ def distance(x: Column, center: Column, precision: Column) -> Column:
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-ESTIMATE = "g string, n long, center array<double>, precision array<double>"
+ESTIMATE = "g string, start int, n long, logdet double, center array<double>, precision array<double>"
+
 
+def raised(cov: np.ndarray) -> np.ndarray:
+    """The scatter with its variances raised to the floors."""
+    unit = np.outer(FLOORS, FLOORS)
+    w, v = np.linalg.eigh(cov / unit)
+    return (v * np.maximum(w, 1)) @ v.T * unit
 
-def estimate(g: str, n: int, center: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    precision = np.linalg.inv(cov)
-    return pd.DataFrame({"g": [g], "n": [n], "center": [center.tolist()], "precision": [precision.ravel().tolist()]})
+
+def estimate(g: str, start: int, n: int, center: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    cov = raised(cov)
+    return pd.DataFrame({"g": [g], "start": [start], "n": [n], "logdet": [np.linalg.slogdet(cov)[1]], "center": [center.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
 
 
 def concentrated(share: float | None, factor: float):
@@ -153,22 +166,25 @@ def concentrated(share: float | None, factor: float):
         cov = np.zeros((P, P))
         for (i, j), v in zip(PAIRS, q, strict=True):
             cov[i, j] = cov[j, i] = v - mean[i] * mean[j]
-        cov = factor * cov + np.diag(np.square(FLOORS))
-        return estimate(pdf["g"].iloc[0], int(pdf["whole"].iloc[0]), mean, cov)
+        return estimate(pdf["g"].iloc[0], int(pdf["start"].iloc[0]), int(pdf["whole"].iloc[0]), mean, factor * cov)
 
     return make
 
 
 def moments(rows: DataFrame, kept: Column | None = None) -> DataFrame:
-    """Per group and bin of distance: count, sums and sums of products of the rows."""
+    """Per group, start and bin of distance: count, sums and sums of products of the rows."""
     d2 = distance(F.col("x"), F.col("center"), F.col("precision"))
     bins = F.least(F.greatest(F.floor(F.log2(d2 + 1e-9) * 16) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
     rows = rows.withColumn("d2", d2).withColumn("bin", bins)
     if kept is not None:
         rows = rows.where(kept).withColumn("bin", F.lit(0))
+    return summed(rows)
+
+
+def summed(rows: DataFrame) -> DataFrame:
     sums = [F.sum(F.col("x")[i]) for i in range(P)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]
-    return rows.groupBy("g", "bin").agg(F.count("*").alias("n"), F.max("whole").alias("whole"), F.array(*sums).alias("s"), F.array(*products).alias("q"))
+    return rows.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.max("whole").alias("whole"), F.array(*sums).alias("s"), F.array(*products).alias("q"))
 
 
 def first_estimate(rows: DataFrame) -> DataFrame:
@@ -186,30 +202,49 @@ def first_estimate(rows: DataFrame) -> DataFrame:
             order = np.argsort(gap)
             spread[i] = 1.4826 * gap[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
         whole = int(pdf.loc[pdf["pos"] == 0, "n"].sum())
-        return estimate(pdf["g"].iloc[0], whole, center, np.diag(spread**2 + np.square(FLOORS)))
+        return estimate(pdf["g"].iloc[0], 0, whole, center, np.diag(spread**2))
 
     bins = rows.select("g", F.posexplode(F.transform("x", lambda v: F.floor(v / width))).alias("pos", "bin"))
     return bins.groupBy("g", "pos", "bin").agg(F.count("*").alias("n")).groupBy("g").applyInPandas(make, ESTIMATE)
 
 
+def drawn_estimates(rows: DataFrame, first: DataFrame, count: int) -> DataFrame:
+    """Mean and scatter of STARTS subsets of about DRAWN documents of each group, drawn by hashes of their vectors."""
+    many = small_join(rows, first.select("g", F.col("n").alias("whole")), ["g"], count, how="inner")
+    many = many.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(1, STARTS + 1)))))
+    share = F.pmod(F.xxhash64("x", "start"), F.lit(1 << 40)) / float(1 << 40)
+    some = many.where(share * F.col("whole") < DRAWN).withColumn("bin", F.lit(0))
+    return summed(some).groupBy("g", "start").applyInPandas(concentrated(None, 1.0), ESTIMATE)
+
+
 def fit(stats: DataFrame) -> DataFrame:
-    """Estimates (g, n, center, precision) of each group, from rows (lang, source, x) of the documents to learn from."""
+    """Estimates (g, n, center, precision, ...) of each group, from rows (lang, source, x) of the documents to learn from."""
     rows = stats.select(F.explode(F.array(*group_keys())).alias("g"), "x")
-    model = stored(first_estimate(rows), "mcd-0")
+    model = stored(first_estimate(rows), "mcd-first", 1)
     count = model.count()
-    cut = chi_square_quantile(COVERED, P)
-    for k in range(STEPS + 1):
-        joined = small_join(rows, model.withColumnRenamed("n", "whole"), ["g"], count, how="inner")
-        if k < STEPS:
-            # the scatter of the nearest rows underestimates by the factor that the normal distribution gives
-            factor = COVERED / chi_square_cdf(cut, P + 2)
-            made = moments(joined).groupBy("g").applyInPandas(concentrated(COVERED, factor), ESTIMATE)
-        else:
-            edge = chi_square_quantile(REWEIGHT, P)
-            factor = REWEIGHT / chi_square_cdf(edge, P + 2)
-            made = moments(joined, F.col("d2") <= edge).groupBy("g").applyInPandas(concentrated(None, factor), ESTIMATE)
-        model = stored(made, f"mcd-{k + 1}")
-    return model
+    cut, edge = chi_square_quantile(COVERED, P), chi_square_quantile(REWEIGHT, P)
+
+    def step(model: DataFrame, share: float | None, factor: float, kept: Column | None = None) -> DataFrame:
+        joined = small_join(rows, model.withColumnRenamed("n", "whole").drop("logdet"), ["g"], count * (STARTS + 1), how="inner")
+        return stored(moments(joined, kept).groupBy("g", "start").applyInPandas(concentrated(share, factor), ESTIMATE), "mcd", 1)
+
+    # the scatter of the nearest rows underestimates by the factor that the normal distribution gives
+    concentrate = (COVERED, COVERED / chi_square_cdf(cut, P + 2))
+    starts = stored(model.unionByName(drawn_estimates(rows, model, count)), "mcd-starts", 1)
+    for _ in range(TRIED):
+        starts = step(starts, *concentrate)
+    names = [x.split()[0] for x in ESTIMATE.split(", ")]
+    inner = F.struct("logdet", *(n for n in names if n != "logdet"))
+    model = stored(starts.groupBy("g").agg(F.min(inner).alias("m")).select(*(F.col(f"m.{n}").alias(n) for n in names)), "mcd-best", 1)
+    while True:
+        made = step(model, *concentrate)
+        both = made.select("g", inner.alias("new")).join(model.select("g", inner.alias("old")), "g")
+        fall = both.agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
+        better = F.when(F.col("new.logdet") < F.col("old.logdet"), F.col("new")).otherwise(F.col("old"))
+        model = stored(both.select(better.alias("m")).select(*(F.col(f"m.{n}").alias(n) for n in names)), "mcd-next", 1)
+        if fall is None or fall <= SETTLED:
+            break
+    return step(model, None, REWEIGHT / chi_square_cdf(edge, P + 2), F.col("d2") <= edge)
 
 
 def with_distance(docs: DataFrame, model: DataFrame, x: str, to: str) -> DataFrame:
@@ -219,8 +254,8 @@ def with_distance(docs: DataFrame, model: DataFrame, x: str, to: str) -> DataFra
     inner = F.struct("center", "precision")
     out = docs
     for k, key in enumerate(group_keys()):
-        level = model.select(F.col("g").alias(f"__g{k}"), inner.alias(f"__m{k}"))
-        out = small_join(out.withColumn(f"__g{k}", key), level, [f"__g{k}"], count)
+        level = model.where(F.col("g").startswith(str(2 - k))).select(F.col("g").alias(f"__g{k}"), inner.alias(f"__m{k}"))
+        out = small_join(out.withColumn(f"__g{k}", key), level, [f"__g{k}"], count if k < 2 else 1)
     out = out.withColumn("__m", F.coalesce("__m0", "__m1", "__m2"))
     out = out.withColumn(to, distance(F.col(x), F.col("__m.center"), F.col("__m.precision")))
     return out.drop("__g0", "__g1", "__g2", "__m0", "__m1", "__m2", "__m")
@@ -244,11 +279,11 @@ def verdict(failed: Column, d2: Column) -> Column:
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; their texts aren't shuffled."""
+    """The documents that pass, with all their columns; their statistics are made once and stored with them, and their
+    texts aren't shuffled."""
     prepare(docs.sparkSession)
-    rows = docs.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source")), stats_column(text_bytes()).alias("m"))
-    rows = stored(rows.select("lang", "source", "m.*").where(~base_failed()).select("lang", "source", "x"), "quality-stats")
-    model = fit(rows)
-    out = docs.withColumn("__s", stats_column(text_bytes())).where(~base_failed("__s."))
-    out = out.withColumn("__x", F.col("__s.x"))
-    return with_distance(out, model, "__x", "__d").where(verdict(F.lit(False), F.col("__d"))).select(*docs.columns)
+    names = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
+    rows = docs.select(F.struct("*").alias("row"), *names, stats_column(text_bytes()).alias("m")).where(~base_failed("m."))
+    rows = stored(rows.select("row", "lang", "source", "m.x"), "quality-rows")
+    out = with_distance(rows, fit(rows.select("lang", "source", "x")), "x", "d2").where(verdict(F.lit(False), F.col("d2")))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

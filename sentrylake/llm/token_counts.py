@@ -8,8 +8,11 @@ change of the token count (it may be negative: merging takes counts back) and a
 start state. States are determinised on demand and kept for the worker's life.
 
 A batch's symbols are cut into chunks that run in step. A chunk first runs from an unknown state, which the first
-word end turns into the start state: its state map is constant, or, where no word ends in it, still open. The
-prefix scan then hands exit states along; open chunks (words longer than a chunk) are resolved in turn.
+word end turns into the start state: its state map is constant. A chunk inside a longer word has a map of entry to
+exit states, made for the states that its last few symbols can lead to. The maps compose in a parallel prefix scan:
+at each of its steps the map of every block of chunks is joined to that of the block before it, and what has met a
+constant map is known. An entry state that a map lacks is run and added to it. With all entry states known, the open
+beginnings of all chunks run once more, in step, for the counts.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ LANES = 4096
 #: Characters counted in one go; longer texts are cut before a space, where no word or special token can span.
 PIECE = 2_000_000
 UNKNOWN, START, NONE = 0, 1, -1
+#: Symbols before a chunk, each of which is tried as the beginning of the word.
+GUESSES = 24
 #: States after which a worker starts afresh (between batches), to bound its memory.
 MOST_STATES = 100_000
 #: Unicode's White_Space.
@@ -167,18 +172,82 @@ class Transducer:
             state, out[k] = self.advance(state, grid[k])
         heads = np.where((grid >= END).any(0), (grid >= END).argmax(0) + 1, width)
         heads[0] = 0
-        waiting = np.arange(1, rows)
-        while len(waiting):  # the scan: chunks whose predecessor's exit state is known run their open part
-            ready = waiting[state[waiting - 1] != UNKNOWN]
-            waiting = waiting[state[waiting - 1] == UNKNOWN]
-            at = state[ready - 1].copy()
-            for k in range(int(heads[ready].max())):
-                run = heads[ready] > k
-                at[run], out[k, ready[run]] = self.advance(at[run], grid[k, ready[run]])
-            whole = state[ready] == UNKNOWN
-            state[ready[whole]] = at[whole]
+        at = np.append(START, self.exits(grid, state)[:-1])
+        for k in range(int(heads.max())):
+            run = np.flatnonzero(heads > k)
+            at[run], out[k, run] = self.advance(at[run], grid[k, run])
         return out.T.ravel()[:n]
 
+    def run(self, grid: np.ndarray, chunks: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The exit states of chunks (columns of `grid`) from entry states."""
+        for row in grid:
+            state = self.advance(state, row[chunks])[0]
+        return state
+
+    def chunk_maps(self, grid: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of chunks without a known exit state, as sorted (chunk << 32 | entry state) and exit states: for the
+        exit state of the chunk before, or where that isn't known for each that a word begun in its last GUESSES
+        symbols has at its end."""
+        width = len(grid)
+        chunks = np.flatnonzero(known == UNKNOWN)
+        guesses = min(GUESSES, width)
+        begin, lane = np.divmod(np.arange(guesses * len(chunks)), len(chunks))
+        lane = chunks[lane]
+        state = np.full(len(lane), UNKNOWN, np.int32)
+        for k in range(guesses):
+            state[begin == k] = START
+            state = self.advance(state, grid[width - guesses + k, lane - 1])[0]
+        before = known[lane - 1]
+        key = np.unique(lane << 32 | np.where(before == UNKNOWN, state, before))
+        return key, self.run(grid, key >> 32, (key & 0xFFFFFFFF).astype(np.int32))
+
+    def exits(self, grid: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The exit states of all chunks, by a prefix scan of their state maps; `known` has those of constant maps."""
+        known = known.copy()
+        if (known != UNKNOWN).all():
+            return known
+        key, to = self.chunk_maps(grid, known)
+        while (known == UNKNOWN).any():
+            step, k, t = 1, key, to  # the maps of blocks of `step` chunks, by their last chunk
+            while step < len(known) and len(k):
+                rest = np.flatnonzero(known[step:] == UNKNOWN) + step
+                rest = rest[known[rest - step] != UNKNOWN]
+                has, value = looked_up(k, t, rest << 32 | known[rest - step])
+                known[rest[has]] = value
+                longer = (k >> 32) + step
+                has, value = looked_up(k, t, longer << 32 | t)
+                k, t = longer[has] << 32 | k[has] & 0xFFFFFFFF, value
+                step *= 2
+            rest = np.flatnonzero(known[1:] == UNKNOWN) + 1
+            rest = rest[known[rest - 1] != UNKNOWN]  # their maps lack the entry state
+            if len(rest):
+                more = rest << 32 | known[rest - 1]
+                known[rest] = self.run(grid, rest, known[rest - 1])
+                key, at = np.unique(np.concatenate([key, more]), return_index=True)
+                to = np.concatenate([to, known[rest]])[at]
+        return known
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `wanted` are among the sorted keys, and the values of those."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    has = keys[at] == wanted
+    return has, values[at[has]]
+
+
+# The normalizer, pre-tokenizer and kind of model that the counter's own passes are made for.
+FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    ("BPE", None, None, False),
+)
+
 
 class TokenCounter:
     """counts(texts) for a `tokenizers` file: NFC, lower case, white space dropped, words by class and contraction."""
@@ -189,7 +258,12 @@ class TokenCounter:
         model = file["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.machine = Transducer(model["vocab"], merges, model["end_of_word_suffix"])
-        self.special = re.compile("|".join(re.escape(a["content"]) for a in file["added_tokens"]) or r"(?!)")
+        kind = (model.get("type"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("byte_fallback", False))
+        if (file.get("normalizer"), file.get("pre_tokenizer"), kind) != FORM:
+            raise ValueError(f"{path}: its normalizer, pre-tokenizer or model is not the one that this counter is made for")
+        names = sorted((a["content"] for a in file["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
+        self.marks = {n[0] for n in names}
         kind = np.full(0x110000, 3, np.uint8)
         for c in range(0x110000):
             if (k := unicodedata.category(chr(c))[0]) in "LN":
@@ -258,7 +332,7 @@ class TokenCounter:
         extra = np.zeros(len(texts), np.int64)
         parts = []
         for k, t in enumerate(texts):
-            if "<" in t:
+            if any(m in t for m in self.marks):
                 t, extra[k] = self.special.subn("\n", t)
             parts.append(self.normal(t))
         ends = np.cumsum([len(p) + 1 for p in parts])

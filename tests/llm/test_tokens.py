@@ -1,4 +1,5 @@
 import array
+import json
 import hashlib
 import random
 import zlib
@@ -40,6 +41,30 @@ def test_chunks_compose_whatever_their_number(counter):
         assert (counter.machine.gains(symbols, lanes) == whole).all()
 
 
+@pytest.mark.parametrize("guesses", [24, 1])
+def test_state_maps_of_words_over_many_chunks(counter, monkeypatch, guesses):
+    """Words of many chunks: the scan finds each chunk's entry state, also where the guesses miss it."""
+    monkeypatch.setattr(token_counts, "GUESSES", guesses)
+    rng = random.Random(11)
+    words = ["".join(rng.choice(kinds) for _ in range(n)) for kinds, n in (("z", 9001), ("ab", 8000), ("abcdefghijklmnopqrstuvwxyz", 12_000), ("ha", 70), ("the", 3001), ("é中a", 2000))]
+    text = " ".join(words) + "\n"
+    symbols, _ = counter.symbols(text)
+    whole = counter.machine.gains(symbols, lanes=1)
+    for lanes in (8, 100, 500):
+        assert (counter.machine.gains(symbols, lanes) == whole).all()
+    n = len(Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    assert whole.sum(dtype=int) == n
+
+
+def test_other_files_are_refused(tmp_path):
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="normalizer"):
+        token_counts.TokenCounter(str(tmp_path / "other.json"))
+
+
 def test_long_texts_are_counted_in_pieces(counter, monkeypatch):
     text = " ".join(noise(200, 5))
     want = counter.counts([text]).tolist()
@@ -84,7 +109,6 @@ def test_long_texts_split_only_where_it_is_safe(monkeypatch):
     texts = [*noise(300, 3), "word " * 300, "a" * 900, " " * 900, "x \n  y" * 100, "ab cd" * 200]
     want = [bpe.library.encode_ordinary(t) for t in texts]
     monkeypatch.setattr(byte_bpe, "LONG", 40)
-    monkeypatch.setattr(byte_bpe, "HUGE", 8)
     assert [bpe.encode(t) for t in texts] == want
     assert all(bpe.decode(w) == t.encode() for w, t in zip(want, texts, strict=True))
 
@@ -96,18 +120,11 @@ def test_columns_round_trip(spark):
     assert all(bytes(r.back) == (r.text or "").encode() for r in rows)
 
 
-def test_heap_merges_as_the_library():
-    ranks = byte_bpe.load(RANKS, P.PATTERN).ranks
-    bpe = byte_bpe.ByteBpe(ranks, P.PATTERN)
-    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def test_one_long_match():
+    bpe = byte_bpe.load(RANKS, P.PATTERN)
     rng = random.Random(4)
-    for n in (1, 2, 3, 50, 6000):
-        piece = "".join(rng.choice("abcdeé") for _ in range(n)).encode()
-        old, byte_bpe.HUGE = byte_bpe.HUGE, 0
-        try:
-            assert bpe.merged(piece) == library._core_bpe.encode_single_piece(piece)
-        finally:
-            byte_bpe.HUGE = old
+    text = "".join(rng.choice("abcdeé") for _ in range(200_000))  # a single match, far over LONG
+    assert bpe.decode(bpe.encode(text)) == text.encode() and len(bpe.encode(text[:70_000])) == len(bpe.library.encode_ordinary(text[:70_000]))
 
 
 def test_kept_words_give_the_library_ids():
@@ -170,3 +187,22 @@ def test_local_search_never_loses_and_often_gains():
         assert len(found) <= len(plain)
         gained += len(found) < len(plain)
     assert gained
+
+
+def test_search_closes_the_gap_where_best_fit_misses_the_bound():
+    """Lengths of 500 to 1000: best fit is over a tenth above the least number of sequences; the search gains a third of that."""
+    rng = random.Random(2)
+    lengths = [rng.randint(500, 1000) for _ in range(3000)]
+    bound, plain, found = -(-sum(lengths) // 2048), len(packing.best_fit([(n, i) for i, n in enumerate(lengths)], 2048)), len(packing.packed(lengths))
+    assert plain - found >= (plain - bound) / 4
+
+
+def test_two_for_one_finds_the_best_pair():
+    rng = random.Random(8)
+    for _ in range(200):
+        pool = [(rng.randint(1, 60), i) for i in range(rng.randint(0, 9))]
+        low, high = sorted((rng.randint(0, 70), rng.randint(0, 70)))
+        sums = [a[0] + b[0] for i, a in enumerate(pool) for b in pool[:i] if low < a[0] + b[0] <= high]
+        got = packing.Search(pool, 64).two(low, min(high, 64))
+        best = max((x for x in sums if x <= 64), default=None)
+        assert (sum(got) if got else None) == best
