@@ -1,10 +1,10 @@
-"""Knobs: risk weights, severity bands, asset criticality."""
+"""Settings: risk weights, severity bands, criticality of hosts, and the knobs of a deployment."""
 
 from __future__ import annotations
 
-import copy
 import json
-import os
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 # The default weights of the composite risk score.
@@ -23,39 +23,80 @@ DEFAULT_CRITICALITY = 0.5
 ANOMALY_THRESHOLD = 0.98
 
 
-def number(name: str, default: float, environ: dict | None = None) -> float:
-    """A number from the environment; blank or invalid text gives the default."""
-    text = (os.environ if environ is None else environ).get(name, "").strip()
-    try:
-        return type(default)(float(text)) if text else default
-    except ValueError:
-        return default
+class BadSettings(ValueError):
+    """Settings that can't be used; the message names each."""
+
+
+def flat_weights() -> dict[str, float]:
+    """The default weights by their dotted names (`impact.privilege`)."""
+    return {f"{group}.{name}": value for group, inner in RISK_WEIGHTS.items() for name, value in inner.items()}
 
 
-def merged(base: dict, change: dict) -> dict:
-    """`change` laid over `base`, level by level."""
-    out = copy.deepcopy(base)
-    for k, v in change.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+def weights(changes: Mapping[str, float]) -> dict[str, dict[str, float]]:
+    """The risk weights with some of them changed, by their dotted names; BadSettings for unknown names and non-numbers."""
+    flat = flat_weights()
+    wrong = [f"{k} is unknown" for k in changes if k not in flat]
+    wrong += [f"{k} is no number of 0 or more" for k, v in changes.items() if isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0]
+    if wrong:
+        raise BadSettings("; ".join(wrong))
+    out: dict[str, dict[str, float]] = {}
+    for name, value in {**flat, **changes}.items():
+        group, _, part = name.partition(".")
+        out.setdefault(group, {})[part] = float(value)
     return out
 
 
-def risk_weights(path: str | None = None) -> dict:
-    """The default weights with those of a JSON file laid over them; an absent or broken file changes nothing."""
-    if path:
-        try:
-            change = json.loads(Path(path).read_text())
-            if isinstance(change, dict):
-                return merged(RISK_WEIGHTS, change)
-        except (OSError, ValueError):
-            pass
-    return copy.deepcopy(RISK_WEIGHTS)
+def _dotted(tree: object, path: Iterable[str] = ()) -> dict[str, object]:
+    if not isinstance(tree, dict):
+        return {".".join(path): tree}
+    return {k: v for name, inner in tree.items() for k, v in _dotted(inner, (*path, str(name))).items()}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment can set. `read` takes each field from a variable of its name in capitals, with a prefix; what is
+    wrong there keeps its default and is named in `problems`, so that a service starts and reports it."""
+
+    threshold: float = ANOMALY_THRESHOLD
+    batch_rows: int = 1000
+    every_seconds: int = 300
+    trees: int = 300
+    sample: int = 4096
+    weights: dict = field(default_factory=lambda: weights({}))
+    hosts: dict = field(default_factory=dict)
+    problems: tuple[str, ...] = ()
+
+    @classmethod
+    def read(cls, variables: Mapping[str, str], prefix: str = "SENTRYLAKE_") -> Settings:
+        """weights: a JSON file of weights to change; hosts: JSON text of host names and criticalities."""
+        found, problems = {}, []
+        readers = {"float": float, "int": lambda t: int(float(t)), "weights": weights_of_file, "hosts": criticalities}
+        for f in fields(cls):
+            text = variables.get(prefix + f.name.upper(), "").strip()
+            reader = readers.get(f.name) or readers.get(f.type)
+            if not text or reader is None:
+                continue
+            try:
+                found[f.name] = reader(text)
+            except (ValueError, OSError) as e:
+                problems.append(f"{prefix}{f.name.upper()}: {e}")
+        return cls(**found, problems=tuple(problems))
+
+
+def weights_of_file(path: str) -> dict[str, dict[str, float]]:
+    """The weights with those of a JSON file laid over them; BadSettings or OSError if it can't be used."""
+    try:
+        return weights(_dotted(json.loads(Path(path).read_text())))
+    except json.JSONDecodeError as e:
+        raise BadSettings(f"{path} is no JSON: {e}") from None
 
 
-def asset_criticality(text: str | None) -> dict[str, float]:
-    """Host -> criticality from JSON text; {} if it is broken."""
+def criticalities(text: str) -> dict[str, float]:
+    """Host -> criticality (0 to 1) of JSON text; BadSettings if it is something else."""
     try:
-        got = json.loads(text or "{}")
-        return {str(k): float(v) for k, v in got.items()}
-    except (ValueError, TypeError, AttributeError):
-        return {}
+        got = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise BadSettings(f"no JSON: {e}") from None
+    if not isinstance(got, dict) or not all(isinstance(v, (int, float)) and not isinstance(v, bool) and 0 <= v <= 1 for v in got.values()):
+        raise BadSettings("it has to be an object of host names and numbers from 0 to 1")
+    return {host: float(v) for host, v in got.items()}

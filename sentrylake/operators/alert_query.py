@@ -66,7 +66,7 @@ class AlertQuery:
             out.append(F.exists("mitre", lambda m: m["technique_id"] == self.technique))
         out += time_range(self.since, self.until)
         if self.text:
-            out.append(matches(self.text, ("summary", "title", "command_line")))
+            out.append(matches(self.text, ("summary", "title", "command_line", "log.log_original", "log.log_message")))
         return out
 
     def run(self, alerts: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def techniques(alerts: DataFrame, most: int = 20, since: datetime | None = None,
 
 def legacy(alerts: DataFrame) -> DataFrame:
     """The earlier flat shape of an alert."""
-    message = F.coalesce(F.nullif("command_line", F.lit("")), F.lit(""))
+    message = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("command_line", "log.log_original", "log.log_message")), F.lit(""))
     return alerts.select(
         F.col("alert_id").alias("id"), F.col("event_ts").alias("timestamp"), F.col("host").alias("hostname"), F.coalesce("user_name", F.lit("")).alias("username"), F.coalesce("process_name", F.lit("")).alias("process"),
         message.alias("message"), "event_type", "risk_score", "severity", F.col("anomaly_score").alias("score"), (F.col("prediction") == -1).alias("is_anomaly"),

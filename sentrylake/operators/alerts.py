@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..plans.session import Folder
 from .ladders import EXPLAIN, FACTOR_TEXT, SUMMARY, apply, risk_stages
 
 
@@ -29,8 +33,13 @@ def alert_id():
     return F.concat_ws(":", F.coalesce(F.nullif("host", F.lit("")), F.lit("nohost")), ts, F.coalesce("event_id", F.lit("noid")), "record_type")
 
 
-def alert_rows(rows: DataFrame, scored_at: str) -> DataFrame:
-    """One flat row an alert: what queries filter, sort and aggregate on. Scores are 32-bit floats there."""
+#: The version of the rules, risk model and alert layout.
+DETECTION_VERSION = "1"
+
+
+def alert_rows(rows: DataFrame, scored_at: str, model_version: str = "none") -> DataFrame:
+    """One flat row an alert: what queries filter, sort and aggregate on, and the raw record in `log`. Scores are 32-bit
+    floats there. `model_version`: of the artifacts that scored the rows."""
     single = lambda c: F.col(c).cast("float").alias(c)
     percent = lambda c: F.concat(F.floor(F.round(F.col(c) * 100, 6) + 0.5).cast("int").cast("string"), F.lit("%"))
     fact = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
@@ -54,6 +63,7 @@ def alert_rows(rows: DataFrame, scored_at: str) -> DataFrame:
         "ordinal", alert_id().alias("alert_id"), F.lit(scored_at).cast("timestamp").alias("scored_at"), F.col("ts").alias("event_ts"), "event_id", F.col("record_type").alias("event_type"),
         F.coalesce(F.nullif("action", F.lit("")), "syscall").alias("action"), "category", "module", F.when(F.col("success"), "success").when(~F.col("success"), "failure").alias("outcome"), "host", "host_ip", single("criticality"),
         known("uid").alias("user_id"), "user_name", known("auid").alias("audit_id"), F.col("auid_name").alias("audit_name"), "is_root", "privilege_transition", "process_name", "exe", "command_line", known("pid").alias("pid"), known("ppid").alias("parent_pid"),
+        F.lit("isolation_forest").alias("model"), F.lit(model_version).alias("model_version"), F.lit(DETECTION_VERSION).alias("detection_version"), F.struct("log_original", "log_message", "log_fields").alias("log"),
         "cwd", "audit_key", network.alias("network"), single("anomaly_score"), F.col("raw_score").cast("float").alias("raw_score"), single("confidence"), "prediction", "risk_score", "severity", single("impact"), single("exploitability"),
         single("context_modifier"), components.alias("components"), F.split("factor_text", " ").alias("risk_factors"), "mitre", "title", "summary", factors.alias("factors"), "recent_auth_failures", "recent_distinct_ports",
     )
@@ -67,37 +77,68 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def upsert(path: str, batch: DataFrame) -> None:
-    """Merge a batch into a Parquet table partitioned by day: rewrites only the days the batch touches, writes to a new
-    version and then points to it, so readers and repeated batches see whole tables."""
-    spark = batch.sparkSession
-    fs = _files(spark, path)
-    batch = latest(batch).withColumn("event_day", F.coalesce(F.to_date("event_ts").cast("string"), F.lit("none")))
-    versions = fs.versions()
-    number = (versions[-1] if versions else 0) + 1
-    whole = batch
-    if versions:
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{versions[-1]}")
-        whole = old.join(batch.select("alert_id"), "alert_id", "left_anti").unionByName(batch)
-    whole.write.mode("overwrite").partitionBy("event_day").parquet(f"{path}/v{number}")
-
-
-def read_table(spark, path: str) -> DataFrame | None:
-    """The alerts as of the last complete version."""
-    versions = _files(spark, path).versions()
-    return spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
-
-
-class _files:
-    """The complete versions of a table, by Hadoop's file system: local, HDFS or object store alike."""
-
-    def __init__(self, spark, path: str):
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.new = jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self.path):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and self.fs.exists(self.new(f"{self.path.toString()}/{n}/_SUCCESS")))
+    """Merge a batch into a Parquet table by day, reading and writing only the days that the batch touches (an alert's id
+    holds its time, so its versions share a day).
+
+    Each call writes its days to a folder of its own and then publishes a manifest, day -> folder: readers and repeated
+    batches see whole tables. Folders that neither this manifest nor the one before it names are deleted, so a
+    reader has until the next but one batch; so do the leavings of a call that failed. One writer at a time."""
+    spark, folder = batch.sparkSession, Folder(batch.sparkSession, path)
+    number, days = _manifest(folder)
+    number += 1
+    new = f"incoming-{number}"
+    folder.delete(new)
+    keyed = latest(batch).withColumn("event_day", F.coalesce(F.to_date("event_ts").cast("string"), F.lit("none")))
+    keyed.write.partitionBy("event_day").parquet(f"{path}/{new}")
+    touched = [n.removeprefix("event_day=") for n in folder.names(new) if n.startswith("event_day=")]
+    fresh = spark.read.schema(keyed.schema).parquet(f"{path}/{new}")
+    old = _days(spark, path, {d: days[d] for d in touched if d in days}, keyed.schema)
+    whole = fresh if old is None else old.join(fresh.select("alert_id"), "alert_id", "left_anti").unionByName(fresh)
+    folder.delete(f"data-{number}")
+    whole.write.partitionBy("event_day").parquet(f"{path}/data-{number}")
+    now = {**days, **dict.fromkeys(touched, f"data-{number}")}
+    folder.publish(f"manifest-{number:012d}", json.dumps({"days": now, "schema": keyed.schema.jsonValue()}))
+    _clean(folder, number, (now, days))
+
+
+def _clean(folder: Folder, number: int, tables: tuple[dict[str, str], ...]) -> None:
+    """Deletes what none of the tables (day -> folder) names, and old manifests."""
+    used = {f"{where}/event_day={day}" for table in tables for day, where in table.items()}
+    for name in folder.names():
+        if name.startswith("incoming-") or name.startswith("manifest-") and int(name[9:]) < number - 1:
+            folder.delete(name)
+        elif name.startswith("data-"):
+            parts = [p for p in folder.names(name) if p.startswith("event_day=")]
+            if not any(f"{name}/{p}" in used for p in parts):
+                folder.delete(name)
+            else:
+                for p in parts:
+                    if f"{name}/{p}" not in used:
+                        folder.delete(f"{name}/{p}")
+
+
+def _manifest(folder: Folder) -> tuple[int, dict[str, str]]:
+    """Number and days of the last manifest."""
+    names = [n for n in folder.names() if n.startswith("manifest-")]
+    return (int(names[-1][9:]), json.loads(folder.read(names[-1]))["days"]) if names else (0, {})
+
+
+def _days(spark: SparkSession, path: str, days: dict[str, str], schema: T.StructType) -> DataFrame | None:
+    out = None
+    for where in sorted(set(days.values())):  # a folder holds the days of one call
+        mine = [f"{path}/{where}/event_day={d}" for d, w in days.items() if w == where]
+        part = spark.read.schema(schema).option("basePath", f"{path}/{where}").parquet(*mine)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The alerts as of the last manifest; None where there is none."""
+    folder = Folder(spark, path)
+    names = [n for n in folder.names() if n.startswith("manifest-")]
+    if not names:
+        return None
+    got = json.loads(folder.read(names[-1]))
+    schema = T.StructType.fromJson(got["schema"])
+    rows = _days(spark, path, got["days"], schema)
+    return spark.createDataFrame([], schema) if rows is None else rows

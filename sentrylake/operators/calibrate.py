@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ANOMALY_THRESHOLD
+from ..plans.session import stored
 
 POINTS = 1001
 
@@ -24,22 +27,46 @@ class Calibration:
 
 
 def fit(scores: DataFrame, column: str, points: int = POINTS, offset: float = -0.5) -> Calibration:
-    """Interpolated quantiles of scores at nine decimals, so that equal scores stay equal."""
-    at = ", ".join(repr(i / (points - 1)) for i in range(points))
-    row = scores.select(F.round(column, 9).alias("s")).agg(F.expr(f"percentile(s, array({at}))").alias("q"), F.avg("s").alias("m"), F.stddev_pop("s").alias("d"), F.count("s").alias("n")).first()
-    return Calibration(tuple(round(x, 9) for x in row.q or ()), row.m or 0.0, row.d or 1.0, row.n, offset)
+    """Interpolated quantiles of scores at nine decimals, so that equal scores stay equal.
+
+    Distinct scores are counted, sorted by range over the partitions and numbered by a prefix sum of the partitions'
+    counts; only the scores at the sketch's places come to the driver, two of each."""
+    rows = scores.select(F.round(column, 9).alias("s")).where("s is not null")
+    n, mean, std = rows.agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
+    if not n:
+        return Calibration((), 0.0, 1.0, 0, offset)
+    places = [divmod(i * (n - 1), points - 1) for i in range(points)]  # the place below, and how far on to the next
+    wanted = sorted({p for low, rest in places for p in (low, low + (rest > 0))})
+    laid = stored(rows.groupBy("s").agg(F.count("*").alias("k")).repartitionByRange("s").withColumn("pid", F.spark_partition_id()), "scores")
+    sizes = laid.groupBy("pid").agg(F.sum("k").alias("n"))  # one row a partition
+    before = sizes.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = laid.join(F.broadcast(before), "pid").withColumn("upto", upto)
+    asked = scores.sparkSession.createDataFrame([(p,) for p in wanted], "p long").agg(F.sort_array(F.collect_list("p")).alias("asked"))  # bounded by `points`
+    inside = F.filter("asked", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("k")))
+    at = {r.p: r.s for r in ranked.join(F.broadcast(asked)).select("s", F.explode(inside).alias("p")).collect()}
+    between = lambda a, b, share: a + (b - a) * share
+    quantiles = (round(between(at[low], at[low + (rest > 0)], rest / (points - 1)), 9) for low, rest in places)
+    return Calibration(tuple(quantiles), mean, std or 1.0, n, offset)
 
 
 def percentile(score: Column, cal: Calibration) -> Column:
-    """The share of the sketch at or below a score; one half without a sketch."""
+    """The share of the sketch at or below a score; one half without a sketch. A binary search over Arrow batches."""
     if not cal.quantiles:
         return F.lit(0.5)
-    return F.size(F.filter(F.array(*map(F.lit, cal.quantiles)), lambda q: q <= F.round(score, 9))) / F.lit(float(len(cal.quantiles)))
+    sketch = np.array(cal.quantiles)
+
+    @F.pandas_udf("double")
+    def share(scores: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sketch, scores.to_numpy(float), side="right") / len(sketch)).where(scores.notna().to_numpy(), None)
+
+    return share(F.round(score, 9))
 
 
 def with_anomaly(rows: DataFrame, raw: str, cal: Calibration, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     """Adds anomaly_score (1 - percentile, four decimals), prediction (-1 where it reaches the threshold before
     rounding) and confidence (logistic in the score's deviations)."""
-    rows = rows.withColumn("__a", 1 - percentile(F.col(raw), cal))
-    confidence = 1 / (1 + F.exp(F.lit(2.0) * F.col(raw) / F.lit(cal.std or 1.0)))
-    return rows.select("*", F.round("__a", 4).alias("anomaly_score"), F.when(F.col("__a") >= threshold, -1).otherwise(1).alias("prediction"), F.round(confidence, 4).alias("confidence")).drop("__a")
+    a = 1 - F.col("at.share")
+    confidence = 1 / (1 + F.exp(F.lit(2.0) * F.col("row." + raw) / F.lit(cal.std or 1.0)))
+    both = rows.select(F.struct("*").alias("row"), F.struct(percentile(F.col(raw), cal).alias("share")).alias("at"))
+    return both.select("row.*", F.round(a, 4).alias("anomaly_score"), F.when(a >= threshold, -1).otherwise(1).alias("prediction"), F.round(confidence, 4).alias("confidence"))

@@ -1,7 +1,8 @@
 """Isolation forest: one task builds a tree from its own sample, scoring runs over Arrow batches.
 
 Published algorithm: samples of psi rows, a uniform feature among those that vary and a uniform cut between its
-extremes, height at most ceil(log2 psi); score = -2^(-E[path]/c(psi)), raw = score + 0.5.
+extremes, height at most ceil(log2 psi); score = -2^(-E[path]/c(psi)), raw = score - offset. The offset is -0.5, or with
+a contamination the score below which that share of the pool lies.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def scaler(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.array([round(row[f"s{i}"] or 0.0, 9) or 1.0 for i in range(len(names))])
 
 
-def fit(rows: DataFrame, names: list[str], id_column: str = "ordinal", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, pool: int = 80_000) -> dict:
+def fit(rows: DataFrame, names: list[str], id_column: str = "ordinal", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, pool: int = 80_000, contamination: float | None = None) -> dict:
     """The forest of a bounded pool of rows (the first `pool` by a hash of the id): bit-stable for the same rows.
 
     Each tree draws its rows from the pool, which is broadcast; the trees are built in parallel and are small."""
@@ -80,32 +81,51 @@ def fit(rows: DataFrame, names: list[str], id_column: str = "ordinal", trees: in
 
     slices = min(trees, max(1, spark.sparkContext.defaultParallelism * 2))
     nodes = spark.range(0, trees, 1, slices).mapInPandas(lambda it: map(make, it), NODES).toPandas() if size else pd.DataFrame(columns=["tree", "node", "feature", "cut", "left", "right", "size"])
-    return {"nodes": nodes.sort_values(["tree", "node"]), "mean": mean, "scale": scale, "size": size, "names": names}
-
-
-def path_scores(x: np.ndarray, forest: list[tuple], size: int) -> np.ndarray:
-    depth = np.zeros(len(x))
-    for feature, cut, left, right, n in forest:
-        at, steps = np.zeros(len(x), np.int64), np.zeros(len(x))
-        live = np.flatnonzero(feature[at] >= 0)
-        while len(live):
-            node = at[live]
-            at[live] = np.where(x[live, feature[node]] <= cut[node], left[node], right[node])
-            steps[live] += 1
-            live = live[feature[at[live]] >= 0]
-        depth += steps + expected_path(n[at])
-    return 0.5 - 2.0 ** (-(depth / max(len(forest), 1)) / max(float(expected_path(size)), 1e-9))
+    model = {"nodes": nodes.sort_values(["tree", "node"], ignore_index=True), "mean": mean, "scale": scale, "size": size, "names": names, "offset": -0.5}
+    if contamination is not None and size:
+        model["offset"] = float(np.percentile(samples(x, Walker(model["nodes"]), size), 100 * contamination))
+    return model
+
+
+class Walker:
+    """All trees as flat arrays. A leaf is its own child, so that every row takes the same number of steps."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        self.trees = []
+        for _, t in nodes.groupby("tree"):
+            at = np.arange(len(t))
+            leaf = t["feature"].to_numpy() < 0
+            child = np.stack([np.where(leaf, at, t["right"]), np.where(leaf, at, t["left"])], 1).ravel().astype(np.int64)
+            depth = np.zeros(len(t))
+            for k in np.flatnonzero(~leaf):  # parents stand before their children
+                depth[[t["left"].iat[k], t["right"].iat[k]]] = depth[k] + 1
+            length = depth + expected_path(t["size"].to_numpy())
+            self.trees.append((np.where(leaf, 0, t["feature"]).astype(np.int64), t["cut"].to_numpy(float), child, length, int(depth.max())))
+
+    def mean_path(self, x: np.ndarray) -> np.ndarray:
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        total = np.zeros(len(x))
+        for feature, cut, child, length, depth in self.trees:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                at = child[2 * at + (flat[base + feature[at]] <= cut[at])]
+            total += length[at]
+        return total / max(len(self.trees), 1)
+
+
+def samples(x: np.ndarray, walker: Walker, size: int) -> np.ndarray:
+    """Minus the anomaly score of the published algorithm: -2^(-E[path]/c(size))."""
+    return -(2.0 ** (-walker.mean_path(x) / max(float(expected_path(size)), 1e-9)))
 
 
 def with_raw_score(rows: DataFrame, model: dict, to: str = "raw_score") -> DataFrame:
     """Adds the decision score: lower is more anomalous."""
-    forest = [tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "size")) for _, t in model["nodes"].groupby("tree")]
-    shared = rows.sparkSession.sparkContext.broadcast((forest, model["mean"], model["scale"], model["size"]))
+    shared = rows.sparkSession.sparkContext.broadcast((Walker(model["nodes"]), model["mean"], model["scale"], model["size"], model["offset"]))
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        forest, mean, scale, size = shared.value
+        walker, mean, scale, size, offset = shared.value
         x = (np.stack([c.to_numpy(float) for c in columns], 1) - mean) / scale
-        return pd.Series(path_scores(x, forest, size) if len(x) else [])
+        return pd.Series(samples(x, walker, size) - offset if len(x) else [])
 
     return rows.withColumn(to, score(*model["names"]))

@@ -11,7 +11,7 @@ from ..functions.constants import CHILD_TYPES
 EVENT_COLUMNS = (
     "ordinal", "ts", "us", "hour_utc", "weekday", "event_id", "host", "host_ip", "record_type", "action", "category", "module", "uid", "euid", "auid",
     "user_name", "auid_name", "exe", "comm", "proctitle", "argv_text", "n_args", "path_text", "cwd", "session", "tty", "remote_addr", "acct", "success",
-    "audit_key", "pid", "ppid", "syscall", "dest_ip", "dest_port",
+    "audit_key", "pid", "ppid", "syscall", "dest_ip", "dest_port", "log_original", "log_message", "log_fields",
 )
 
 
@@ -82,6 +82,9 @@ def normalize(rows: DataFrame) -> DataFrame:
         first(log("SYSCALL"), kv("syscall")).alias("syscall"),
         F.col("dest.ip").alias("dest_ip"),
         F.coalesce("dest.port", F.lit(-1)).cast("bigint").alias("dest_port"),
+        F.col("original").alias("log_original"),
+        F.col("message").alias("log_message"),
+        F.col("log").alias("log_fields"),
     )
 
 

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAILURES, PORTS, SLICE = 600_000_000, 300_000_000, 3_600_000_000
+FAILURES, PORTS, SLICE, UNTIMED = 600_000_000, 300_000_000, 3_600_000_000, 1024
 
 
 def in_slices(events: DataFrame, reach: int) -> DataFrame:
     """Each event in its own hour and, where it lies within `reach` of the next, also there as context: windows can
-    then be partitioned by key and hour, and a busy key is split by time."""
-    own, later = F.floor(F.col("us") / SLICE), F.floor((F.col("us") + reach) / SLICE)
+    then be partitioned by key and hour, and a busy key is split by time. Events without a time count nothing; they are
+    dealt over UNTIMED slices under zero."""
+    untimed = -1 - F.pmod(F.xxhash64("ordinal"), F.lit(UNTIMED))
+    own, later = (F.coalesce(F.floor(t / SLICE), untimed) for t in (F.col("us"), F.col("us") + reach))
     rows = events.withColumn("own_slice", own)
-    return rows.withColumn("slice", F.explode(F.array_distinct(F.array(F.coalesce(own, F.lit(-1)), F.coalesce(later, F.lit(-1))))))
+    return rows.withColumn("slice", F.explode(F.array_distinct(F.array(own, later))))
 
 
 def own(rows: DataFrame) -> DataFrame:
-    return rows.where(F.coalesce("own_slice", F.lit(-1)) == F.col("slice")).drop("own_slice", "slice")
+    return rows.where(F.col("own_slice") == F.col("slice")).drop("own_slice", "slice")
 
 
 def with_signals(events: DataFrame, batch: str | None = None, compat: bool = False) -> DataFrame:
@@ -37,9 +39,25 @@ def with_signals(events: DataFrame, batch: str | None = None, compat: bool = Fal
     rows = own(rows.withColumn("recent_auth_failures", F.when(known, total - F.coalesce(later, F.lit(0))).otherwise(0).cast("bigint")))
     if compat:
         return rows.withColumn("recent_distinct_ports", F.lit(0).cast("bigint"))
-    rows = in_slices(rows, PORTS)
-    seen = F.collect_list(F.when(F.col("dest_port") > 0, F.struct("us", "ordinal", "dest_port"))).over(Window.partitionBy(*keys, "host", "slice").orderBy("us").rangeBetween(-PORTS, 0))
-    before = F.filter("seen", lambda s: (s["us"] < F.col("us")) | (s["ordinal"] <= F.col("ordinal")))
-    ports = F.size(F.array_distinct(F.transform(before, lambda s: s["dest_port"])))
-    rows = rows.withColumn("seen", seen).withColumn("recent_distinct_ports", F.when(known & F.col("host").isNotNull(), ports).otherwise(0).cast("bigint"))
-    return own(rows.drop("seen"))
+    return own(with_ports(in_slices(rows, PORTS), [*keys, "host", "slice"]))
+
+
+def with_ports(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds recent_distinct_ports by a sweep. The sightings of a port are merged into stretches in which it is never
+    out of sight for longer than PORTS; a stretch adds one at its first sighting and takes it back just after its last
+    has aged out, so a running sum counts the ports in sight. No list of sightings is made."""
+    names = rows.columns
+    seen = F.col("dest_port") > 0
+    port = F.when(seen, F.col("dest_port")).otherwise(-1 - F.pmod(F.xxhash64("ordinal"), F.lit(UNTIMED)))  # others: of no port, dealt
+    w = Window.partitionBy(*keys, "port").orderBy("us", "ordinal")
+    begins = seen & F.coalesce(F.lag("us").over(w) < F.col("us") - PORTS, F.lit(True))
+    ends = seen & F.coalesce(F.lead("us").over(w) > F.col("us") + PORTS, F.lit(True))
+    rows = rows.withColumn("port", port).withColumn("begins", begins).withColumn("ends", ends)
+    step = lambda us, place, change, event: F.struct(us.alias("us"), place.alias("place"), change.alias("change"), event.alias("event"))
+    up = step(F.col("us"), F.col("ordinal"), F.col("begins").cast("int"), F.lit(True))
+    down = F.when(F.col("ends"), step(F.col("us") + PORTS + 1, F.lit(-(1 << 63)).cast("long"), F.lit(-1), F.lit(False)))
+    rows = rows.withColumn("step", F.explode(F.array_compact(F.array(up, down))))
+    count = F.sum("step.change").over(Window.partitionBy(*keys).orderBy("step.us", "step.place").rowsBetween(Window.unboundedPreceding, 0))
+    known = F.col("us").isNotNull() & F.col("host").isNotNull()
+    rows = rows.withColumn("recent_distinct_ports", F.when(known, count).otherwise(0).cast("bigint")).where("step.event")
+    return rows.select(*names, "recent_distinct_ports")

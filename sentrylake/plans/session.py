@@ -1,23 +1,62 @@
-"""Session settings and stored tables that the plans rely on."""
+"""Tables that plans keep in the folder which driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
-    """Maps keep the last of equal keys; times are UTC."""
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Maps keep the last of equal keys; times are UTC. A session that says otherwise can't give the right rows."""
+    for key, value in (("spark.sql.mapKeyDedupPolicy", "LAST_WIN"), ("spark.sql.session.timeZone", "UTC")):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (where it is unset: in the warehouse, which is shared too)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = re.sub(r"^file:/(?!/)", "file:///", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder of spark.checkpoint.dir (a temporary one where it is unset) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder by Hadoop's file system: local, HDFS or object store alike."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
+        self.fs = self.at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, under: str = "") -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(under))) if self.fs.exists(self.at(under)) else []
+
+    def read(self, name: str) -> str:
+        source = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """The file appears whole or not at all."""
+        out = self.fs.create(self.at(f"_{name}.new"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(self.at(name), False)
+        if not self.fs.rename(self.at(f"_{name}.new"), self.at(name)):
+            raise OSError(f"{self.path}/{name} could not be written")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)

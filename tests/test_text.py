@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sentrylake.config import asset_criticality, merged, number, risk_weights
+from sentrylake.config import RISK_WEIGHTS, BadSettings, Settings, weights_of_file
 from sentrylake.functions import text as X
 from sentrylake.plans.session import prepare
 
@@ -101,11 +101,16 @@ def test_bands_and_small_text(spark):
     assert value(spark, X.search_tokens, "It's v1.2, sudo_x!") == ["it's", "v1.2", "sudo_x"]
 
 
-def test_configuration(tmp_path):
-    env = {"A": "7", "B": " ", "C": "x"}
-    assert (number("A", 1, env), number("B", 2, env), number("C", 3.5, env), number("D", 4, env)) == (7, 2, 3.5, 4)
-    assert asset_criticality('{"h": 1}') == {"h": 1.0} and asset_criticality("{") == {} and asset_criticality(None) == {}
-    assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 5}}) == {"a": {"b": 5, "c": 2}}
+def test_settings(tmp_path):
     (tmp_path / "w.json").write_text('{"context_modifier": {"max": 0.3}}')
-    assert risk_weights(str(tmp_path / "w.json"))["context_modifier"]["max"] == 0.3
-    assert risk_weights(str(tmp_path / "absent.json")) == risk_weights()
+    got = Settings.read({"SENTRYLAKE_TREES": "7", "SENTRYLAKE_SAMPLE": " ", "SENTRYLAKE_THRESHOLD": "x", "SENTRYLAKE_HOSTS": '{"h": 1}', "SENTRYLAKE_WEIGHTS": str(tmp_path / "w.json")})
+    assert (got.trees, got.sample, got.threshold, got.hosts) == (7, 4096, 0.98, {"h": 1.0})
+    assert got.weights["context_modifier"]["max"] == 0.3 and got.weights["context_modifier"]["min"] == RISK_WEIGHTS["context_modifier"]["min"]
+    assert len(got.problems) == 1 and got.problems[0].startswith("SENTRYLAKE_THRESHOLD: ")
+    assert Settings.read({}).weights == RISK_WEIGHTS and not Settings.read({}).problems
+    (tmp_path / "bad.json").write_text('{"impact": {"size": 1, "privilege": "x"}}')
+    for name, text in (("HOSTS", "{"), ("HOSTS", '{"h": 2}'), ("HOSTS", "[]"), ("WEIGHTS", str(tmp_path / "absent.json")), ("WEIGHTS", str(tmp_path / "bad.json"))):
+        got = Settings.read({f"SENTRYLAKE_{name}": text})
+        assert len(got.problems) == 1 and got.weights == RISK_WEIGHTS and got.hosts == {}
+    with pytest.raises(BadSettings, match="impact.size is unknown; impact.privilege is no number"):
+        weights_of_file(str(tmp_path / "bad.json"))
