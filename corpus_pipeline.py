@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.llm import jaccard_join, line_dedup, packing, quality_classifier, quality_rules
-from sentrylake.llm._shared import in_fold, stored
+from sentrylake.llm._shared import in_fold, released, stored
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with released(spark):  # a stage's scratch tables go when its result is stored
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
