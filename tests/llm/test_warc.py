@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from sentrylake.llm import warc
 from sentrylake.llm._shared import scratch
@@ -57,6 +58,24 @@ def test_any_split_size_reads_each_record_once(spark):
         assert sorted(got) == list(range(50))
 
 
+def test_ranges_are_read_in_many_tasks(spark):
+    rng = random.Random(8)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefgh <>", k=3000))) for i in range(300)], "page_id long, url string, html string").coalesce(2)
+    folder = scratch(spark, "warc-test")
+    files = spark.createDataFrame([tuple(r) for r in warc.write_archives(pages, folder).collect()], "path string, bytes long, records long")
+    split = 16_384
+    tasks = warc.tasks_of(files, split)
+    rows = warc.read_archives(files, folder, split).withColumn("task", F.spark_partition_id()).collect()
+    assert tasks > 20 and sorted(r.page_id for r in rows) == list(range(300)) and len({r.task for r in rows}) > tasks / 2
+    at = lambda n: warc.tasks_of(spark.createDataFrame([("x", n * warc.SPLIT, 1)], "path string, bytes long, records long"))
+    assert at(100) == 100 and at(warc.ALONE + 1600) == warc.ALONE + 100
+
+
+def test_short_payloads_do_not_meet(spark):
+    rows = warc.with_records(spark.createDataFrame([(i, "u", "" if i % 2 else "x" * 200) for i in range(50)], "page_id long, url string, html string"))
+    assert all(r.first is None or r.page_id % 2 == 0 for r in rows.collect()) and rows.where("revisit").count() == 24
+
+
 def test_false_magic_is_no_member_and_damage_is_seen():
     member = warc.record(1, "u", b"hello" * 50, hashlib.sha256(b"hello" * 50).hexdigest(), None, False)
 
