@@ -30,6 +30,11 @@ def top_keys(profile: DataFrame, most: int = 5000) -> DataFrame:
     return profile.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def frequency(profile: DataFrame, asked: DataFrame) -> DataFrame:
+    """How often each asked (kind, key) was seen: `n`, 0 where it is unknown or null."""
+    return asked.join(profile.select("kind", "key", "n"), ["kind", "key"], "left").na.fill(0, ["n"])
+
+
 def rarity(n: Column, total: Column, cardinality: Column) -> Column:
     """Smoothed surprise between 0 (always) and 1 (never seen)."""
     weight = total + ALPHA * (cardinality + 1)

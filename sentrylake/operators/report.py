@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 ACTIONABLE = 20
 
 
@@ -44,6 +46,21 @@ def check_spread(alerts: DataFrame, most: float) -> bool:
     return spread(alerts).first().top_share <= most
 
 
+def as_text(alerts: DataFrame, width: int = 30) -> str:
+    """A report to read: numbers, severities, the most common scores with bars, techniques. Its parts are short."""
+    out = [f"{'field':<16}{'n':>10}{'least':>10}{'mean':>10}{'most':>10}"]
+    number = lambda v: "-" if v is None else f"{v:.2f}"
+    out += [f"{r.field:<16}{r.n:>10}{number(r.least):>10}{number(r.mean):>10}{number(r.most):>10}" for r in number_stats(alerts, "risk_score", "anomaly_score").orderBy("field").collect()]
+    for title, rows in (("severity", top_values(alerts, "severity", 10)), ("risk_score", actionable(alerts))):
+        out += ["", title]
+        found = rows.orderBy(F.desc("n"), title).withColumn("bar", X.bar(F.col("share"), width)).collect()
+        out += [f"{r[title]!s:<16}{r.n:>10}{100 * r.share:>8.1f} % {r.bar}" for r in found]
+    s = spread(alerts).first()
+    out += ["", f"actionable {s.actionable}, distinct scores {s.distinct_scores}, share of the most common {100 * s.top_share:.1f} %", "", "technique"]
+    out += [f"{r.technique_id:<16}{r.n:>10}" for r in technique_counts(alerts).orderBy(F.desc("n"), "technique_id").collect()]
+    return "\n".join(out) + "\n"
+
+
 def technique_counts(alerts: DataFrame, field: str = "technique_id", most: int = 15) -> DataFrame:
     tags = alerts.select("alert_id", F.explode("mitre").alias("m")).select("alert_id", F.col(f"m.{field}").alias(field))
     return tags.groupBy(field).agg(F.count_distinct("alert_id").alias("n")).orderBy(F.desc("n"), field).limit(most)

@@ -116,3 +116,11 @@ def sql(upto: str, select: str) -> str:
     names = [n for n, _ in CHAIN]
     parts = [t.strip() for _, t in CHAIN[: names.index(upto) + 1]]
     return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+def risk_sql(weights: dict | None, hosts: dict[str, float], select: str) -> str:
+    """A query over the risk stages with other weights and criticalities of hosts."""
+    own = "CASE " + " ".join(f"WHEN host = '{h}' THEN {v!r}e0" for h, v in hosts.items()) + " ELSE 0.5e0 END AS criticality"
+    stages = L.risk_stages(weights)
+    changed = ",\n".join(stage(f"ri{k}", "tec" if k == 0 else f"ri{k - 1}", s) for k, s in enumerate(stages))
+    return sql("tec", "").rstrip().replace("0.5e0 AS criticality", own) + ",\n" + changed + "\n" + select

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import weights
 from ..functions import text as X
 from ..operators import alert_query as A
 from ..operators import baseline, calibrate, evaluate, iforest, report
@@ -21,7 +22,7 @@ from ..sources.scan import after_cursor, hash_sample
 from ..sources.scenarios import labelled
 from ..streaming.jobs import SIGNALS, failure_signals, timeline_stream
 from . import detect
-from .oracle import sql
+from .oracle import risk_sql, sql
 from .oracle import stage as oracle_stage
 from .session import Folder, prepare, scratch, stored
 
@@ -244,6 +245,15 @@ def profile_kept(spark, sf_dir):
     return baseline.top_keys(profile(spark, sf_dir)).select("kind", "key", "n", "rank")
 
 
+@query(sql("prof", "SELECT a.kind, a.key, coalesce(prof.n, 0) AS n FROM (SELECT DISTINCT 'exe' AS kind, p_name AS key FROM part UNION SELECT 'exe', key FROM prof WHERE kind = 'exe' UNION SELECT 'host_exe', NULL) a LEFT JOIN prof ON prof.kind = a.kind AND prof.key = a.key"))
+def profile_frequency(spark, sf_dir):
+    """Seen programs, names that no program has, and no key."""
+    known = profile(spark, sf_dir)
+    other = table(spark, sf_dir, "part").select(F.lit("exe").alias("kind"), F.col("p_name").alias("key"))
+    asked = other.union(known.where("kind = 'exe'").select("kind", "key")).union(spark.createDataFrame([("host_exe", None)], "kind string, key string")).distinct()
+    return baseline.frequency(known, asked)
+
+
 @query(sql("rar", f"SELECT ordinal, {d6('rarity_host_exe', 'rarity_user_exe', 'rarity_exe', 'rarity_record_type', 'rarity_user_host')} FROM rar"))
 def rarity(spark, sf_dir):
     return featured(spark, sf_dir).select("ordinal", *r6(*(f"rarity_{k}" for k in baseline.READ_KINDS)))
@@ -315,6 +325,17 @@ def risk_score(spark, sf_dir):
     return assessed(spark, sf_dir).select("ordinal", *r6("technical_severity", "context_modifier"), "risk_score")
 
 
+_hosts, _changed = {"host-1": 0.9, "host-3": 0.1}, {"context_modifier.max": 0.8, "impact.privilege": 0.1, "technique_floor.base": 0.5}
+
+
+@query(risk_sql(weights(_changed), _hosts, "SELECT ordinal, criticality, round(context_modifier, 6) AS context_modifier, risk_score, severity FROM ri4"))
+def risk_with_settings(spark, sf_dir):
+    """The risk with other weights, and with criticalities of hosts."""
+    rows = featured(spark, sf_dir)
+    got = detect.assessed(rows, calibrate.fit(rows, "raw_score"), weights(_changed), _hosts)
+    return got.select("ordinal", "criticality", *r6("context_modifier"), "risk_score", "severity")
+
+
 @query(sql("risk", "SELECT risk_score, severity, count(*) AS n FROM ri4 GROUP BY risk_score, severity"))
 def severity_band(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("risk_score", "severity").agg(F.count("*").alias("n"))

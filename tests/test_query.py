@@ -122,6 +122,17 @@ def test_all_rules_fire(spark, sf):
     assert {r.technique_id for r in R.technique_probes(spark, sf).select("technique_id").distinct().collect()} == {t for t, _ in RULES} - {"T1110"}
 
 
+def test_reports(spark, sf, tmp_path):
+    import json
+
+    from sentrylake.operators import evaluate
+
+    text = report.as_text(R.alerts(spark, sf))
+    assert "risk_score" in text and "#" in text and "actionable" in text and "T1548.003" in text
+    got = evaluate.save_summary(R.judged(spark, sf), f"file://{tmp_path}")
+    assert json.loads((tmp_path / "evaluation.json").read_text()) == got and set(got["metrics"]) >= {"precision", "recall", "f1", "fpr"} and len(got["scores"]) == 2
+
+
 def test_filters_reach_the_scan(spark, sf):
     q = A.AlertQuery(severities=("high",), least_risk=60, anomalies_only=True)
     plan = q.run(R.alerts(spark, sf)).select("alert_id")._jdf.queryExecution().executedPlan().toString()
