@@ -247,7 +247,7 @@ def packing_round(rows: DataFrame, number: int, shards: int, capacity: int) -> D
             yield from out.to_batches()
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(shards)).cast("long")
-    dealt = rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "length", "doc_id", "piece", "ids_crc32")
+    dealt = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "length", "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, PLACED)
 
 
