@@ -32,8 +32,8 @@ from .shingles import mix, terms
 
 TREES, DEEPEST, THRESHOLD, TARGET = 32, 8, 0.8, 0.99999
 SLOTS = TREES * DEEPEST
-#: Nodes and shingles of a block, and rows up to which a list of nodes is broadcast.
-BLOCK, BLOCK_TERMS, FEW = 512, 2_000_000, 100_000
+#: Labels of a block of a prefix; nodes and shingles of a block of a component; rows up to which a list of nodes is broadcast.
+LABELS, BLOCK, BLOCK_TERMS, FEW = 512, 512, 2_000_000, 100_000
 #: Under the threshold by this many standard deviations of a share of SLOTS: the odds are about 10^-23.
 DEVIATIONS = 10
 LOWEST = -(1 << 63)
@@ -172,7 +172,7 @@ def agreement(labels: np.ndarray, d: int, tree: int) -> tuple[np.ndarray, np.nda
 
 
 def prefix_links(rows: DataFrame, d: int, threshold: float) -> DataFrame:
-    """Of the nodes of a part (part, block, own, tree, node, labels): (a, b) with n = 0: components of the candidate links, as
+    """Of the nodes of a part (part, block, own, tree, node, labels): (a, b) with n = 0: what the new candidate links join, as
     stars; (a, b) with n > 0: n new pairs have a equal bytes."""
     least = loose(threshold) * SLOTS
 
@@ -189,9 +189,14 @@ def prefix_links(rows: DataFrame, d: int, threshold: float) -> DataFrame:
                 block = g.column("block").to_numpy()[at]
                 new &= block[:, None] != block
             found += np.bincount(equal[new], minlength=SLOTS + 1)
-            for c in reached(lambda i, o, e=equal: e[i, o] >= least, np.arange(len(node))):
-                if len(c) > 1:
-                    ends.append((np.full(len(c) - 1, node[c.min()]), node[np.sort(c)[1:]]))
+            # pairs that met before are joined there: one node of each of their components stands for the others
+            link, all_ = equal >= least, np.arange(len(node))
+            head = all_.copy()
+            for c in reached(lambda i, o, x=link & ~(new | new.T): x[i, o], all_):
+                head[c] = c.min()
+            for c in reached(lambda i, o, x=link: x[i, o], all_):
+                if len(kept := np.unique(head[c])) > 1:
+                    ends.append((np.full(len(kept) - 1, node[kept[0]]), node[kept[1:]]))
             if len(ends) > 2000:
                 yield links_batch(ends, found)
                 ends, found = [], np.zeros(SLOTS + 1, np.int64)
@@ -228,7 +233,7 @@ def candidates(nodes: DataFrame, threshold: float, target: float = TARGET) -> li
         level = tries.where(F.col("most") >= d).select(key.alias("key"), "tree", "node", fresh.alias("fresh"))
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.max("fresh").alias("fresh")).where("size > 1 and fresh")
         level = level.drop("fresh").join(regrouped(sizes, "key"), "key")
-        parts = block_pairs(level, "key", F.ceil(F.col("size") / BLOCK), "node").select("part", "block", "own", "tree", "node")
+        parts = block_pairs(level, "key", F.ceil(F.col("size") / LABELS), "node").select("part", "block", "own", "tree", "node")
         links = stored(prefix_links(dealt(parts.join(labels, "node").select("part", "block", "own", "tree", "node", "labels")), d, threshold), f"links-{d}")
         out.append(links.where("n = 0").select("a", "b"))
         for r in links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).collect():  # at most SLOTS + 1 rows

@@ -237,6 +237,7 @@ def test_jaccard_query(spark):
 @pytest.mark.parametrize("block", [512, 40])
 def test_large_groups_of_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "LABELS", block)
     rows = [*edited(400, 4, 3), (900, "other words entirely in this one here"), (901, "a b"), (902, "a b"), (903, "a c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, jj.jaccard_join(docs).collect()), key=str) == classes(rows)
