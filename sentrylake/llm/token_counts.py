@@ -321,7 +321,7 @@ class TokenCounter:
                 rows.append(p)
                 owner.append(k)
                 size += len(p)
-                if size >= 2 * PIECE:
+                if size >= PIECE:
                     np.add.at(done, owner, self.batch(rows))
                     rows, owner, size = [], [], 0
         if rows:
