@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, token_counts, warc
+from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, spelling, token_counts, warc
 from ._shared import in_fold
 
 
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_lm_scoring,
         op10_line_dedup,
+        op13_spelling_variants,
     )
 }
 
@@ -85,4 +90,39 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM r
     """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE steps AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ),
+        runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents
+        ),
+        often AS (SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY ALL),
+        sums AS (
+            SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM often, steps
+        ),
+        slips AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM sums),
+        v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM slips WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        cut AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM places),
+        wild AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS key FROM places),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM wild a JOIN wild b ON a.key = b.key AND a.word <> b.word
+            UNION ALL SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.short
+            UNION ALL SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.short
+        ),
+        best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+        forms AS MATERIALIZED (
+            SELECT v.word, v.n, coalesce(any_value(n_near), 0) AS n_near, CASE WHEN any_value(most) >= 10 * v.n THEN min(near.other) END AS form, CASE WHEN any_value(most) >= 10 * v.n THEN any_value(most) END AS form_n
+            FROM v LEFT JOIN best USING (word) LEFT JOIN near ON near.word = v.word AND near.n = best.most GROUP BY v.word, v.n
+        ),
+        walk AS (
+            SELECT word, word AS last_word, form AS next FROM forms
+            UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.next
+        )
+        SELECT word, form, last_word AS root, n, n_near, form_n FROM forms JOIN (SELECT word, last_word FROM walk WHERE next IS NULL) USING (word)
+    """,
 }
