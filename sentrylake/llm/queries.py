@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, spelling, token_counts, warc
+from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, spelling, token_counts, vector_codes, warc
 from ._shared import in_fold
 
 
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -75,10 +79,43 @@ QUERIES = {
         op8_jaccard_join,
         op9_lm_scoring,
         op10_line_dedup,
+        op12_vector_codes,
         op13_spelling_variants,
     )
 }
 
+def codes_sql(rounds: int = 2) -> str:
+    """op12: each round assigns every part to its nearest entry, then replaces the entries; the last only assigns."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, label, p, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+            FROM parts JOIN c{k} USING (p) GROUP BY vec_id, label, p, x
+        ),""")
+        if k < rounds:
+            steps.append(f"""
+        m{k} AS (
+            SELECT p, e, list(m ORDER BY i) AS c FROM (
+                SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS m FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY ALL
+            ) GROUP BY p, e
+        ),
+        c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e)),""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS v, len(embedding) // 16 AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+        ),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+        c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 64),{"".join(steps)}
+        books AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM c{rounds})),
+        codes AS (
+            SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label
+        )
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM codes, books
+    """
+
+
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     "op5_warc": """
@@ -125,4 +162,5 @@ ORACLE: dict[str, str] = {
         )
         SELECT word, form, last_word AS root, n, n_near, form_n FROM forms JOIN (SELECT word, last_word FROM walk WHERE next IS NULL) USING (word)
     """,
+    "op12_vector_codes": codes_sql(),
 }
