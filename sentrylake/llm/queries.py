@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, spelling, token_counts, vector_codes, warc
+from . import byte_bpe, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, spelling, token_counts, vector_codes, warc, wavelet
 from ._shared import in_fold
 
 
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_lm_scoring,
         op10_line_dedup,
+        op11_wavelet_ids,
         op12_vector_codes,
         op13_spelling_variants,
     )
