@@ -17,8 +17,8 @@ A file: MAGIC, the size of a JSON header and that header (numbers of documents a
 sections, a check sum of all before it.
 
 Ids come from the tokenizers library. Texts are cut where no match of the pattern can span, between a character that
-isn't white space and a space or line feed that is followed by another; a worker keeps the pieces with their ids, and
-gives the library those it hasn't seen, many at once, on lines of their own.
+isn't white space and a space that is followed by another; a worker keeps the words with their ids, and gives the
+library those it hasn't seen, many at once, on lines of their own.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ from ._shared import prepare, scratch, some, stored, text_bytes
 MAGIC = b"WAVELET1"
 #: Ids of a shard, bytes of text of a task that writes; files up to which each has a task that reads, and of a task beyond.
 SHARD, TASK_BYTES, ALONE, FILES = 1 << 21, 16 << 20, 4096, 16
-#: Words kept with their ids by a worker, and characters of new words that the library gets at once.
-KEPT, ASKED = 400_000, 100_000
+#: Words kept with their ids by a worker, and new words that the library gets at once.
+KEPT, ASKED = 800_000, 5_000
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Of words between NULs: other white space than single line feeds inside and a space at the end, and no word at all.
+ODD = re.compile(r"[^\S\n ]|\n[\n \0]|\0[\n \0]| [^\0]")
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 WRITTEN = "path string, task int, place int, docs long, tokens long, bytes long"
 
@@ -60,56 +62,52 @@ class LibraryIds:
             raise ValueError(f"{path}: words can't be told apart at spaces")
         if any(" " in a["content"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in file["added_tokens"]):
             raise ValueError(f"{path}: an added token spans words")
-        self.line = self.library.token_to_id("Ċ")
+        if (line := self.library.token_to_id("Ċ")) is None:
+            raise ValueError(f"{path}: it has no line feed")
+        self.line = line
         self.kept: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Keep the ids of words; those without white space but a first one go to the library as lines."""
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        lines, others = [], []
-        for w in words:
-            body = w.removeprefix(" ")
-            (lines if self.line is not None and len(w) < ASKED and body.split() == [body] else others).append(w)
-        chunks, size = [[]], 0
-        for w in lines:
-            chunks[-1].append(w)
-            size += len(w)
-            if size > ASKED:
-                chunks.append([])
-                size = 0
-        chunks = [c for c in chunks if c]
-        for chunk, ids in zip(chunks, self.encoded(["".join(f"{w}\n" for w in c) for c in chunks]), strict=True):
-            cuts = np.flatnonzero(ids == self.line)
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(chunk, (4 * cuts).tolist(), strict=True):
-                self.kept[w] = raw[at:end]
-                at = end + 4
-        for at in range(0, len(others), 64):
-            for w, ids in zip(others[at : at + 64], self.encoded(others[at : at + 64]), strict=True):
-                self.kept[w] = ids.tobytes()
-
-    def words(self, text: str) -> list[str]:
-        """The text in pieces that the library encodes one by one as it does together."""
-        out: list[str] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-                return SAFE.split(text) if text else []
-            out += ["\n", words[0], *(f" {w}" for w in words[1:])]
-        return out[1:]
+        """Keep the ids of words, each a line of a text that the library gets; a first word ends with a space and has
+        none before it. What isn't a word between single spaces is kept as None."""
+        if ODD.search("\0".join(["", *words, ""])):
+            bad = [w for w in words if ODD.search(f"\0{w}\0")]
+            self.kept.update(dict.fromkeys(bad))
+            words = list(set(words).difference(bad))
+        for at in range(0, len(words), ASKED):
+            chunk = words[at : at + ASKED]
+            lines = [w[:-1] if w[-1] == " " else f" {w}" for w in chunk]
+            text = "\n".join(lines)
+            ids = self.encoded([text + "\n"])[0]
+            ends = 4 * np.flatnonzero(ids == self.line)
+            if len(ends) > len(chunk):  # line feeds inside words
+                ends = ends[np.cumsum([x.count("\n") + 1 for x in lines]) - 1]
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(chunk, ends.tolist(), strict=True):
+                self.kept[w] = raw[begin:end]
+                begin = end + 4
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        if new := {w for words in cut for w in words}.difference(self.kept):
-            before = len(self.kept)
-            self.learn(sorted(new))
-            if len(self.kept) < before:  # it was full
-                self.learn(sorted({w for words in cut for w in words}.difference(self.kept)))
-        return [b"".join(map(self.kept.__getitem__, words)) for words in cut]
+        cut = [t.split(" ") for t in texts]
+        for words in cut:
+            words[0] += " "
+        found = [list(map(self.kept.get, words)) for words in cut]
+        new = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, b in zip(words, ids, strict=True) if b is None}
+        if len(self.kept) > KEPT:  # the words of these texts stay
+            self.kept = {w: b for words, ids in zip(cut, found, strict=True) for w, b in zip(words, ids, strict=True) if b is not None}
+        self.learn(list(new))
+        out = []
+        for text, words, ids in zip(texts, cut, found, strict=True):
+            if None in ids:
+                ids = [self.kept[w] if b is None else b for w, b in zip(words, ids, strict=True)]
+            if None not in ids:
+                out.append(b"".join(ids))
+            else:
+                out.append(b"".join(x.tobytes() for x in self.encoded(SAFE.split(text))) if text else b"")
+        return out
 
 
 @lru_cache(maxsize=2)
