@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,43 +79,80 @@ def latest(rows: DataFrame) -> DataFrame:
 
 def upsert(path: str, batch: DataFrame) -> None:
     """Merge a batch into a Parquet table by day, reading and writing only the days that the batch touches (an alert's id
-    holds its time, so its versions share a day).
+    holds its time, so its versions share a day). Of a day that the table hasn't got, the batch is written once.
 
-    Each call writes its days to a folder of its own and then publishes a manifest, day -> folder: readers and repeated
-    batches see whole tables. Folders that neither this manifest nor the one before it names are deleted, so a
-    reader has until the next but one batch; so do the leavings of a call that failed. One writer at a time."""
+    Each call writes to folders of its own and then creates the next manifest, day -> folder: readers and repeated
+    batches see whole tables. Of several writers that are ready at once one creates it; the others merge what has
+    changed under them, of the days that they touch, and try again: none loses an alert, and of one that two write the
+    last to be published stays. Folders that neither this manifest nor the one before it names are deleted, so a
+    reader has until the next but one batch; what failed calls have left goes when it is LEFT old."""
     spark, folder = batch.sparkSession, Folder(batch.sparkSession, path)
-    number, days = _manifest(folder)
-    number += 1
-    new = f"incoming-{number}"
-    folder.delete(new)
+    number = _claim(folder)
+    fresh_in, target, tries = f"incoming-{number}", f"data-{number}", 0
     keyed = latest(batch).withColumn("event_day", F.coalesce(F.to_date("event_ts").cast("string"), F.lit("none")))
-    keyed.write.partitionBy("event_day").parquet(f"{path}/{new}")
-    touched = [n.removeprefix("event_day=") for n in folder.names(new) if n.startswith("event_day=")]
-    fresh = spark.read.schema(keyed.schema).parquet(f"{path}/{new}")
-    old = _days(spark, path, {d: days[d] for d in touched if d in days}, keyed.schema)
-    whole = fresh if old is None else old.join(fresh.select("alert_id"), "alert_id", "left_anti").unionByName(fresh)
-    folder.delete(f"data-{number}")
-    whole.write.partitionBy("event_day").parquet(f"{path}/data-{number}")
-    now = {**days, **dict.fromkeys(touched, f"data-{number}")}
-    folder.publish(f"manifest-{number:012d}", json.dumps({"days": now, "schema": keyed.schema.jsonValue()}))
-    _clean(folder, number, (now, days))
-
-
-def _clean(folder: Folder, number: int, tables: tuple[dict[str, str], ...]) -> None:
-    """Deletes what none of the tables (day -> folder) names, and old manifests."""
-    used = {f"{where}/event_day={day}" for table in tables for day, where in table.items()}
-    for name in folder.names():
-        if name.startswith("incoming-") or name.startswith("manifest-") and int(name[9:]) < number - 1:
-            folder.delete(name)
-        elif name.startswith("data-"):
-            parts = [p for p in folder.names(name) if p.startswith("event_day=")]
-            if not any(f"{name}/{p}" in used for p in parts):
-                folder.delete(name)
-            else:
-                for p in parts:
-                    if f"{name}/{p}" not in used:
-                        folder.delete(f"{name}/{p}")
+    keyed.write.partitionBy("event_day").parquet(f"{path}/{fresh_in}")
+    fresh = {n.removeprefix("event_day="): fresh_in for n in folder.names(fresh_in) if n.startswith("event_day=")}
+    merged: dict[str, tuple[str, str]] = {}  # day -> the folder that it was merged with, the folder of the result
+    while True:
+        last, days = _manifest(folder)
+        stale = [d for d in fresh if d in days and merged.get(d, ("", ""))[0] != days[d]]
+        if stale:
+            new, old = (_days(spark, path, {d: where[d] for d in stale}, keyed.schema) for where in (fresh, days))
+            whole = old.join(new.select("alert_id"), "alert_id", "left_anti").unionByName(new)
+            whole.write.partitionBy("event_day").parquet(f"{path}/{target}")
+            merged |= {d: (days[d], target) for d in stale}
+        for d in [d for d in fresh if d not in days and fresh[d] == fresh_in]:
+            folder.move(f"{fresh_in}/event_day={d}", f"{target}/event_day={d}")
+            fresh[d] = target
+        now = {**days, **{d: merged[d][1] if d in days else where for d, where in fresh.items()}}
+        if folder.create(f"manifest-{last + 1:012d}", json.dumps({"days": now, "schema": keyed.schema.jsonValue()})):
+            break
+        tries += 1
+        target = f"data-{number}-{tries}"
+    folder.delete(fresh_in)
+    _clean(folder)
+
+
+#: Milliseconds after which what failed calls have left is deleted.
+LEFT = 86_400_000
+
+
+def _claim(folder: Folder) -> int:
+    """A number that no other call has."""
+    taken = [int(n.rpartition("-")[2]) for n in folder.names() if n.startswith((".claim-", "manifest-"))]
+    number = max(taken, default=0) + 1
+    while not folder.create(f".claim-{number:012d}", ""):
+        number += 1
+    return number
+
+
+def _clean(folder: Folder) -> None:
+    """Deletes the manifests before the last two with what they alone name, and old leavings."""
+    names = folder.names()
+    manifests = [n for n in names if n.startswith("manifest-")]
+    tables = {n: _read(folder, n) for n in manifests}
+    used = {(where, day) for n in manifests[-2:] for day, where in tables[n].items()}
+    for n in manifests[:-2]:
+        for day, where in tables[n].items():
+            if (where, day) not in used:
+                folder.delete(f"{where}/event_day={day}")
+                if not any(p.startswith("event_day=") for p in folder.names(where)):
+                    folder.delete(where)
+        folder.delete(n)
+    known = {where for where, _ in used}
+    for n in names:
+        if n not in known and n.startswith(("incoming-", "data-", ".claim-")) and folder.age(n) > LEFT:
+            folder.delete(n)
+
+
+def _read(folder: Folder, name: str) -> dict[str, str]:
+    """The days of a manifest; none if another call has deleted it."""
+    try:
+        return json.loads(folder.read(name))["days"]
+    except Py4JJavaError:
+        if folder.exists(name):
+            raise
+        return {}
 
 
 def _manifest(folder: Folder) -> tuple[int, dict[str, str]]:

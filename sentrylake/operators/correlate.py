@@ -10,26 +10,34 @@ from ..functions.constants import CHILD_TYPES
 from .normalize import field, scorable
 
 
+CHILD = "event_id string, ordinal long, record_type string, args array<string>, title string, dir string, path string, address struct<ip:string,port:long>"
+
+
+def with_child_fields(rows: DataFrame) -> DataFrame:
+    """Parsed records with what a child record tells of its event: the columns of CHILD, null for other records."""
+    log, kv = field("log"), field("kv")
+    get = lambda name: F.coalesce(F.nullif(log(name), F.lit("")), kv(name))
+    is_a = lambda t: F.col("record_type") == t
+    fields = F.map_concat(F.coalesce("kv", F.expr("cast(map() as map<string,string>)")), F.coalesce("log", F.expr("cast(map() as map<string,string>)")))
+    return rows.withColumns(
+        {
+            "args": F.when(is_a("EXECVE"), X.execve_args(fields)),
+            "title": F.when(is_a("PROCTITLE"), X.proctitle(get("proctitle"))),
+            "dir": F.when(is_a("CWD"), X.hex_decode(get("cwd"))),
+            "path": F.when(is_a("PATH"), X.hex_decode(get("name"))),
+            "address": F.when(is_a("SOCKADDR"), X.socket_address(get("saddr"))),
+        }
+    )
+
+
 def slots(rows: DataFrame) -> DataFrame:
     """event_id, argv, e_proctitle, e_cwd, paths, dest of parsed records.
 
     By arrival: the last EXECVE with arguments sets argv and stands in for a missing title; the last decodable
     PROCTITLE and SOCKADDR and the last CWD count; PATHs are collected in order."""
-    log, kv = field("log"), field("kv")
-    get = lambda name: F.coalesce(F.nullif(log(name), F.lit("")), kv(name))
     kids = rows.where(F.col("record_type").isin(*CHILD_TYPES) & F.col("event_id").isNotNull())
+    kids = with_child_fields(kids).select(*(c.split()[0] for c in CHILD.split(", ")))
     is_a = lambda t: F.col("record_type") == t
-    fields = F.map_concat(F.coalesce("kv", F.expr("cast(map() as map<string,string>)")), F.coalesce("log", F.expr("cast(map() as map<string,string>)")))
-    kids = kids.select(
-        "event_id",
-        "ordinal",
-        "record_type",
-        F.when(is_a("EXECVE"), X.execve_args(fields)).alias("args"),
-        F.when(is_a("PROCTITLE"), X.proctitle(get("proctitle"))).alias("title"),
-        F.when(is_a("CWD"), X.hex_decode(get("cwd"))).alias("dir"),
-        F.when(is_a("PATH"), X.hex_decode(get("name"))).alias("path"),
-        F.when(is_a("SOCKADDR"), X.socket_address(get("saddr"))).alias("address"),
-    )
     last = lambda value, when: F.max_by(value, F.when(when, F.col("ordinal")))
     titled = F.col("title").isNotNull()
     argued = F.size("args") > 0

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 FAILURES, PORTS, SLICE, UNTIMED = 600_000_000, 300_000_000, 3_600_000_000, 1024
 
 
-def in_slices(events: DataFrame, reach: int) -> DataFrame:
-    """Each event in its own hour and, where it lies within `reach` of the next, also there as context: windows can
+def in_slices(events: DataFrame, reach: int, size: int = SLICE) -> DataFrame:
+    """Each event in its own hour (`size` microseconds) and, where it lies within `reach` of the next, also there as context: windows can
     then be partitioned by key and hour, and a busy key is split by time. Events without a time count nothing; they are
     dealt over UNTIMED slices under zero."""
     untimed = -1 - F.pmod(F.xxhash64("ordinal"), F.lit(UNTIMED))
-    own, later = (F.coalesce(F.floor(t / SLICE), untimed) for t in (F.col("us"), F.col("us") + reach))
+    own, later = (F.coalesce(F.floor(t / size), untimed) for t in (F.col("us"), F.col("us") + reach))
     rows = events.withColumn("own_slice", own)
     return rows.withColumn("slice", F.explode(F.array_distinct(F.array(own, later))))
 

@@ -16,11 +16,17 @@ from ..operators.signals import with_signals
 from .session import prepare, stored
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Correlated records as normalised events with their flags and baseline keys."""
+    prepare(rows.sparkSession)
+    return apply(normalize(rows), NAMES, FLAGS, KEYS)
+
+
 def flagged(raw: DataFrame) -> DataFrame:
     """Normalised, correlated events with their flags and baseline keys. Lines are parsed once and kept: children and
     parents both read them."""
     prepare(raw.sparkSession)
-    return apply(normalize(correlated(stored(parsed(raw), "parsed"))), NAMES, FLAGS, KEYS)
+    return named(correlated(stored(parsed(raw), "parsed")))
 
 
 def contextual(raw: DataFrame, batch: str | None = None) -> DataFrame:
@@ -62,9 +68,10 @@ def assessed(rows: DataFrame, calibration: calibrate.Calibration, weights: dict
     return explained(with_techniques(rows), weights)
 
 
-def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | None = None) -> DataFrame:
-    """Alert rows of raw records under a trained model."""
-    rows = iforest.with_raw_score(featured(contextual(raw), model["profile"]), model["forest"])
+def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | None = None, correlated: bool = False) -> DataFrame:
+    """Alert rows of raw records (or, `correlated`, of parsed ones with the enrichment of their event) under a model."""
+    events = with_signals(named(raw)) if correlated else contextual(raw)
+    rows = iforest.with_raw_score(featured(events, model["profile"]), model["forest"])
     return alert_rows(assessed(rows, model["calibration"], weights, hosts), scored_at, model.get("version", "none"))
 
 

@@ -17,10 +17,12 @@ from ..operators.attack import with_techniques
 from ..operators.correlate import slots
 from ..operators.ladders import FEATURE_NAMES, FLAGS, NAMES, RULE_COLUMNS, apply, risk_stages, technique_terms
 from ..operators.normalize import parsed, scorable
+from ..sources import audit
 from ..sources.audit import audit_records
 from ..sources.scan import after_cursor, hash_sample
 from ..sources.scenarios import labelled
 from ..streaming.jobs import SIGNALS, failure_signals, timeline_stream
+from ..streaming.state import PORT_SIGNALS, correlation_stream, port_signals
 from . import detect
 from .oracle import risk_sql, sql
 from .oracle import stage as oracle_stage
@@ -785,3 +787,40 @@ def stream_late_signals(spark, sf_dir):
         stream = spark.readStream.schema(rows.schema).parquet(folder)
         got = _drained(failure_signals(stream, "60 days"), "stream_late_signals", f"{folder}-out")
     return got.select(*(c.split()[0] for c in SIGNALS.split(", ")))
+
+
+def _in_turns(turns: list[DataFrame], name: str, stream) -> DataFrame:
+    """What `stream` gives of records that come in turns: each is written and read by a stream that starts again."""
+    folder = scratch(turns[0].sparkSession, name)
+    for part in turns:
+        part.write.mode("append").parquet(folder)
+        got = _drained(stream(part.sparkSession.readStream.schema(part.schema).parquet(folder)), name, f"{folder}-out")
+    return got
+
+
+@query(sql("ev", "SELECT event_id, ordinal, argv_text, proctitle, cwd, path_text, dest_ip, CASE WHEN dest_ip IS NOT NULL THEN dest_port END AS dest_port FROM ev WHERE ts + INTERVAL 43205 SECONDS <= (SELECT max(ts) FROM ev)"))
+def stream_correlation(spark, sf_dir):
+    """Records in four turns of twelve hours, those of each kind hours earlier or later than the others: the events that
+    the watermark has closed, with all their children."""
+    rows = parsed(raw(spark, sf_dir))
+    hours = F.floor((F.unix_micros("ts") - F.lit(audit.START)) / 3_600_000_000) + 2 * (F.col("ordinal") % 8 - 2)
+    turn = F.greatest(F.lit(0), F.least(F.lit(3), F.floor(hours / 12)))
+    got = _in_turns([rows.where(turn == k) for k in range(4)], "stream_correlation", lambda s: correlation_stream(s, "12 hours"))
+    return got.select("event_id", "ordinal", F.array_join("argv", " ").alias("argv_text"), F.col("e_proctitle").alias("proctitle"), F.col("e_cwd").alias("cwd"), F.coalesce(F.array_join("paths", "\n"), F.lit("")).alias("path_text"), F.col("dest.ip").alias("dest_ip"), F.col("dest.port").alias("dest_port"))
+
+
+def _ported(spark, sf_dir) -> DataFrame:
+    return contextual(spark, sf_dir).select("ts", "host", "ordinal", "us", "dest_port")
+
+
+@query(sql("sig", "SELECT host, ordinal, us, recent_distinct_ports FROM sig"))
+def stream_port_signals(spark, sf_dir):
+    return _in_turns([_ported(spark, sf_dir)], "stream_port_signals", port_signals).select(*(c.split()[0] for c in PORT_SIGNALS.split(", ")))
+
+
+@query(sql("sig", """SELECT host, ordinal, us, CASE WHEN n % 3 = 0 THEN recent_distinct_ports ELSE early END AS recent_distinct_ports
+  FROM (SELECT *, CAST(count(DISTINCT CASE WHEN n % 3 <> 0 AND dest_port > 0 THEN dest_port END) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS early FROM sig)"""))
+def stream_late_ports(spark, sf_dir):
+    """Each third event comes after all others: it counts what lies before it, and nothing that lies after."""
+    rows, late = _ported(spark, sf_dir), (F.col("ordinal") / 8) % 3 == 0
+    return _in_turns([rows.where(~late), rows.where(late)], "stream_late_ports", lambda s: port_signals(s, "60 days")).select(*(c.split()[0] for c in PORT_SIGNALS.split(", ")))

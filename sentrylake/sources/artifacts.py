@@ -35,7 +35,7 @@ def save(spark: SparkSession, model: dict, path: str, keys: int | None = 5000) -
     spark.createDataFrame(forest["nodes"], iforest.NODES).write.parquet(f"{path}/{version}/nodes")  # some trees of bounded size
     profile = model["profile"] if keys is None else baseline.top_keys(model["profile"], keys)
     profile.select("kind", "key", "n", "first_seen").write.parquet(f"{path}/{version}/profile")
-    folder.publish(f"about-{version}.json", text)
+    folder.create(f"about-{version}.json", text)
     folder.publish(CURRENT, version)
     return version
 
@@ -44,10 +44,8 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> dict | N
     """The model of a version (the current one) with its `version`; None where there is none."""
     folder = Folder(spark, path)
     names = folder.names()
-    if version is None:
-        if CURRENT not in names:
-            return None
-        version = folder.read(CURRENT)
+    if version is None and (version := folder.latest(CURRENT)) is None:
+        return None
     if f"about-{version}.json" not in names:
         return None
     about = json.loads(folder.read(f"about-{version}.json"))
