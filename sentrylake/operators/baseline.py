@@ -43,13 +43,15 @@ def rarity(n: Column, total: Column, cardinality: Column) -> Column:
     return F.when(top <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), seen / top)))
 
 
-def with_rarity(events: DataFrame, profile: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+def with_rarity(events: DataFrame, profile: DataFrame, kept: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Adds rarity_<kind> of the five kinds that features read. `kept`: the keys to look up (all of `profile` unless a
-    capped one is given, whose cardinality then counts). Null keys and empty tables give one half."""
+    capped one is given, whose cardinality then counts). `sums`: kind, total, cardinality, where they are known apart from
+    the keys. Null keys and empty tables give one half."""
     look = profile if kept is None else kept
-    sums = profile.groupBy("kind").agg(F.sum("n").alias("total")).join(look.groupBy("kind").agg(F.count("*").alias("cardinality")), "kind")
-    known = {r.kind: (r.total, r.cardinality) for r in sums.collect()}  # one row a kind
-    small = sum(c for _, c in known.values()) <= FEW
+    if sums is None:
+        sums = profile.groupBy("kind").agg(F.sum("n").alias("total")).join(look.groupBy("kind").agg(F.count("*").alias("cardinality")), "kind")
+    known = {r.kind: (r.total, r.cardinality) for r in sums.select("kind", "total", "cardinality").collect()}  # one row a kind
+    small = look.limit(FEW + 1).count() <= FEW if kept is not None else sum(c for _, c in known.values()) <= FEW
     for kind, (column, _) in zip(KINDS, KEYS, strict=True):
         if kind not in READ_KINDS:
             continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CRITICALITY
@@ -10,6 +10,7 @@ from ..operators import baseline, calibrate, iforest
 from ..operators.alerts import alert_rows, explained
 from ..operators.attack import with_techniques
 from ..operators.correlate import correlated
+from ..operators.growing import Profile
 from ..operators.ladders import FEATURE_NAMES, FEATURES, FLAGS, KEYS, NAMES, apply
 from ..operators.normalize import normalize, parsed
 from ..operators.signals import with_signals
@@ -34,13 +35,13 @@ def contextual(raw: DataFrame, batch: str | None = None) -> DataFrame:
     return with_signals(flagged(raw), batch)
 
 
-def featured(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Adds rarities and the 28 features; without a profile every rarity is one half."""
+def featured(events: DataFrame, profile: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Adds rarities and the 28 features; without a profile every rarity is one half. `sums`: of a profile that grows."""
     if profile is None:
         for k in baseline.READ_KINDS:
             events = events.withColumn(f"rarity_{k}", F.lit(0.5))
     else:
-        events = baseline.with_rarity(events, profile)
+        events = baseline.with_rarity(events, profile, profile if sums is not None else None, sums)
     return apply(events, FEATURES)
 
 
@@ -51,10 +52,28 @@ def train(events: DataFrame, trees: int = iforest.TREES, sample: int = iforest.S
     if (n := rows.count()) < least:
         raise ValueError(f"{n} events are too few to train on; {least} are needed")
     forest = iforest.fit(rows, FEATURE_NAMES, trees=trees, sample=sample, contamination=contamination)
-    scores = iforest.with_raw_score(rows, forest)
+    scores = stored(iforest.with_raw_score(rows, forest).select("raw_score"), "raw-scores")  # scored once
     return {"profile": profile, "forest": forest, "calibration": calibrate.fit(scores, "raw_score", offset=forest["offset"])}
 
 
+def learn(events: DataFrame, forest: dict, path: str, batch: int) -> dict:
+    """Let a model grow by a batch of contextual events: its profile, then the calibration of its forest's scores under
+    that profile. A batch that comes again changes nothing; nothing is read but the batch and the model's own tables."""
+    spark = events.sparkSession
+    profile = Profile(spark, f"{path}/profile")
+    profile.add(events, batch)
+    scores = iforest.with_raw_score(featured(events, profile.keys(), profile.sums()), forest)
+    calibrate.add_batch(scores, "raw_score", f"{path}/scores", batch)
+    return learnt(spark, forest, path)
+
+
+def learnt(spark: SparkSession, forest: dict, path: str) -> dict:
+    """The model as it has grown so far."""
+    profile = Profile(spark, f"{path}/profile")
+    calibration = calibrate.from_states(calibrate.read_states(spark, f"{path}/scores"), offset=forest["offset"])
+    return {"profile": profile.keys(), "sums": profile.sums(), "forest": forest, "calibration": calibration}
+
+
 def criticality(hosts: dict[str, float] | None):
     out = F.lit(DEFAULT_CRITICALITY)
     for h, v in (hosts or {}).items():
@@ -71,7 +90,7 @@ def assessed(rows: DataFrame, calibration: calibrate.Calibration, weights: dict
 def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | None = None, correlated: bool = False) -> DataFrame:
     """Alert rows of raw records (or, `correlated`, of parsed ones with the enrichment of their event) under a model."""
     events = with_signals(named(raw)) if correlated else contextual(raw)
-    rows = iforest.with_raw_score(featured(events, model["profile"]), model["forest"])
+    rows = iforest.with_raw_score(featured(events, model["profile"], model.get("sums")), model["forest"])
     return alert_rows(assessed(rows, model["calibration"], weights, hosts), scored_at, model.get("version", "none"))
 
 

@@ -15,6 +15,7 @@ from ..operators import baseline, calibrate, evaluate, iforest, report
 from ..operators.alerts import alert_rows, latest, upsert, read_table
 from ..operators.attack import with_techniques
 from ..operators.correlate import slots
+from ..operators.growing import Profile
 from ..operators.ladders import FEATURE_NAMES, FLAGS, NAMES, RULE_COLUMNS, apply, risk_stages, technique_terms
 from ..operators.normalize import parsed, scorable
 from ..sources import audit
@@ -277,6 +278,34 @@ def calibration_quantiles(spark, sf_dir):
     return spark.createDataFrame([(i, round(q, 6)) for i, q in enumerate(cal.quantiles)], "place int, value double")
 
 
+@query("""SELECT CAST(i AS INT) AS place, n, least, most, true AS within FROM (SELECT count(o_totalprice) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders), range(1001) r(i)""")
+def calibration_sketch(spark, sf_dir):
+    """The sketch that grows, of seven batches: whether each point's value lies within the stated error of its rank among
+    all prices."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), scratch(spark, "score-states")
+    for k in range(7):
+        calibrate.add_batch(orders.where(F.col("o_orderkey") % 7 == k), "o_totalprice", path, k)
+    states = calibrate.read_states(spark, path)
+    cal, about = calibrate.from_states(states), calibrate.merged(states).select("n", "least", "most").first()
+    found = orders.select(F.round(calibrate.percentile(F.col("o_totalprice"), cal) * calibrate.POINTS).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("c")).collect()
+    below, at = [0] * (calibrate.POINTS + 1), {r.b: r.c for r in found}  # prices under each point
+    for i in range(calibrate.POINTS):
+        below[i + 1] = below[i] + at.get(i, 0)
+    error = calibrate.SKETCH_ERROR + 2 / about.n
+    within = [(i, about.n, about.least, about.most, abs(below[i + 1] / about.n - i / (calibrate.POINTS - 1)) <= error) for i in range(calibrate.POINTS)]
+    return spark.createDataFrame(within, "place int, n long, least double, most double, within boolean")
+
+
+@query(sql("prof", "SELECT kind, key, n, error, rank, total, cardinality > 0 AS counted FROM (SELECT *, CAST(0 AS BIGINT) AS error, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, first_seen) AS INT) AS rank FROM prof) JOIN tot USING (kind) WHERE rank <= 5000"))
+def profile_growing(spark, sf_dir):
+    """The profile after four batches of events."""
+    rows, grown = contextual(spark, sf_dir), Profile(spark, scratch(spark, "profile"))
+    for k in range(4):
+        grown.add(rows.where(F.floor(F.col("ordinal") / 8) % 4 == k), k)
+    kept = baseline.top_keys(grown.keys(), grown.most).select("kind", "key", "n", "error", "rank")
+    return kept.join(grown.sums().select("kind", "total", (F.col("cardinality") > 0).alias("counted")), "kind")
+
+
 @query(sql("sco", "SELECT ordinal, raw_score, anomaly_score FROM sco"))
 def percentile_score(spark, sf_dir):
     return assessed(spark, sf_dir).select("ordinal", "raw_score", "anomaly_score")
@@ -296,7 +325,7 @@ def confidence(spark, sf_dir):
 def iforest_scores(spark, sf_dir):
     rows = featured(spark, sf_dir)
     model = iforest.fit(rows, FEATURE_NAMES)
-    scored = iforest.with_raw_score(rows.drop("raw_score"), model)
+    scored = stored(iforest.with_raw_score(rows.select("ordinal", *FEATURE_NAMES), model).select("ordinal", "raw_score"), "raw-scores")
     return calibrate.with_anomaly(scored, "raw_score", calibrate.fit(scored, "raw_score")).select("ordinal", "raw_score", "anomaly_score", "prediction", "confidence")
 
 
