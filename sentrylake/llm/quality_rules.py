@@ -1,14 +1,19 @@
 """Quality rules: base counts, and robust multivariate outliers among the documents that pass them.
 
-Each text gives a vector of transformed shares. Per source of a language (where that has too few documents: per
-language, else over all) the minimum-covariance-determinant estimate is found by concentration steps: every document's
+Each text gives a vector of transformed shares. Per source of a language, per language and over all the
+minimum-covariance-determinant estimate is found by concentration steps: every document's
 distance under the current estimate, then mean and covariance of the three quarters nearest to it. Distances are
 gathered in narrow logarithmic bins with their moments, so a step is one grouping with partial sums over all
 documents, and an estimate is made from at most BINS rows; the bin on the edge counts in part.
 
 A group begins from several estimates: medians with median absolute deviations, and STARTS small subsets drawn by hash.
 After two steps the one of the least determinant goes on, until no group's determinant falls any more. The estimate is
-then corrected for consistency, reweighted once, and documents beyond the chi-square quantile are rejected.
+then corrected for consistency and reweighted once.
+
+Every document is judged by the estimate of its own language and source. An estimate of n documents is drawn towards
+that of the language as if PRIOR documents more had given the latter (its center, its scatter and the distance of the
+centers), and the language's likewise towards that of all: few documents move what is known of the language a
+little, many make it their own, without a switch between them. Documents beyond the chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ P = len(SHARES)
 #: Least standard deviations: shares that are almost constant in a group would else reject any other value. Only variances
 #: (along the axes of the scatter, in units of these) that are less are raised.
 FLOORS = (0.06, 0.06, 0.06, 0.06, 0.12, 0.10)
-COVERED, BINS, REWEIGHT, REJECT, LEAST = 0.75, 640, 0.975, 0.9999999, 200
+COVERED, BINS, REWEIGHT, REJECT = 0.75, 640, 0.975, 0.9999999
+#: Documents that the wider group's estimate counts for in the narrower one's.
+PRIOR = 200
 #: Drawn starts besides the medians, the documents of each, steps before the choice, and the least fall of log determinants.
 STARTS, DRAWN, TRIED, SETTLED = 3, 16, 2, 1e-3
 SPACE, SYMBOLS, DIGITS, MARKS = b" \t\n\v\f\r", b"#*$%&|<>", b"0123456789", b"!?;:"
@@ -247,18 +254,43 @@ def fit(stats: DataFrame) -> DataFrame:
     return step(model, None, REWEIGHT / chi_square_cdf(edge, P + 2), F.col("d2") <= edge)
 
 
-def with_distance(docs: DataFrame, model: DataFrame, x: str, to: str) -> DataFrame:
-    """Adds the squared distance from the narrowest group that has at least LEAST documents (null: there is none)."""
-    model = model.where((F.col("n") >= LEAST) | (F.col("g") == "0"))
+def drawn(n: float, center: np.ndarray, cov: np.ndarray, wider: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Center and scatter of n documents together with PRIOR documents of the wider group's."""
+    own, gap = n / (n + PRIOR), center - wider[0]
+    return own * center + (1 - own) * wider[0], own * cov + (1 - own) * wider[1] + own * (1 - own) * np.outer(gap, gap)
+
+
+def drawn_together(batches):
+    """Of rows with a group and the estimates of all (0), its language (1) and itself (2): g, center, precision."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            made = None
+            for n, center, precision in ((r.n0, r.center0, r.precision0), (r.n1, r.center1, r.precision1), (r.n2, r.center2, r.precision2)):
+                if center is None:
+                    continue
+                mean, cov = np.array(center, float), np.linalg.inv(np.array(precision, float).reshape(P, P))
+                made = (mean, cov) if made is None else drawn(n, mean, cov, made)
+            out.append((r.g, None, None) if made is None else (r.g, made[0].tolist(), np.linalg.inv(raised(made[1])).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["g", "center", "precision"])
+
+
+def own_estimates(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """g, center, precision of every language and source of the documents."""
     count = model.count()
-    inner = F.struct("center", "precision")
-    out = docs
-    for k, key in enumerate(group_keys()):
-        level = model.where(F.col("g").startswith(str(2 - k))).select(F.col("g").alias(f"__g{k}"), inner.alias(f"__m{k}"))
-        out = small_join(out.withColumn(f"__g{k}", key), level, [f"__g{k}"], count if k < 2 else 1)
-    out = out.withColumn("__m", F.coalesce("__m0", "__m1", "__m2"))
-    out = out.withColumn(to, distance(F.col(x), F.col("__m.center"), F.col("__m.precision")))
-    return out.drop("__g0", "__g1", "__g2", "__m0", "__m1", "__m2", "__m")
+    groups = docs.select(*(k.alias(f"g{2 - i}") for i, k in enumerate(group_keys()))).distinct()
+    for i in (2, 1, 0):
+        level = model.where(F.col("g").startswith(str(i))).select(F.col("g").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "center", "precision")))
+        groups = small_join(groups, level, [f"g{i}"], count if i else 1)
+    return groups.withColumnRenamed("g2", "g").mapInPandas(drawn_together, "g string, center array<double>, precision array<double>")
+
+
+def with_distance(docs: DataFrame, model: DataFrame, x: str, to: str) -> DataFrame:
+    """Adds the squared distance from the estimate of a document's language and source (null where there is no model)."""
+    own = stored(own_estimates(docs, model), "mcd-own", 1)
+    own = own.select(F.col("g").alias("__g"), F.struct("center", "precision").alias("__m"))
+    out = small_join(docs.withColumn("__g", group_keys()[0]), own, ["__g"], own.count())
+    return out.withColumn(to, distance(F.col(x), F.col("__m.center"), F.col("__m.precision"))).drop("__g", "__m")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

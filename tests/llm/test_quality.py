@@ -75,7 +75,7 @@ def exact_estimate(x, rng):
     h = int(np.ceil(qr.COVERED * n))
     chi = lambda q, k=qr.P: qr.chi_square_quantile(q, k)
     for start in range(40):
-        pick = rng.choice(n, 16, replace=False) if start else np.argsort(np.abs((x - np.median(x, 0)) / (1.4826 * np.median(np.abs(x - np.median(x, 0)), 0) + np.array(qr.FLOORS))).max(1))[: n // 2]
+        pick = rng.choice(n, min(16, n), replace=False) if start else np.argsort(np.abs((x - np.median(x, 0)) / (1.4826 * np.median(np.abs(x - np.median(x, 0)), 0) + np.array(qr.FLOORS))).max(1))[: max(n // 2, 1)]
         mean, cov = x[pick].mean(0), qr.raised(np.cov(x[pick].T, bias=True))
         last = np.inf
         while True:
@@ -94,36 +94,63 @@ def exact_estimate(x, rng):
     return inside.mean(0), qr.raised(qr.REWEIGHT / qr.chi_square_cdf(chi(qr.REWEIGHT), qr.P + 2) * np.cov(inside.T, bias=True))
 
 
-def test_query_against_brute_force(spark):
-    """Base counts, and the verdicts of exact estimates, but for documents within a fifth of the cut."""
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    got = {r.doc_id: r for r in op1_quality_rules(spark, sf).collect()}
-    assert len(got) == len(docs)
+def judged_apart(rows, got):
+    """Base counts, and the verdicts of exact estimates of every language and source, drawn towards their language's and
+    that towards all's; the documents within a fifth of the cut are counted, not compared."""
     groups, vector = {}, {}
-    for d in docs:
-        r = got[d.doc_id]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(d.text or "")
+    for i, text, lang, source in rows:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(text or "")
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         if r.base_failed:
             assert not r.kept and r.distance is None
             continue
-        vector[d.doc_id] = qr.measured(d.text)[5]
-        for g in ((d.lang, d.source), (d.lang,), ()):
-            groups.setdefault(g, []).append(d.doc_id)
-    rng = np.random.default_rng(3)
-    model = {g: exact_estimate(np.array([vector[i] for i in ids]), rng) for g, ids in groups.items() if len(ids) >= qr.LEAST or not g}
-    cut, near = qr.chi_square_quantile(qr.REJECT, qr.P), 0
-    for d in docs:
-        if d.doc_id in vector:
-            mean, cov = next(model[g] for g in ((d.lang, d.source), (d.lang,), ()) if g in model)
-            x = np.array(vector[d.doc_id]) - mean
-            want = float(x @ np.linalg.inv(cov) @ x)
+        vector[i] = qr.measured(text)[5]
+        for g in ((), (lang,), (lang, source)):
+            groups.setdefault(g, []).append(i)
+    rng, model, near, apart = np.random.default_rng(3), {}, 0, 0
+    for g, ids in sorted(groups.items(), key=lambda x: len(x[0])):
+        mean, cov = exact_estimate(np.array([vector[i] for i in ids]), rng)
+        if g:
+            wide_mean, wide_cov = model[g[:-1]]
+            n, k, gap = len(ids), qr.PRIOR, mean - wide_mean
+            mean, cov = (n * mean + k * wide_mean) / (n + k), (n * cov + k * wide_cov) / (n + k) + n * k / (n + k) ** 2 * np.outer(gap, gap)
+        model[g] = mean, cov
+    cut = qr.chi_square_quantile(qr.REJECT, qr.P)
+    for i, _, lang, source in rows:
+        if i in vector:
+            mean, cov = model[lang, source]
+            x = np.array(vector[i]) - mean
+            want = float(x @ np.linalg.inv(qr.raised(cov)) @ x)
             if abs(want / cut - 1) < 0.2:
                 near += 1
-            else:
-                assert got[d.doc_id].kept == (want <= cut), (d.doc_id, want, got[d.doc_id].distance)
-    assert near < 0.02 * len(vector) and not all(got[i].kept for i in vector)
+            elif got[i].kept != (want <= cut):
+                apart += 1
+    return near, apart, len(vector), sum(not got[i].kept for i in vector)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = {r.doc_id: r for r in op1_quality_rules(spark, sf).collect()}
+    assert len(got) == len(rows)
+    near, apart, n, rejected = judged_apart(rows, got)
+    assert near < 0.02 * n and apart == 0 and rejected > 0
+
+
+def test_small_and_large_groups_against_brute_force(spark):
+    """Groups of 3 to 900 documents of their own kinds, each with outliers of its own that others would keep."""
+    rng, rows = np.random.default_rng(4), []
+    for k, (lang, source, n) in enumerate((("en", "a", 900), ("en", "b", 300), ("en", "c", 30), ("en", None, 3), ("de", "a", 120), ("de", "b", 7), (None, None, 60))):
+        for j in range(n):
+            size = 3 + k % 4 + (9 if j % 50 == 7 else 0)
+            words = ["".join(rng.choice(list("abcdefgh"), max(1, int(rng.normal(size, 1))))) for _ in range(80)]
+            digits = rng.random(80) < 0.02 * k
+            rows.append((len(rows), " ".join(w + "1" if d else w for w, d in zip(words, digits, strict=True)), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r.doc_id: r for r in qr.quality_rules(docs).collect()}
+    near, apart, n, rejected = judged_apart(rows, got)
+    assert near < 0.03 * n and apart == 0 and rejected >= 20
 
 
 def test_dual_coordinate_descent_meets_the_optimality_conditions():
