@@ -5,7 +5,9 @@ byte that ends a word. A state is what the tokens of the word so far can still i
 that begins some token, the token before it and how many fewer tokens stand before it. The last token of a prefix is
 the one token that ends there and forms a valid pair with the token before it, so a transition is annotated with the
 change of the token count (it may be negative: merging takes counts back) and a word-ending symbol returns to the
-start state. States are determinised on demand and kept for the worker's life.
+start state. States are determinised on demand and kept until there are MOST_STATES: then the worker starts afresh,
+with half of the words if there were too many for one run, and a word of over LONG symbols runs by itself, so that memory
+is bounded whatever the texts are.
 
 A batch's symbols are cut into chunks that run in step. A chunk first runs from an unknown state, which the first
 word end turns into the start state: its state map is constant. A chunk inside a longer word has a map of entry to
@@ -20,12 +22,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from ._shared import prepare, text_bytes
 
@@ -36,8 +39,8 @@ PIECE = 2_000_000
 UNKNOWN, START, NONE = 0, 1, -1
 #: Symbols before a chunk, each of which is tried as the beginning of the word.
 GUESSES = 24
-#: States after which a worker starts afresh (between batches), to bound its memory.
-MOST_STATES = 100_000
+#: States that a worker keeps at most, pairs of tokens whose validity it keeps, and symbols of a word that runs by itself.
+MOST_STATES, MOST_PAIRS, LONG = 65_536, 300_000, 16_384
 #: Unicode's White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -49,6 +52,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Full(Exception):
+    """There are MOST_STATES states."""
+
+
 class Transducer:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         letters = byte_letters()
@@ -99,6 +106,8 @@ class Transducer:
         """Whether the merges leave these two tokens, side by side, as they are."""
         key = (before, token)
         if (v := self.valid.get(key)) is None:
+            if len(self.valid) >= MOST_PAIRS:
+                self.valid.clear()
             word = self.spelled[token] if before == NONE else self.spelled[before] + self.spelled[token]
             v = self.valid[key] = self.bpe(word) == ([token] if before == NONE else [before, token])
         return v
@@ -119,6 +128,8 @@ class Transducer:
             return START, gain
         made = (*((c, b, f - gain) for c, b, f in reached), (0, token, 0))
         if (n := self.number.get(made)) is None:
+            if len(self.states) >= max(MOST_STATES, 4):  # the first two, one to go on from and one to go to
+                raise Full
             n = self.number[made] = len(self.states)
             self.states.append(made)
         return n, gain
@@ -154,10 +165,61 @@ class Transducer:
         return to, self.delta.ravel()[key]
 
     def gains(self, symbols: np.ndarray, lanes: int = LANES) -> np.ndarray:
-        """The change of the token count at each symbol; the last symbol must end a word."""
+        """The change of the token count at each symbol; the last symbol must end a word. A word that runs by itself has
+        all of it at its last symbol."""
+        out = np.zeros(len(symbols), np.int64)
+        stops = np.flatnonzero(symbols >= END) + 1
+        starts = np.concatenate([[0], stops[:-1]])
+        long = stops - starts > LONG
+        for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
+            out[b - 1] = self.alone(symbols[a:b].tolist())
+        rest = symbols if not long.any() else symbols[~np.repeat(long, stops - starts)]
+        got, at, size = [], 0, len(rest)
+        stops = np.flatnonzero(rest >= END) + 1
+        while at < len(rest):
+            k = np.searchsorted(stops, at + size, side="right")
+            end = int(stops[max(k - 1, np.searchsorted(stops, at, side="right"))])  # one word at least
+            if len(self.states) > MOST_STATES * 3 // 4:
+                self.clear()
+            try:
+                got.append(self.together(rest[at:end], lanes))
+                at, size = end, 2 * size
+            except Full:
+                self.clear()
+                if np.count_nonzero(rest[at:end] >= END) == 1:
+                    one = np.zeros(end - at, np.int64)
+                    one[-1] = self.alone(rest[at:end].tolist())
+                    got.append(one)
+                    at = end
+                size = max((end - at) // 2, 1)
+        if got:
+            out[slice(None) if rest is symbols else ~np.repeat(long, np.diff(np.concatenate([[0], np.flatnonzero(symbols >= END) + 1])))] = np.concatenate(got)
+        return out
+
+    def alone(self, word: list[int]) -> int:
+        """The tokens of one word, symbol by symbol; its states go when there are too many."""
+        state, total, moves = START, 0, {}
+        for x in word:
+            if (move := moves.get((state, x))) is None:
+                try:
+                    move = self.step(state, x)
+                except Full:
+                    here = self.states[state]
+                    self.clear()
+                    moves.clear()
+                    if (state := self.number.get(here, NONE)) == NONE:
+                        state = self.number[here] = len(self.states)
+                        self.states.append(here)
+                    move = self.step(state, x)
+                moves[state, x] = move
+            state, gain = move
+            total += gain
+        self.clear()  # the table has no rows of what this made
+        return total
+
+    def together(self, symbols: np.ndarray, lanes: int) -> np.ndarray:
+        """The gains of words that run in step."""
         n = len(symbols)
-        if len(self.states) > MOST_STATES:
-            self.clear()
         self.columns(symbols)
         width = -(-n // max(1, min(lanes, n // 64 + 1)))
         rows = -(-n // width)
@@ -249,6 +311,39 @@ FORM = (
 )
 
 
+NFC, NFD, LOWER = normalizers.NFC(), normalizers.NFD(), normalizers.Lowercase()
+#: All code points that have letters, marks or numbers in any version of Unicode so far, but surrogates.
+POINTS = [c for c in (*range(0x40000), *range(0xE0000, 0xE1000)) if not 0xD800 <= c < 0xE000]
+
+
+def kinds() -> np.ndarray:
+    """By code point: 0 white space, 1 letter, 2 number, 3 other, as the library's own tables have them."""
+    out, text = np.full(0x110000, 3, np.uint8), "".join(map(chr, POINTS))
+    points = np.array(POINTS)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for at in range(0, len(text), 1 << 16):
+            for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text[at : at + (1 << 16)]):
+                out[points[at + a : at + b]] = kind
+    out[WHITE] = 0
+    return out
+
+
+def odd_letters() -> re.Pattern:
+    """What this Python's Unicode tables lower, compose or order otherwise than the library's: texts with one of these,
+    or with a letter that only the library composes, are normalised by the library."""
+    odd: set[str] = set()
+    for at in range(0, len(POINTS), 1 << 13):
+        letters = [chr(c) for c in POINTS[at : at + (1 << 13)] if chr(c) not in "\nΣ"]
+        for theirs, ours, around in ((LOWER.normalize_str, str.lower, "{}"), (NFC.normalize_str, partial(unicodedata.normalize, "NFC"), "{}"), (NFD.normalize_str, partial(unicodedata.normalize, "NFD"), "a{}\u0334")):
+            text = "\n".join(around.format(c) for c in letters)
+            a, b = theirs(text), ours(text)
+            if a != b:
+                for c, x, y in zip(letters, a.split("\n"), b.split("\n"), strict=True):
+                    if x != y:
+                        odd |= {c, x[around.index("{")]} if theirs != LOWER.normalize_str else {c}
+    return re.compile(f"[{''.join(map(re.escape, sorted(odd)))}]" if odd else r"(?!)")
+
+
 class TokenCounter:
     """counts(texts) for a `tokenizers` file: NFC, lower case, white space dropped, words by class and contraction."""
 
@@ -264,18 +359,17 @@ class TokenCounter:
         names = sorted((a["content"] for a in file["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.marks = {n[0] for n in names}
-        kind = np.full(0x110000, 3, np.uint8)
-        for c in range(0x110000):
-            if (k := unicodedata.category(chr(c))[0]) in "LN":
-                kind[c] = 1 if k == "L" else 2
-        kind[WHITE] = 0
-        self.kind = kind
+        self.kind = kinds()
+        self.odd = odd_letters()
 
     def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # each letter is lowered for itself
-                text = text.replace("Σ", "σ")
+        if text.isascii():
+            return text.lower()
+        if self.odd.search(text):
+            return LOWER.normalize_str(NFC.normalize_str(text))
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:  # each letter is lowered for itself
+            text = text.replace("Σ", "σ")
         return text.lower()
 
     def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +446,9 @@ def load(path: str) -> TokenCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text (null: empty, no tokens), as the tokenizer file counts them.
 
-    One narrow pass; a special token's string inside a text counts as that one token, the library's default."""
+    One narrow pass; a special token's string inside a text counts as that one token, the library's default. Rows that
+    repeat an id or a text are counted each for itself, null ids too; other columns are not read; an empty table gives no
+    rows. A text of one long word is counted in bounded memory, symbol by symbol."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("long")

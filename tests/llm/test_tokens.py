@@ -206,3 +206,27 @@ def test_two_for_one_finds_the_best_pair():
         got = packing.Search(pool, 64).two(low, min(high, 64))
         best = max((x for x in sums if x <= 64), default=None)
         assert (sum(got) if got else None) == best
+
+
+def test_every_code_point_counts_as_in_the_library(counter):
+    """Alone, in a word, before marks of other classes and after one: letters, numbers, lower case and composition are
+    those of the library's version of Unicode."""
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for low in range(0, 0x110000, 8192):
+        points = [chr(c) for c in range(low, low + 8192) if not 0xD800 <= c < 0xE000]
+        for form in ("{}", "ab{}c1 x") if 0x40000 <= low < 0xE0000 or low > 0xE1000 else ("{}", "ab{}c1 x", "{}̣̇", "A̴{}é"):
+            texts = [form.format(c) for c in points]
+            want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)] if texts else []
+            assert counter.counts(texts).tolist() == want, (hex(low), form)
+
+
+def test_long_words_in_bounded_memory(counter, monkeypatch):
+    """Words of a megabyte, and many that make more states than are kept: the counts are right, the states few."""
+    library, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    monkeypatch.setattr(token_counts, "MOST_STATES", 3000)
+    monkeypatch.setattr(token_counts, "MOST_PAIRS", 5000)
+    texts = ["z" * 1_000_000, "ab" * 600_000 + " the end", word(60_000) + " x " + word(30_000), " ".join(word(500) for _ in range(60)), "the quick brown fox", word(17_000), ""]
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.machine.states) <= 3001 and len(counter.machine.valid) <= 5000 and len(counter.machine.next) <= 4096
+    counter.machine.clear()
