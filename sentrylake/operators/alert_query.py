@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..config import SEVERITIES
 from ..functions import text as X
+from .text_index import TextIndex
 
 INTERVALS = {"5m": 300, "15m": 900, "1h": 3600, "3h": 10_800, "12h": 43_200, "1d": 86_400}
 SORTS = {"risk_score": "risk_score", "detected_at": "scored_at", "event_time": "event_ts"}
@@ -44,7 +47,7 @@ class AlertQuery:
     start: int = 0
     rows: int = 20
 
-    def filters(self) -> list[Column]:
+    def filters(self, text: bool = True) -> list[Column]:
         out: list[Column] = []
         if names := [s.strip().lower() for s in self.severities if s.strip()]:
             out.append(F.col("severity").isin(*names))
@@ -65,12 +68,52 @@ class AlertQuery:
         if self.technique:
             out.append(F.exists("mitre", lambda m: m["technique_id"] == self.technique))
         out += time_range(self.since, self.until)
-        if self.text:
+        if self.text and text:
             out.append(matches(self.text, ("summary", "title", "command_line", "log.log_original", "log.log_message")))
         return out
 
-    def run(self, alerts: DataFrame) -> DataFrame:
-        return where_all(alerts, self.filters())
+    def run(self, alerts: DataFrame, index: TextIndex | None = None) -> DataFrame:
+        """The hits; words are looked up in an index of the alerts' texts, if there is one."""
+        if not self.text or index is None:
+            return where_all(alerts, self.filters())
+        hits = index.search(self.text).select(F.col("id").alias("alert_id"))
+        return where_all(alerts, self.filters(text=False)).join(hits, "alert_id", "left_semi")
+
+    def order(self) -> list[tuple[str, bool]]:
+        """Columns and whether they descend; missing values are last."""
+        return [(SORTS[self.sort], self.descending), ("scored_at", True), ("alert_id", False)]
+
+    def page_after(self, alerts: DataFrame, token: str | None = None, index: TextIndex | None = None) -> tuple[list[Row], str | None]:
+        """The next `rows` hits after the one that a token stands for (None: from the start), and the token of the last.
+        However far it is, no hit before it is sorted or skipped, and hits that come or go meanwhile move no page."""
+        hits = self.run(alerts, index)
+        if token is not None:
+            hits = hits.where(self.behind(token))
+        keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in self.order()]
+        got = hits.orderBy(*keys).limit(self.rows).collect()  # a page
+        return got, self.token(got[-1]) if len(got) == self.rows else None
+
+    def token(self, row: Row) -> str:
+        values = [row[c] for c, _ in self.order()]
+        text = json.dumps([self.sort, self.descending, *(v.isoformat() if isinstance(v, datetime) else v for v in values)])
+        return base64.urlsafe_b64encode(text.encode()).decode()
+
+    def behind(self, token: str) -> Column:
+        """Whether a hit lies behind a token's."""
+        try:
+            sort, down, *values = json.loads(base64.urlsafe_b64decode(token.encode()))
+        except (ValueError, UnicodeEncodeError):
+            raise BadQuery("the page token can't be read") from None
+        if (sort, down) != (self.sort, self.descending) or len(values) != 3:
+            raise BadQuery("the page token is of another order")
+        out, same = F.lit(False), F.lit(True)
+        for (name, falls), v in zip(self.order(), values, strict=True):
+            value = F.lit(v).cast("timestamp") if name in ("scored_at", "event_ts") and v is not None else F.lit(v)
+            column = F.col(name)
+            if v is not None:
+                out = out | (same & ((column < value if falls else column > value) | column.isNull()))
+            same = same & column.eqNullSafe(value)
+        return F.coalesce(out, F.lit(False))
 
     def page(self, alerts: DataFrame) -> tuple[int, DataFrame]:
         """(number of all hits, the page): missing sort values last, then the latest scored, then by id."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +91,7 @@ def upsert(path: str, batch: DataFrame) -> None:
     number = _claim(folder)
     fresh_in, target, tries = f"incoming-{number}", f"data-{number}", 0
     keyed = latest(batch).withColumn("event_day", F.coalesce(F.to_date("event_ts").cast("string"), F.lit("none")))
-    keyed.write.partitionBy("event_day").parquet(f"{path}/{fresh_in}")
+    _write(keyed, f"{path}/{fresh_in}")
     fresh = {n.removeprefix("event_day="): fresh_in for n in folder.names(fresh_in) if n.startswith("event_day=")}
     merged: dict[str, tuple[str, str]] = {}  # day -> the folder that it was merged with, the folder of the result
     while True:
@@ -99,7 +100,7 @@ def upsert(path: str, batch: DataFrame) -> None:
         if stale:
             new, old = (_days(spark, path, {d: where[d] for d in stale}, keyed.schema) for where in (fresh, days))
             whole = old.join(new.select("alert_id"), "alert_id", "left_anti").unionByName(new)
-            whole.write.partitionBy("event_day").parquet(f"{path}/{target}")
+            _write(whole, f"{path}/{target}")
             merged |= {d: (days[d], target) for d in stale}
         for d in [d for d in fresh if d not in days and fresh[d] == fresh_in]:
             folder.move(f"{fresh_in}/event_day={d}", f"{target}/event_day={d}")
@@ -113,6 +114,28 @@ def upsert(path: str, batch: DataFrame) -> None:
     _clean(folder)
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    """By day, and in a day by ranges of ids, with Bloom filters of them: a look-up reads the one file that has its id."""
+    rows = rows.repartitionByRange("event_day", "alert_id").sortWithinPartitions("event_day", "alert_id")
+    rows.write.partitionBy("event_day").option("parquet.bloom.filter.enabled#alert_id", "true").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, alert_id: str) -> DataFrame | None:
+    """The alert of an id in the table: the day is that of the time in the id (`alert_id`), so that one day is looked at;
+    without a time, the alerts without one."""
+    folder = Folder(spark, path)
+    names = [n for n in folder.names() if n.startswith("manifest-")]
+    if not names:
+        return None
+    got = json.loads(folder.read(names[-1]))
+    stamp = re.search(r":(\d{4}-\d\d-\d\d)T\d\d:\d\d:\d\d", alert_id)
+    days = {d: where for d, where in got["days"].items() if d == (stamp[1] if stamp else "none")}
+    schema = T.StructType.fromJson(got["schema"])
+    rows = _days(spark, path, days, schema)
+    rows = spark.createDataFrame([], schema) if rows is None else rows
+    return rows.where(F.col("alert_id") == alert_id)
+
+
 #: Milliseconds after which what failed calls have left is deleted.
 LEFT = 86_400_000
 

@@ -18,6 +18,7 @@ from ..operators.correlate import slots
 from ..operators.growing import Profile
 from ..operators.ladders import FEATURE_NAMES, FLAGS, NAMES, RULE_COLUMNS, apply, risk_stages, technique_terms
 from ..operators.normalize import parsed, scorable
+from ..operators.text_index import TextIndex
 from ..sources import audit
 from ..sources.audit import audit_records
 from ..sources.scan import after_cursor, hash_sample
@@ -557,6 +558,42 @@ def alert_search(spark, sf_dir):
     return _key(A.AlertQuery(text="Sudo nmap auditd").run(alerts(spark, sf_dir)))
 
 
+_indexed = """
+tok AS (SELECT alert_id, field, regexp_extract_all(lower(coalesce(x, '')), '[\\p{L}\\p{N}_]+(?:[.''][\\p{L}\\p{N}_]+)*') AS words FROM (
+  SELECT alert_id, unnest(['summary', 'title', 'command_line', 'original', 'message']) AS field, unnest([summary, title, command_line, CASE WHEN n % 2 = 1 THEN line END, CASE WHEN n % 2 = 0 THEN line END]) AS x FROM al)),
+fld AS (SELECT field, count(*) AS total, avg(len(words)) AS mean FROM tok WHERE len(words) > 0 GROUP BY field),
+hit AS (SELECT alert_id, field, q, len(list_filter(words, lambda w: w = q)) AS f, len(words) AS size FROM tok, (SELECT unnest(['sudo', 'nmap', 'auditd']) AS q) WHERE list_contains(words, q)),
+oft AS (SELECT field, q, count(*) AS n FROM hit GROUP BY field, q),
+sco2 AS (SELECT alert_id, field, sum(ln(1 + (total - n + 0.5e0) / (n + 0.5e0)) * f / (f + 1.2e0 * (0.25e0 + 0.75e0 * size / mean))) AS score FROM hit JOIN oft USING (field, q) JOIN fld USING (field) GROUP BY alert_id, field)"""
+
+
+@query(sql("al", "").rstrip() + "," + _indexed + "\nSELECT alert_id, round(max(score), 6) AS score FROM sco2 GROUP BY alert_id")
+def alert_search_ranked(spark, sf_dir):
+    """Hits and scores from an index of two batches, the second of which has some alerts again."""
+    rows, index = alerts(spark, sf_dir), TextIndex(spark, scratch(spark, "alert-index"))
+    index.add(rows.where("ordinal % 24 <> 0").withColumn("title", F.concat("title", F.lit(" nmap"))), 0)
+    index.add(rows, 1)
+    index.merge()
+    return index.search("Sudo nmap auditd").select(F.col("id").alias("alert_id"), F.round("score", 6).alias("score"))
+
+
+@query(sql("al", f"SELECT {_KEY} FROM al WHERE risk_score >= 20 AND ({_WORDS('summary')} OR {_WORDS('title')} OR {_WORDS('command_line')} OR {_WORDS('line')})".replace("[.'']", "[.'']")))
+def alert_search_indexed(spark, sf_dir):
+    index = TextIndex(spark, scratch(spark, "alert-index"))
+    index.add(alerts(spark, sf_dir), 0)
+    return _key(A.AlertQuery(text="Sudo nmap auditd", least_risk=20).run(alerts(spark, sf_dir), index))
+
+
+@query(sql("al", f"SELECT {_KEY} FROM al ORDER BY risk_score DESC NULLS LAST, scored_at DESC NULLS LAST, alert_id LIMIT 300 OFFSET 100"))
+def alerts_paged_after(spark, sf_dir):
+    """The second to fourth pages of a hundred, each found by the last row of the one before."""
+    q, rows, token, found = A.AlertQuery(rows=100), alerts(spark, sf_dir), None, []
+    for _ in range(4):
+        got, token = q.page_after(rows, token)
+        found.append(got)
+    return _key(spark.createDataFrame([r for page in found[1:] for r in page], rows.schema))
+
+
 @query(r"SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[.''][\p{L}\p{N}_]+)*'), ['token', 'worthless'])")
 def document_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(A.matches("token Worthless", ("text",))).select("doc_id")
