@@ -40,7 +40,7 @@ UNKNOWN, START, NONE = 0, 1, -1
 #: Symbols before a chunk, each of which is tried as the beginning of the word.
 GUESSES = 24
 #: States that a worker keeps at most, pairs of tokens whose validity it keeps, and symbols of a word that runs by itself.
-MOST_STATES, MOST_PAIRS, LONG = 65_536, 300_000, 16_384
+MOST_STATES, MOST_PAIRS, LONG = 131_072, 300_000, 16_384
 #: Unicode's White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
