@@ -23,6 +23,9 @@ DEFAULT_CRITICALITY = 0.5
 ANOMALY_THRESHOLD = 0.98
 
 
+Bands = tuple[tuple[str, int], ...]
+
+
 class BadSettings(ValueError):
     """Settings that can't be used; the message names each."""
 
@@ -52,25 +55,40 @@ def _dotted(tree: object, path: Iterable[str] = ()) -> dict[str, object]:
     return {k: v for name, inner in tree.items() for k, v in _dotted(inner, (*path, str(name))).items()}
 
 
+def bands(**least: int) -> Bands:
+    """The severities' least scores with some of them changed (high=70); BadSettings unless they fall from critical to low
+    inside 0 to 100."""
+    if unknown := set(least) - {name for name, _ in BANDS}:
+        raise BadSettings(f"no such severity: {', '.join(sorted(unknown))}")
+    out = tuple((name, least.get(name, score)) for name, score in BANDS)
+    scores = [score for _, score in out]
+    if any(isinstance(s, bool) or not isinstance(s, int) for s in scores) or not 100 >= scores[0] > scores[1] > scores[2] > scores[3] > 0:
+        raise BadSettings(f"severities have to fall from critical to low: {', '.join(f'{n} {s}' for n, s in out)}")
+    return out
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a deployment can set. `read` takes each field from a variable of its name in capitals, with a prefix; what is
     wrong there keeps its default and is named in `problems`, so that a service starts and reports it."""
 
+    # fixed values: the defaults of the numbers below
     threshold: float = ANOMALY_THRESHOLD
     batch_rows: int = 1000
     every_seconds: int = 300
     trees: int = 300
     sample: int = 4096
+    bands: Bands = BANDS
     weights: dict = field(default_factory=lambda: weights({}))
     hosts: dict = field(default_factory=dict)
     problems: tuple[str, ...] = ()
 
     @classmethod
     def read(cls, variables: Mapping[str, str], prefix: str = "SENTRYLAKE_") -> Settings:
-        """weights: a JSON file of weights to change; hosts: JSON text of host names and criticalities."""
+        """weights: a JSON file of weights to change; hosts: JSON text of host names and criticalities; bands: JSON text of
+        severities and their least scores."""
         found, problems = {}, []
-        readers = {"float": float, "int": lambda t: int(float(t)), "weights": weights_of_file, "hosts": criticalities}
+        readers = {"float": float, "int": lambda t: int(float(t)), "weights": weights_of_file, "hosts": criticalities, "bands": bands_of}
         for f in fields(cls):
             text = variables.get(prefix + f.name.upper(), "").strip()
             reader = readers.get(f.name) or readers.get(f.type)
@@ -83,6 +101,17 @@ class Settings:
         return cls(**found, problems=tuple(problems))
 
 
+def bands_of(text: str) -> Bands:
+    """Bands of JSON text; BadSettings if it is something else."""
+    try:
+        got = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise BadSettings(f"no JSON: {e}") from None
+    if not isinstance(got, dict):
+        raise BadSettings("it has to be an object of severities and least scores")
+    return bands(**got)
+
+
 def weights_of_file(path: str) -> dict[str, dict[str, float]]:
     """The weights with those of a JSON file laid over them; BadSettings or OSError if it can't be used."""
     try:

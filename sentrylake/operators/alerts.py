@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import BANDS, Bands
 from ..functions import text as X
 from ..plans.session import Folder
 from .ladders import EXPLAIN, FACTOR_TEXT, SUMMARY, apply, risk_stages
 
 
-def explained(rows: DataFrame, weights: dict | None = None) -> DataFrame:
+def explained(rows: DataFrame, weights: dict | None = None, bands: Bands = BANDS) -> DataFrame:
     """Adds risk, factors and explanation to scored, tagged events."""
-    rows = apply(rows, *risk_stages(weights), FACTOR_TEXT)
+    rows = apply(rows, *risk_stages(weights, bands), FACTOR_TEXT)
     marked = F.filter(F.split("path_text", "\n"), lambda p: F.exists(F.array(*map(F.lit, _sensitive())), lambda m: F.contains(F.lower(p), m)))
     rows = rows.withColumn("sensitive_list", F.array_join(F.slice(marked, 1, 3), ", ")).withColumn("type_title", X.title_words("record_type"))
     return apply(rows, EXPLAIN, SUMMARY)
@@ -193,6 +194,18 @@ def _days(spark: SparkSession, path: str, days: dict[str, str], schema: T.Struct
     return out
 
 
+def day_folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """Day -> the folder that holds its alerts now; another one once an upsert has touched the day."""
+    return _manifest(Folder(spark, path))[1]
+
+
+def read_days(spark: SparkSession, path: str, days: dict[str, str]) -> DataFrame:
+    """The alerts of some days with `event_day`, from the folders that `day_folders` named."""
+    folder = Folder(spark, path)
+    last = [n for n in folder.names() if n.startswith("manifest-")][-1]
+    return _days(spark, path, days, T.StructType.fromJson(json.loads(folder.read(last))["schema"]))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The alerts as of the last manifest; None where there is none."""
     folder = Folder(spark, path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..config import BANDS, DEFAULT_CRITICALITY, RISK_WEIGHTS
+from ..config import BANDS, DEFAULT_CRITICALITY, RISK_WEIGHTS, Bands
 from ..functions import constants as C
 
 
@@ -179,7 +179,7 @@ def _mean(weights: dict, prefix: str) -> str:
     return "(" + " + ".join(f"{num(float(w))} * {prefix}{k}" for k, w in weights.items()) + f") / {num(float(total))}"
 
 
-def risk_stages(weights: dict | None = None) -> list[list[tuple[str, str]]]:
+def risk_stages(weights: dict | None = None, bands: Bands = BANDS) -> list[list[tuple[str, str]]]:
     """Sub-factors, their means, the technical severity, the context modifier, the score and its band. Needs the flags,
     rarities, technique_severity, anomaly_score and criticality."""
     w = weights or RISK_WEIGHTS
@@ -204,7 +204,7 @@ def risk_stages(weights: dict | None = None) -> list[list[tuple[str, str]]]:
     # nine decimals first: a product that should be exact but is a hair below .5 rounds alike everywhere
     exact = "round(greatest(0e0, least(100e0, 100e0 * technical_severity * context_modifier)), 9)"
     half_even = f"CAST(CASE WHEN {exact} - floor({exact}) = 0.5e0 THEN 2 * round({exact} / 2e0) ELSE floor({exact} + 0.5e0) END AS INT)"
-    severity = "CASE " + " ".join(f"WHEN risk_score >= {least} THEN '{name}'" for name, least in BANDS) + " ELSE 'informational' END"
+    severity = "CASE " + " ".join(f"WHEN risk_score >= {least} THEN '{name}'" for name, least in bands) + " ELSE 'informational' END"
     return [subs, means, technical, [("risk_score", half_even)], [("severity", severity)]]
 
 

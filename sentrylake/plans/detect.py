@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CRITICALITY
+from ..config import ANOMALY_THRESHOLD, BANDS, DEFAULT_CRITICALITY, Bands, Settings
 from ..operators import baseline, calibrate, iforest
 from ..operators.alerts import alert_rows, explained
 from ..operators.attack import with_techniques
@@ -74,24 +74,36 @@ def learnt(spark: SparkSession, forest: dict, path: str) -> dict:
     return {"profile": profile.keys(), "sums": profile.sums(), "forest": forest, "calibration": calibration}
 
 
-def criticality(hosts: dict[str, float] | None):
-    out = F.lit(DEFAULT_CRITICALITY)
-    for h, v in (hosts or {}).items():
-        out = F.when(F.col("host") == h, F.lit(float(v))).otherwise(out)
-    return out
+#: Hosts of a table of criticalities up to which it is broadcast.
+FEW_HOSTS = 100_000
 
 
-def assessed(rows: DataFrame, calibration: calibrate.Calibration, weights: dict | None = None, hosts: dict[str, float] | None = None) -> DataFrame:
+def with_criticality(rows: DataFrame, hosts: dict[str, float] | DataFrame | None) -> DataFrame:
+    """Adds the criticality of each event's host: of a table (host, criticality) or settings; else the default. Of a host
+    that a table has twice, the highest counts."""
+    if hosts is None or isinstance(hosts, dict) and not hosts:
+        return rows.withColumn("criticality", F.lit(DEFAULT_CRITICALITY))
+    if isinstance(hosts, dict):
+        hosts = rows.sparkSession.createDataFrame([(h, float(v)) for h, v in hosts.items()], "host string, criticality double")
+    known = hosts.groupBy("host").agg(F.max(F.col("criticality").cast("double")).alias("criticality"))
+    known = F.broadcast(known) if known.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS else known
+    return rows.join(known, "host", "left").withColumn("criticality", F.coalesce("criticality", F.lit(DEFAULT_CRITICALITY)))
+
+
+def assessed(rows: DataFrame, calibration: calibrate.Calibration, weights: dict | None = None, hosts: dict[str, float] | DataFrame | None = None, bands: Bands = BANDS, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     """Featured events with a raw_score: adds anomaly, techniques, risk and explanation."""
-    rows = calibrate.with_anomaly(rows, "raw_score", calibration).withColumn("criticality", criticality(hosts))
-    return explained(with_techniques(rows), weights)
+    rows = with_criticality(calibrate.with_anomaly(rows, "raw_score", calibration, threshold), hosts)
+    return explained(with_techniques(rows), weights, bands)
 
 
-def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | None = None, correlated: bool = False) -> DataFrame:
-    """Alert rows of raw records (or, `correlated`, of parsed ones with the enrichment of their event) under a model."""
+def detect(raw: DataFrame, model: dict, scored_at: str, weights: dict | None = None, hosts: dict[str, float] | DataFrame | None = None, correlated: bool = False, settings: Settings | None = None) -> DataFrame:
+    """Alert rows of raw records (or, `correlated`, of parsed ones with the enrichment of their event) under a model.
+    `settings` gives weights, hosts, bands and threshold, where they aren't given themselves."""
+    settings = settings or Settings()
     events = with_signals(named(raw)) if correlated else contextual(raw)
     rows = iforest.with_raw_score(featured(events, model["profile"], model.get("sums")), model["forest"])
-    return alert_rows(assessed(rows, model["calibration"], weights, hosts), scored_at, model.get("version", "none"))
+    rows = assessed(rows, model["calibration"], weights or settings.weights, settings.hosts if hosts is None else hosts, settings.bands, settings.threshold)
+    return alert_rows(rows, scored_at, model.get("version", "none"))
 
 
 def proxy_score():

@@ -121,6 +121,10 @@ def sql(upto: str, select: str) -> str:
 def risk_sql(weights: dict | None, hosts: dict[str, float], select: str) -> str:
     """A query over the risk stages with other weights and criticalities of hosts."""
     own = "CASE " + " ".join(f"WHEN host = '{h}' THEN {v!r}e0" for h, v in hosts.items()) + " ELSE 0.5e0 END AS criticality"
-    stages = L.risk_stages(weights)
+    return risk_as(own, L.risk_stages(weights), select)
+
+
+def risk_as(criticality: str, stages: list, select: str, threshold: float = ANOMALY_THRESHOLD) -> str:
     changed = ",\n".join(stage(f"ri{k}", "tec" if k == 0 else f"ri{k - 1}", s) for k, s in enumerate(stages))
-    return sql("tec", "").rstrip().replace("0.5e0 AS criticality", own) + ",\n" + changed + "\n" + select
+    text = sql("tec", "").rstrip().replace("0.5e0 AS criticality", criticality).replace(f"a0 >= {ANOMALY_THRESHOLD}", f"a0 >= {threshold}")
+    return text + ",\n" + changed + "\n" + select

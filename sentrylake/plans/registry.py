@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import weights
+from ..config import bands, weights
 from ..functions import text as X
 from ..operators import alert_query as A
 from ..operators import baseline, calibrate, evaluate, iforest, report
@@ -18,6 +18,7 @@ from ..operators.correlate import slots
 from ..operators.growing import Profile
 from ..operators.ladders import FEATURE_NAMES, FLAGS, NAMES, RULE_COLUMNS, apply, risk_stages, technique_terms
 from ..operators.normalize import parsed, scorable
+from ..operators.overview import Overview
 from ..operators.text_index import TextIndex
 from ..sources import audit
 from ..sources.audit import audit_records
@@ -26,7 +27,7 @@ from ..sources.scenarios import labelled
 from ..streaming.jobs import SIGNALS, failure_signals, timeline_stream
 from ..streaming.state import PORT_SIGNALS, correlation_stream, port_signals
 from . import detect
-from .oracle import risk_sql, sql
+from .oracle import risk_as, risk_sql, sql
 from .oracle import stage as oracle_stage
 from .session import Folder, prepare, scratch, stored
 
@@ -368,6 +369,18 @@ def risk_with_settings(spark, sf_dir):
     return got.select("ordinal", "criticality", *r6("context_modifier"), "risk_score", "severity")
 
 
+_banded = bands(low=10, medium=35, high=45, critical=70)
+
+
+@query(risk_as("coalesce((SELECT max(r_regionkey / 5e0) FROM region WHERE host = concat('host-', r_regionkey)), 0.5e0) AS criticality", risk_stages(None, _banded), "SELECT ordinal, criticality, prediction, risk_score, severity FROM ri4", 0.9))
+def risk_with_bands(spark, sf_dir):
+    """Other bands and threshold, and criticalities from a table."""
+    rows = featured(spark, sf_dir)
+    hosts = table(spark, sf_dir, "region").select(F.concat(F.lit("host-"), F.col("r_regionkey")).alias("host"), (F.col("r_regionkey") / 5).alias("criticality"))
+    got = detect.assessed(rows, calibrate.fit(rows, "raw_score"), hosts=hosts, bands=_banded, threshold=0.9)
+    return got.select("ordinal", "criticality", "prediction", "risk_score", "severity")
+
+
 @query(sql("risk", "SELECT risk_score, severity, count(*) AS n FROM ri4 GROUP BY risk_score, severity"))
 def severity_band(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("risk_score", "severity").agg(F.count("*").alias("n"))
@@ -625,6 +638,21 @@ def anomaly_timeline_1h(spark, sf_dir):
     return A.anomaly_timeline(alerts(spark, sf_dir), "1h")
 
 
+def _grown_overview(spark, sf_dir) -> Overview:
+    """Of a table that three upserts made, looked at after each."""
+    path, rows = scratch(spark, "grown-alerts"), alerts(spark, sf_dir)
+    overview = Overview(spark, path, scratch(spark, "overview"))
+    for part in (rows.where("ordinal % 16 = 0").withColumn("prediction", F.lit(-1)), rows.where("ordinal % 24 = 0"), rows):
+        upsert(path, part)
+        overview.refresh()
+    return overview
+
+
+@query(_timeline("1 hour"))
+def timeline_grown(spark, sf_dir):
+    return _grown_overview(spark, sf_dir).timeline("1h")
+
+
 @query(_timeline("1 day"))
 def anomaly_timeline_1d(spark, sf_dir):
     return A.anomaly_timeline(alerts(spark, sf_dir), "1d")
@@ -655,6 +683,11 @@ def mitre_techniques(spark, sf_dir):
     return A.techniques(alerts(spark, sf_dir))
 
 
+@query(_techniques(False))
+def techniques_grown(spark, sf_dir):
+    return _grown_overview(spark, sf_dir).techniques()
+
+
 @query(_techniques(True))
 def mitre_techniques_flat(spark, sf_dir):
     return A.techniques(alerts(spark, sf_dir), flat=True)
