@@ -11,9 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
+
 TREES, SAMPLE, SEED = 300, 4096, 42
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int"
@@ -60,30 +62,36 @@ def scaler(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.array([round(row[f"s{i}"] or 0.0, 9) or 1.0 for i in range(len(names))])
 
 
+def share(seed: int, *columns: str | Column) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+
+
 def fit(rows: DataFrame, names: list[str], id_column: str = "ordinal", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, pool: int = 80_000, contamination: float | None = None) -> dict:
-    """The forest of a bounded pool of rows (the first `pool` by a hash of the id): bit-stable for the same rows.
+    """The forest of about `pool` rows (those of the least hashes of the id): bit-stable for the same rows.
 
-    Each tree draws its rows from the pool, which is broadcast; the trees are built in parallel and are small."""
-    spark = rows.sparkSession
+    Each tree's sample is the `sample` rows of the pool that have the least hashes of id and tree. A row is dealt to the
+    trees that can need it (hashes under a share that leaves room for chance), and a tree is built where its rows
+    meet: no row goes to the driver, and a group has little more than `sample` rows."""
     mean, scale = scaler(rows, names)
-    got = rows.select(F.xxhash64(id_column, F.lit(seed)).alias("h"), *names).orderBy("h").limit(pool).toPandas()
-    x = (got[names].to_numpy(float) - mean) / scale
-    size = min(sample, len(x))
-    shared = spark.sparkContext.broadcast(x)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for tree in pdf["id"]:
-            rng = np.random.default_rng([seed, int(tree)])
-            pick = rng.choice(len(shared.value), size, replace=False)
-            out += [(int(tree), *n) for n in build(shared.value[pick], rng)]
-        return pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "left", "right", "size"])
-
-    slices = min(trees, max(1, spark.sparkContext.defaultParallelism * 2))
-    nodes = spark.range(0, trees, 1, slices).mapInPandas(lambda it: map(make, it), NODES).toPandas() if size else pd.DataFrame(columns=["tree", "node", "feature", "cut", "left", "right", "size"])
+    n = rows.count()
+    some = rows.where(share(seed, id_column) < pool / max(n, 1)) if n > pool else rows
+    some = stored(some.select(F.col(id_column).alias("__id"), *names), "forest-pool")
+    m = some.count()
+    size = min(sample, m)
+    enough = (size + 8 * math.sqrt(size) + 16) / max(m, 1)
+    dealt = some.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("at", share(seed, "__id", "tree"))
+
+    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["at", *names])[names].to_numpy(float)[:size]
+        nodes = build((x - mean) / scale, np.random.default_rng([seed, int(key[0])]))
+        return pd.DataFrame([(int(key[0]), *v) for v in nodes], columns=["tree", "node", "feature", "cut", "left", "right", "size"])
+
+    nodes = dealt.where(F.col("at") < enough).groupBy("tree").applyInPandas(make, NODES).toPandas()  # bounded by trees and sample
     model = {"nodes": nodes.sort_values(["tree", "node"], ignore_index=True), "mean": mean, "scale": scale, "size": size, "names": names, "offset": -0.5}
     if contamination is not None and size:
-        model["offset"] = float(np.percentile(samples(x, Walker(model["nodes"]), size), 100 * contamination))
+        scored = with_raw_score(some, {**model, "offset": 0.0})
+        model["offset"] = float(scored.agg(F.percentile("raw_score", float(contamination))).first()[0])  # of the pool
     return model
 
 
