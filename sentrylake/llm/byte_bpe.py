@@ -2,8 +2,8 @@
 
 Texts up to LONG characters go to the library as they are. Longer ones are cut first at safe boundaries: before a
 space between two characters that aren't white space, where no match of the pattern can span. A stretch without
-such a boundary is cut into the pattern's own matches, and a match of over HUGE bytes (on which the library's merge
-loop is quadratic) is merged with a heap. Null and empty texts have no tokens; decoding joins the tokens' raw bytes.
+such a boundary is cut into the pattern's own matches, which the library merges one by one. Null and empty texts have no
+tokens; decoding joins the tokens' raw bytes.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the bytes decoded from them.
 
-    One narrow pass. Rows of equal ids or texts are encoded each for itself; other columns are not read."""
+    One narrow pass. Rows of equal ids or texts are encoded each for itself; other columns are not read; an empty table
+    gives no rows."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
