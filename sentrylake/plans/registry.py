@@ -23,7 +23,7 @@ from ..operators.text_index import TextIndex
 from ..sources import audit
 from ..sources.audit import audit_records
 from ..sources.scan import after_cursor, hash_sample
-from ..sources.scenarios import labelled
+from ..sources.scenarios import labelled, labelled_hosts
 from ..streaming.jobs import SIGNALS, failure_signals, timeline_stream
 from ..streaming.state import PORT_SIGNALS, correlation_stream, port_signals
 from . import detect
@@ -811,6 +811,30 @@ def scenario_scorable(spark, sf_dir):
     return scorable(parsed(records)).join(labels, "ordinal").groupBy("label").agg(F.count("*").alias("n"))
 
 
+def _scenario_hosts(spark, sf_dir):
+    """The scenarios on a host for each nation of the customers and length of their segment's name."""
+    hosts = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    number = F.col("c_nationkey") * 10 + F.length("c_mktsegment")
+    return labelled_hosts(hosts.groupBy(number.alias("number")).agg(F.min(F.concat_ws("-", "c_mktsegment", "c_nationkey")).alias("host")))
+
+
+_host_table = "(SELECT c_nationkey * 10 + length(c_mktsegment) AS number, min(concat(c_mktsegment, '-', c_nationkey)) AS host FROM customer GROUP BY 1)"
+
+
+@query(f"SELECT 22 * count(*) AS expected, 16 * count(*) AS hits, 0.727273::DOUBLE AS accuracy FROM {_host_table}")
+def scenario_hosts_techniques(spark, sf_dir):
+    """Sixteen of twenty-two on each host: none disturbs another."""
+    records, labels = _scenario_hosts(spark, sf_dir)
+    return evaluate.technique_accuracy(with_techniques(detect.contextual(records)).join(labels, "ordinal"))
+
+
+@query(f"SELECT host, label, CAST(n AS BIGINT) AS n FROM {_host_table}, (VALUES ('malicious', 22), ('normal', 13)) v(label, n)")
+def scenario_hosts_scorable(spark, sf_dir):
+    records, labels = _scenario_hosts(spark, sf_dir)
+    prepare(spark)
+    return scorable(parsed(records)).join(labels, "ordinal").groupBy(F.col("hostname").alias("host"), "label").agg(F.count("*").alias("n"))
+
+
 # --- sources, streams and the generic forms on the star schema ---
 
 

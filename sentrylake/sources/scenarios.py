@@ -9,9 +9,11 @@ events of their own (13 normal, 22 malicious); the rules name the expected techn
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +102,10 @@ def records(step: Step) -> list[tuple[str, str]]:
     return out
 
 
-def generate(days: int = 1, first: datetime = DAY) -> list[tuple[datetime, str, str, str | None]]:
-    """(time, line, scenario, expected technique) of every record."""
+def generate(days: int = 1, first: datetime = DAY, event: int = 7000) -> list[tuple[datetime, str, str, str | None]]:
+    """(time, line, scenario, expected technique) of every record; events are numbered from `event` on."""
     scripts = [(name, None, text) for name, text in NORMAL.items()] + [(name, technique, text) for name, (technique, text) in ATTACKS.items()]
-    out, event = [], 7000
+    out = []
     for day in range(days):
         for name, technique, text in scripts:
             for step in steps(text):
@@ -113,15 +115,38 @@ def generate(days: int = 1, first: datetime = DAY) -> list[tuple[datetime, str,
     return out
 
 
+ROW = "ordinal long, at timestamp_ntz, line string, scenario string, expect_technique string, host string"
+#: Ordinals and event numbers of a host's day.
+STRIDE = 1000
+
+
 def labelled(spark: SparkSession, days: int = 1) -> tuple[DataFrame, DataFrame]:
     """(raw records, labels by ordinal)."""
-    made = [(k, at.replace(tzinfo=None), line, name, technique) for k, (at, line, name, technique) in enumerate(generate(days))]
-    rows = spark.createDataFrame(made, "ordinal long, at timestamp_ntz, line string, scenario string, expect_technique string")
+    made = [(k, at.replace(tzinfo=None), line, name, technique, HOST) for k, (at, line, name, technique) in enumerate(generate(days))]
+    return as_records(spark.createDataFrame(made, ROW))
+
+
+def labelled_hosts(hosts: DataFrame, days: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The scenarios on every host of a table (number, host): (raw records, labels by ordinal). Each task makes those of its
+    hosts; the numbers keep events and ordinals of hosts apart."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for number, host in zip(b["number"], b["host"], strict=True):
+                base = int(number) * STRIDE * days
+                made = [(base + k, at.replace(tzinfo=None), line, name, technique, host) for k, (at, line, name, technique) in enumerate(generate(days, event=7000 + base))]
+                yield pd.DataFrame(made, columns=[c.split()[0] for c in ROW.split(", ")])
+
+    return as_records(hosts.select(F.col("number").cast("long").alias("number"), "host").mapInPandas(make, ROW))
+
+
+def as_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw records, labels by ordinal) of rows of ROW."""
     attack = F.col("expect_technique").isNotNull()
     labels = rows.select("ordinal", "scenario", F.when(attack, "malicious").otherwise("normal").alias("label"), attack.alias("expect_alert"), "expect_technique")
     none = {c: F.lit(None).cast("string").alias(c) for c in ("original", "module", "action", "process_name", "executable", "pid", "ppid", "user_id", "effective_id", "audit_id")}
     raw = rows.select(
         "ordinal", F.col("at").cast("timestamp").alias("ts"), F.col("line").alias("message"), none["original"], none["module"], none["action"], F.lit(None).cast("array<string>").alias("category"),
-        F.lit(HOST).alias("hostname"), F.lit(HOST).alias("host_name"), F.array(F.lit(ADDRESS)).alias("host_ip"), *(none[c] for c in list(none)[3:]), F.lit(None).cast("map<string,string>").alias("log"),
+        F.col("host").alias("hostname"), F.col("host").alias("host_name"), F.array(F.lit(ADDRESS)).alias("host_ip"), *(none[c] for c in list(none)[3:]), F.lit(None).cast("map<string,string>").alias("log"),
     )
     return raw, labels
