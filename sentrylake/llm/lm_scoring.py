@@ -52,21 +52,47 @@ def lowered(text: str) -> bytes:
 # --- the context tree ---
 
 
-def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """At each byte after the first DEPTH of the texts with their marks: (DEPTH bytes, byte) as a number, and whether
-    the byte is no start mark."""
+def joined(texts: list[bytes]) -> np.ndarray:
+    """The bytes of the texts, each between its marks."""
     start, stop = bytes([PAD] * DEPTH), bytes([STOP])
-    b = np.frombuffer(b"".join(start + t + stop for t in texts), np.uint8)
+    return np.frombuffer(b"".join(start + t + stop for t in texts), np.uint8)
+
+
+def places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each byte after the first DEPTH: (DEPTH bytes, byte) as a number, and whether the byte is no start mark."""
     key = np.zeros(max(len(b) - DEPTH, 0), np.uint64)
     for k in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | b[k : len(b) - DEPTH + k]
+        key <<= np.uint64(8)
+        key |= b[k : len(b) - DEPTH + k]
     return key, b[DEPTH:] != PAD
 
 
+def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`places` of the texts with their marks."""
+    return places(joined(texts))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (DEPTH bytes, byte) as numbers, and their counts."""
-    key, real = positions(texts)
-    return np.unique(key[real], return_counts=True)
+    """Distinct (DEPTH bytes, byte) as sorted numbers, and their counts: by PART_BYTES at a time, of one long text too, so
+    that a worker holds the numbers of that many places and what is distinct, never those of all places."""
+    b = joined(texts)
+    keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for at in range(0, max(len(b) - DEPTH, 0), PART_BYTES):
+        key, real = places(b[at : at + PART_BYTES + DEPTH])
+        key, n = np.unique(key[real], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        held += len(key)
+        if held > 2 * max(PART_BYTES, len(keys[0])):
+            keys, counts = [[x] for x in summed(keys, counts)]
+            held = len(keys[0])
+    return summed(keys, counts)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
 
 
 def parts_of(texts: list[bytes]):
@@ -84,7 +110,7 @@ def parts_of(texts: list[bytes]):
 
 def distinct(texts: list[bytes]) -> np.ndarray:
     """Distinct (DEPTH bytes, byte) as sorted numbers."""
-    return np.unique(np.concatenate([grams(x)[0] for x in parts_of(texts)]))
+    return grams(texts)[0]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

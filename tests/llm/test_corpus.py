@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,22 @@ def test_tree_equals_the_definition():
     assert np.allclose((10.0 ** logs.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_grams_of_a_batch_take_the_room_of_a_piece():
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 103, 6).astype(np.uint8)) for _ in range(300)]
+    mixed = [b" ".join(words[i] for i in rng.integers(0, 300, 40_000)) for _ in range(14)]
+    for texts in (mixed, [b" ".join(mixed)]):  # many texts, and one as long
+        key, real = lm.positions(texts)
+        want = np.unique(key[real], return_counts=True)
+        tracemalloc.start()
+        got = lm.grams(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        assert most < 16 * sum(map(len, texts))
+    assert [len(x) for x in lm.grams([])] == [0, 0]
+
+
 def test_lanes_score_as_one():
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(97, 103, rng.integers(0, 300)).astype(np.uint8)) for _ in range(40)]
