@@ -131,11 +131,36 @@ def regrouped(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
+#: Edges of a list whose components one task finds; a longer list is joined step by step.
+SHORT = 20_000
+
+
+def joined_ends(batches):
+    """node, root of the edges of Arrow batches (a, b)."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame, name: str, rows: int, most: int = 60) -> DataFrame:
     """Connected components of at most `rows` undirected edges (a long, b long): (node, root), root the smallest node.
 
-    Alternating large-star and small-star steps, each a grouping and a join; a node's neighbours are never gathered
-    in one row, and a hub's rows can be split. Stops when the edges no longer change."""
+    Up to SHORT edges are one task's, as each step of the others takes eight shuffles, whose tasks the driver keeps in
+    mind. Else alternating large-star and small-star steps, each a grouping and a join; a node's neighbours are never
+    gathered in one row, and a hub's rows can be split. Stops when the edges no longer change."""
+    if rows <= SHORT:
+        prepare(edges.sparkSession)
+        return edges.where("a <> b").select("a", "b").coalesce(1).mapInArrow(joined_ends, "node long, root long")
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, rows)
     mark = None
     for _ in range(most):

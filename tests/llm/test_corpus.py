@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from sentrylake.llm import _shared as shared
 from sentrylake.llm import jaccard_join as jj
 from sentrylake.llm import line_dedup as ld
 from sentrylake.llm import lm_scoring as lm
@@ -310,6 +311,19 @@ def test_components(spark):
     assert {got[i] for i in range(61)} == {0} and {v for k, v in got.items() if k >= 100} == {100}
 
 
+def test_components_of_a_short_list_take_one_job(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 50)] + [(rng.randrange(-500, 0), rng.randrange(-500, 0)) for _ in range(300)] + [(7, 7), (9000, 9000)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("short", "short")
+    got = sorted(map(tuple, components(frame, "t", shared.SHORT).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("short"))
+    spark.sparkContext.setJobGroup("long", "long")
+    long = sorted(map(tuple, components(frame, "t", shared.SHORT + 1).collect()))
+    assert got == long and jobs == 1 and max(n for n, _ in got) == 50
+    assert components(frame.where("a > 10000"), "t", 0).collect() == []
+
+
 # --- lines ---
 
 
