@@ -17,8 +17,10 @@ A file: MAGIC, the size of a JSON header and that header (numbers of documents a
 sections, a check sum of all before it.
 
 Ids come from the tokenizers library. Texts are cut where no match of the pattern can span, between a character that
-isn't white space and a space that is followed by another; a worker keeps the words with their ids, and gives the
-library those it hasn't seen, many at once, on lines of their own.
+isn't white space and a space that is followed by another; a worker keeps the words with their ids, looks up a batch's
+distinct words once, and puts the ids of all its words together by their numbers. Words that it hasn't seen are cut
+into the pattern's matches and those asked of the library's model, each once; words with characters whose class could
+differ, or with an added token, go through the library whole, many at once, on lines of their own.
 """
 
 from __future__ import annotations
@@ -27,26 +29,35 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._shared import prepare, scratch, some, stored, text_bytes
+from ._shared import prepare, scratch, stored, text_bytes
+from .token_counts import byte_letters
 
 MAGIC = b"WAVELET1"
 #: Ids of a shard, bytes of text of a task that writes; files up to which each has a task that reads, and of a task beyond.
 SHARD, TASK_BYTES, ALONE, FILES = 1 << 21, 16 << 20, 4096, 16
-#: Words kept with their ids by a worker, and new words that the library gets at once.
-KEPT, ASKED = 800_000, 5_000
+#: Words kept with their ids by a worker (as many older ones beside them), new words that the library gets at once, and bytes of texts whose words are told apart at once.
+KEPT, ASKED, TEXTS = 600_000, 5_000, 8 << 20
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Of words between NULs: other white space than single line feeds inside and a space at the end, and no word at all.
 ODD = re.compile(r"[^\S\n ]|\n[\n \0]|\0[\n \0]| [^\0]")
+#: Matches of the pattern in words whose characters are before U+0180, letters and numbers of every Unicode version alike.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+MATCH = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+BEYOND = re.compile(r"[^\x01-ſ]")
+#: None of these is white space, a letter or a number.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 WRITTEN = "path string, task int, place int, docs long, tokens long, bytes long"
 
@@ -64,19 +75,61 @@ class LibraryIds:
             raise ValueError(f"{path}: an added token spans words")
         if (line := self.library.token_to_id("Ċ")) is None:
             raise ValueError(f"{path}: it has no line feed")
-        self.line = line
+        if file["model"]["type"] != "BPE" or file["model"]["dropout"]:
+            raise ValueError(f"{path}: its model isn't byte-pair merges alone")
+        self.line, self.model = line, self.library.model
+        self.added = re.compile("|".join(re.escape(a["content"]) for a in file["added_tokens"]) or r"(?!)")
+        self.shown = np.zeros(256, "<u4")  # of each byte the letter that the model knows it by; NULs part matches
+        for letter, byte in byte_letters().items():
+            self.shown[byte] = ord(letter)
+        self.shown[0] = ord(" ")
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def asked(self, matches: list[str]) -> list[bytes]:
+        """The ids of matches of the pattern, by the library's model."""
+        raw = np.frombuffer("\0".join(matches).encode(), np.uint8)
+        shown = self.shown[raw].tobytes().decode("utf-32-le").split(" ") if matches else []
+        return [array("I", [t.id for t in self.model.tokenize(x)]).tobytes() for x in shown]
+
     def learn(self, words: list[str]) -> None:
-        """Keep the ids of words, each a line of a text that the library gets; a first word ends with a space and has
-        none before it. What isn't a word between single spaces is kept as None."""
-        if ODD.search("\0".join(["", *words, ""])):
+        """Keep the ids of words; a first word ends with a space and has none before it. What isn't a word between single
+        spaces is kept as None. Matches after a space are kept as the words they are, others (`tails`) apart."""
+        joined = "\0".join(["", *words, ""])
+        if ODD.search(joined):
             bad = [w for w in words if ODD.search(f"\0{w}\0")]
             self.kept.update(dict.fromkeys(bad))
             words = list(set(words).difference(bad))
+        if BEYOND.search(joined.replace("\0", "")) or self.added.search(joined):
+            whole = [w for w in words if BEYOND.search(w) or self.added.search(w)]
+            self.learn_whole(whole)
+            words = list(set(words).difference(whole))
+        alone, ended, stems, ends, other = set(), [], [], [], []
+        for w in words:
+            if w.isalpha():
+                alone.add(w)
+            elif (stem := w.rstrip(MARKS)).isalpha():
+                ended.append(w)
+                stems.append(stem)
+                ends.append(w[len(stem) :])
+            else:
+                other.append(w)
+        cut = [MATCH.findall(w[:-1] if w[-1] == " " else f" {w}") for w in other]
+        alone.update([w for w in stems if w not in self.kept], [m[1:] for ms in cut for m in ms if m[0] == " " and m[1:] not in self.kept])
+        self.kept.update(zip(alone, self.asked([f" {w}" for w in alone]), strict=True))
+        tails = {m for ms in (ends, *cut) for m in ms if m[0] != " " and m not in self.tails}
+        self.tails.update(zip(tails, self.asked(list(tails)), strict=True))
+        for w, stem, end in zip(ended, stems, ends, strict=True):
+            self.kept[w] = self.kept[stem] + self.tails[end]
+        for w, ms in zip(other, cut, strict=True):
+            self.kept[w] = b"".join([self.kept[m[1:]] if m[0] == " " else self.tails[m] for m in ms])
+
+    def learn_whole(self, words: list[str]) -> None:
+        """Keep the ids of words, each a line of a text that the library gets."""
         for at in range(0, len(words), ASKED):
             chunk = words[at : at + ASKED]
             lines = [w[:-1] if w[-1] == " " else f" {w}" for w in chunk]
@@ -90,23 +143,44 @@ class LibraryIds:
                 self.kept[w] = raw[begin:end]
                 begin = end + 4
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        for words in cut:
-            words[0] += " "
-        found = [list(map(self.kept.get, words)) for words in cut]
-        new = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, b in zip(words, ids, strict=True) if b is None}
-        if len(self.kept) > KEPT:  # the words of these texts stay
-            self.kept = {w: b for words, ids in zip(cut, found, strict=True) for w, b in zip(words, ids, strict=True) if b is not None}
-        self.learn(list(new))
-        out = []
-        for text, words, ids in zip(texts, cut, found, strict=True):
-            if None in ids:
-                ids = [self.kept[w] if b is None else b for w, b in zip(words, ids, strict=True)]
-            if None not in ids:
-                out.append(b"".join(ids))
-            else:
-                out.append(b"".join(x.tobytes() for x in self.encoded(SAFE.split(text))) if text else b"")
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        words = cut.flatten().dictionary_encode()
+        starts = np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])
+        names, place = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().copy()
+        firsts = [names[i] + " " for i in place[starts[:-1]].tolist()]
+        place[starts[:-1]] = len(names) + np.arange(len(texts))
+        names += firsts
+        known, odd = list(map(self.kept.get, names)), []
+        if None in known:
+            if len(self.kept) > KEPT:  # the words so far are the older ones, until as many are kept again
+                self.older, self.kept, self.tails = self.kept, {w: b for w, b in zip(names, known, strict=True) if b is not None}, {}
+            new = [k for k, b in enumerate(known) if b is None]
+            again = [(names[k], b) for k in new if (b := self.older.get(names[k])) is not None]
+            self.kept.update(again)
+            self.learn(list({names[k] for k in new}.difference([w for w, _ in again])))
+            for k in new:
+                known[k] = self.kept[names[k]]
+        if None in known:
+            lacks = np.array([b is None for b in known])
+            odd = np.flatnonzero(np.logical_or.reduceat(lacks[place], starts[:-1])).tolist()
+            known = [b or b"" for b in known]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin, n = np.cumsum(size) - size, size[place]
+        end = np.cumsum(n)
+        at = np.repeat(begin[place] - (end - n), n)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
+        out, at = [], 0
+        for hi in (4 * end[starts[1:] - 1]).tolist():
+            out.append(ids[at:hi])
+            at = hi
+        for k in odd:
+            text = texts[k].as_py()
+            out[k] = b"".join(x.tobytes() for x in self.encoded(SAFE.split(text))) if text else b""
         return out
 
 
@@ -216,6 +290,34 @@ class Plane:
         return s * (BLOCK * SUPER) + inner * BLOCK + (np.cumsum(bits, 1) <= left[:, None]).sum(1)
 
 
+#: Numbers that are dealt out, or put back, at once: they stay in a processor's cache.
+NEAR = 1 << 16
+
+
+def parted(a: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The numbers whose bit is unset, then the others, each as they were."""
+    out = np.empty_like(a)
+    zero, one = 0, len(a) - np.count_nonzero(bits)
+    for at in range(0, len(a), NEAR):
+        some, b = a[at : at + NEAR], bits[at : at + NEAR]
+        ones, zeros = np.flatnonzero(b), np.flatnonzero(~b)
+        out[zero : zero + len(zeros)], out[one : one + len(ones)] = some[zeros], some[ones]
+        zero, one = zero + len(zeros), one + len(ones)
+    return out
+
+
+def mixed(a: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """What `parted` made into `a`."""
+    out = np.empty_like(a)
+    zero, one = 0, len(a) - np.count_nonzero(bits)
+    for at in range(0, len(a), NEAR):
+        some, b = out[at : at + NEAR], bits[at : at + NEAR]
+        ones, zeros = np.flatnonzero(b), np.flatnonzero(~b)
+        some[zeros], some[ones] = a[zero : zero + len(zeros)], a[one : one + len(ones)]
+        zero, one = zero + len(zeros), one + len(ones)
+    return out
+
+
 def matrix(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The alphabet, most frequent first, and the planes' bits."""
     count = np.bincount(ids)
@@ -227,10 +329,7 @@ def matrix(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     for k in range(max(len(alphabet) - 1, 0).bit_length() - 1, -1, -1):
         bits = (a & (1 << k)).astype(bool)
         planes.append(bits)
-        out, zeros = np.empty_like(a), len(a) - np.count_nonzero(bits)
-        np.compress(~bits, a, out=out[:zeros])
-        np.compress(bits, a, out=out[zeros:])
-        a = out
+        a = parted(a, bits)
     return alphabet, planes
 
 
@@ -275,10 +374,8 @@ class Shard:
         """All ids: every plane puts the numbers that it has dealt back in their order."""
         number = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bits, out = plane.all(), np.empty_like(number)
-            out[~bits] = number[:zeros]
-            out[bits] = number[zeros:] | number.dtype.type(1 << k)
-            number = out
+            number[zeros:] |= number.dtype.type(1 << k)
+            number = mixed(number, plane.all())
         return self.alphabet[number]
 
     def access(self, positions: np.ndarray) -> np.ndarray:
@@ -313,6 +410,16 @@ class Shard:
         return at
 
 
+def short(batches):
+    """Arrow batches in slices of at most TEXTS bytes of text (the second column), or of one row."""
+    for batch in batches:
+        place = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // TEXTS
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 def tasks_of(docs: DataFrame) -> int:
     """How many ranges of ids the texts are sorted into: as many as their bytes ask for."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -339,8 +446,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, separator: int = 0, sh
             done.append((name, task, len(done), len(doc_ids), size, len(data)))
             doc_ids, held, size = [], [], 0
 
-        for batch in some(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        for batch in short(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1

@@ -44,6 +44,44 @@ def test_ids_are_the_librarys(library, monkeypatch):
         assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts[at : at + 40])] == want[at : at + 40]
 
 
+def test_words_are_asked_of_the_model_by_matches_once(library, monkeypatch):
+    """Every character up to U+0180 beside letters, numbers and marks; the library encodes no such text whole."""
+    chars = [chr(i) for i in range(1, 0x180) if not chr(i).isspace()]
+    texts = [f"a{c}b {c}{c}1 x{c} {c} it{c}s '{c} {c}\n{c}, we've{c}" for c in chars] + ["it's he'll, I'd; we'S 'tis\n'twas ... don't", "word word, word. word", "one"]
+    want = [ids[:-1] for ids in encoded(library, texts)]
+    encode = wavelet.LibraryIds(PATH)
+    matches, ask = [], encode.asked
+    monkeypatch.setattr(encode, "asked", lambda m: [matches.extend(m), ask(m)][1])
+    monkeypatch.setattr(encode, "encoded", lambda _: pytest.fail("a text was encoded whole"))
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == want
+    assert len(matches) == len(set(matches)) and " word" in matches
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts[::-1])] == want[::-1] and len(matches) == len(set(matches))
+    monkeypatch.setattr(wavelet, "KEPT", 0)
+    for t in ("some other words", "word, word", "some words, it's"):  # from the older words, and others again
+        assert np.frombuffer(encode([t])[0], "<u4").tolist() == encoded(library, [t])[0][:-1]
+
+
+def test_slices_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(wavelet, "TEXTS", 10)
+    texts = ["", "abc", "é" * 20, "x", "y" * 9, "z", "", "w"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    got = list(wavelet.short([batch.slice(0, 0), batch, batch.slice(3)]))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts + texts[3:] and len(got) > 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
+def test_parted_and_mixed(monkeypatch, n):
+    monkeypatch.setattr(wavelet, "NEAR", 8)
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 1 << 16, n).astype(np.uint16)
+    for share in (0, 0.3, 1):
+        bits = rng.random(n) < share
+        parted = wavelet.parted(a, bits)
+        assert parted.tolist() == [*a[~bits], *a[bits]] and wavelet.mixed(parted, bits).tolist() == a.tolist()
+
+
 def test_other_files_are_refused(tmp_path):
     with pytest.raises(ValueError, match="spaces"):
         wavelet.LibraryIds(P.path("word_bpe_49k.json"))
