@@ -49,6 +49,14 @@ def lowered(text: str) -> bytes:
     return text.encode().lower()  # bytes.lower() lowers A-Z only
 
 
+def freed(batches):
+    """Arrow batches; what Arrow holds of those before is given back first, as a worker would keep it for good."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 # --- the context tree ---
 
 
@@ -95,19 +103,6 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
 
 
-def parts_of(texts: list[bytes]):
-    """The texts in lists of about PART_BYTES."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t) + DEPTH + 1
-        if size >= PART_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def distinct(texts: list[bytes]) -> np.ndarray:
     """Distinct (DEPTH bytes, byte) as sorted numbers."""
     return grams(texts)[0]
@@ -251,7 +246,7 @@ def counted(docs: DataFrame, training: Column) -> DataFrame:
         if held or apart:
             yield flush()
 
-    rows = docs.select(text_bytes().alias("text"), training.alias("train")).mapInArrow(run, "kind int, key long, n long")
+    rows = docs.select(text_bytes().alias("text"), training.alias("train")).mapInArrow(lambda b: freed(run(b)), "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -317,7 +312,7 @@ def gram_logs(counts: DataFrame) -> DataFrame:
             yield nodes(t.column(0).to_numpy().view(np.uint64), *(t.column(k).to_numpy() for k in (1, 2, 3)))
 
     most = 8 * counts.count()
-    levels = {near: stored(rows.repartition("c").sortWithinPartitions("c").mapInArrow(deepest, NODES), "lm-nodes", most)}
+    levels = {near: stored(rows.repartition("c").sortWithinPartitions("c").mapInArrow(lambda b: freed(deepest(b)), NODES), "lm-nodes", most)}
     parent = lambda d: F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))
     for d in range(near, 0, -1):
         sums = levels[d].groupBy(parent(d).alias("node")).agg(*(F.sum(x).alias(x) for x in ("a", "b", "w")))
@@ -348,7 +343,7 @@ def gram_logs(counts: DataFrame) -> DataFrame:
 
     down = mixed.select(F.shiftrightunsigned("node", 8).alias("c"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "sum", "rest")
     both = rows.select("c", "key", "n", F.lit(0.0).alias("sum"), F.lit(0.0).alias("rest")).unionByName(down)
-    return both.repartition("c").sortWithinPartitions("c").mapInArrow(last, "key long, log double")
+    return both.repartition("c").sortWithinPartitions("c").mapInArrow(lambda b: freed(last(b)), "key long, log double")
 
 
 # --- scores ---
@@ -383,7 +378,10 @@ def restored(data: bytes) -> np.ndarray:
 def wanted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """What a batch asks for: its distinct bytes in context, and its distinct tokens by their hashes, both sorted; and the
     words in the order of the latter (the end token is the empty word)."""
-    words = [*set().union(*(t.split() for t in texts)), b""]
+    words = set()
+    for t in texts:
+        words.update(t.split())
+    words = [*words, b""]
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     h[-1] = END
     order = np.argsort(h, kind="stable")
@@ -422,7 +420,7 @@ def batches_of(docs: DataFrame, training: Column, parts: tuple[int, int]) -> Dat
         if held["text"]:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), training.alias("train")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), training.alias("train")).mapInArrow(lambda b: freed(run(b)), PACKED)
 
 
 ANSWERS = "batch long, kind int, part long, a binary"
@@ -474,7 +472,7 @@ def answers(asked: DataFrame, logs: DataFrame, counts: DataFrame, parts: tuple[i
     table = table.select("kind", "part", F.lit(None).cast("long").alias("batch"), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
     rows = asked.select("kind", "part", "batch", "a", F.lit(b"").alias("b"), F.pmod(F.xxhash64("batch"), F.lit(tasks)).cast("int").alias("task"))
     rows = rows.unionByName(table).repartition(tasks * sum(parts), "kind", "part", "task")
-    return rows.sortWithinPartitions("kind", "part", "task", F.col("batch").asc_nulls_first()).mapInArrow(run, ANSWERS)
+    return rows.sortWithinPartitions("kind", "part", "task", F.col("batch").asc_nulls_first()).mapInArrow(lambda b: freed(run(b)), ANSWERS)
 
 
 def gathered(keys: np.ndarray, parts: int, replies: dict[int, bytes], kind: type) -> np.ndarray:
@@ -487,13 +485,20 @@ def gathered(keys: np.ndarray, parts: int, replies: dict[int, bytes], kind: type
 
 def text_scores(texts: list[bytes], known: np.ndarray, log: np.ndarray) -> np.ndarray:
     """log10 P of each text, its end included; `log` has that of each of `known`, the distinct bytes in context."""
-    sums = []
-    for piece in parts_of(texts):
-        key, real = positions(piece)
-        flat = np.zeros(len(key) + DEPTH)
-        flat[DEPTH:][real] = log[np.searchsorted(known, key[real])]
-        sums.append(np.add.reduceat(flat, np.cumsum([0] + [len(t) + DEPTH + 1 for t in piece[:-1]])))
-    return np.concatenate(sums)
+    b, out = joined(texts), np.zeros(len(texts))
+    starts = np.cumsum([0] + [len(t) + DEPTH + 1 for t in texts[:-1]])
+    for at in range(DEPTH, len(b), PART_BYTES):
+        key, real = places(b[at - DEPTH : at + PART_BYTES])
+        real = np.flatnonzero(real).astype(np.uint64)
+        key = np.sort(key[real] << np.uint64(24) | real)  # with their places, so that those of one key are looked up once, in order
+        place = key & np.uint64((1 << 24) - 1)
+        key >>= np.uint64(24)
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        flat = np.zeros(min(PART_BYTES, len(b) - at))
+        flat[place] = np.repeat(log[np.searchsorted(known, key[first])], np.diff(first, append=len(key)))
+        lo, hi = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(flat))
+        out[lo:hi] += np.add.reduceat(flat, np.maximum(starts[lo:hi] - at, 0))
+    return out
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -543,4 +548,4 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     none = F.lit(None).cast("binary")
     own = rows.where(F.col("kind") == DOCS).select("batch", "kind", "part", "a", "b", "c")
     back = replies.select("batch", "kind", "part", "a", none.alias("b"), none.alias("c"))
-    return own.unionByName(back).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, RESULT)
+    return own.unionByName(back).repartition("batch").sortWithinPartitions("batch").mapInArrow(lambda b: freed(run(b)), RESULT)

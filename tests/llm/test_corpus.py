@@ -150,6 +150,27 @@ def test_grams_of_a_batch_take_the_room_of_a_piece():
     assert [len(x) for x in lm.grams([])] == [0, 0]
 
 
+def test_scores_of_one_long_text_take_the_room_of_a_piece(monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.integers(97, 103, 6).astype(np.uint8)) for _ in range(300)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 300, n)) for n in (560_000, 3, 0, 1, 20)]
+    known = lm.distinct(texts)
+    log = -rng.random(len(known))
+    want = []
+    for t in texts:
+        key, real = lm.positions([t])
+        want.append(log[np.searchsorted(known, key[real])].sum())
+    tracemalloc.start()
+    got = lm.text_scores(texts, known, log)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, rtol=1e-12) and most < 16 * sum(map(len, texts))
+    for size in (1, 7, 64):  # texts that end at, before and after a piece
+        monkeypatch.setattr(lm, "PART_BYTES", size)
+        assert np.allclose(lm.text_scores(texts[1:], known, log), want[1:], rtol=1e-12)
+    assert not len(lm.text_scores([], known, log))
+
+
 def test_lanes_score_as_one():
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(97, 103, rng.integers(0, 300)).astype(np.uint8)) for _ in range(40)]
