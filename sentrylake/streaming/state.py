@@ -120,15 +120,17 @@ def correlation_stream(rows: DataFrame, late: str = "1 minute", wait: int = 5_00
 PORT_SIGNALS = "host string, ordinal long, us long, recent_distinct_ports long"
 
 
-def in_sight(us: np.ndarray, ordinal: np.ndarray, seen: tuple[np.ndarray, np.ndarray, np.ndarray], reach: int = PORTS) -> np.ndarray:
+def in_sight(us: np.ndarray, ordinal: np.ndarray, seen: tuple[np.ndarray, np.ndarray, np.ndarray], reach: int = PORTS, instant: bool = False) -> np.ndarray:
     """How many ports of the sightings (port, us, ordinal) each event has in sight: a port counts from a sighting, of
-    that instant by place, until `reach` after it. Sightings that follow each other within the reach are one stretch."""
+    that instant by place (`instant`: wherever it stands), until `reach` after it. Sightings that follow each other
+    within the reach are one stretch."""
     order = np.lexsort((seen[2], seen[1], seen[0]))
     port, at, place = (x[order] for x in seen)
     new = np.ones(len(at), bool)
     new[1:] = (port[1:] != port[:-1]) | (at[1:] > at[:-1] + reach)
     starts, ends = (at[new], place[new]), np.sort(at[np.roll(new, -1)] if len(at) else at) + reach
-    both = np.lexsort((np.repeat([0, 1], [len(starts[0]), len(us)]), np.concatenate([starts[1], ordinal]), np.concatenate([starts[0], us])))
+    first, place = np.repeat([0, 1], [len(starts[0]), len(us)]), np.concatenate([starts[1], ordinal])
+    both = np.lexsort((place, first, np.concatenate([starts[0], us])) if instant else (first, place, np.concatenate([starts[0], us])))
     begun = np.empty(len(both), np.int64)
     begun[both] = np.cumsum(both < len(starts[0]))
     return begun[len(starts[0]) :] - np.searchsorted(ends, us, side="left")
@@ -137,6 +139,9 @@ def in_sight(us: np.ndarray, ordinal: np.ndarray, seen: tuple[np.ndarray, np.nda
 class Ports(StatefulProcessor):
     """Of a host's slice of time: port -> its sightings that events not yet late can have in sight."""
 
+    def __init__(self, instant: bool = False):
+        self.instant = instant
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sightings = handle.getMapState("sightings", "port long", "us array<long>, places array<long>")
@@ -152,7 +157,7 @@ class Ports(StatefulProcessor):
         known = {p: (t, o) for (p,), (t, o) in self.sightings.iterator()}
         old = [np.array([p for p, (t, _) in known.items() for _ in t], np.int64), *(np.array([x for v in known.values() for x in v[k]], np.int64) for k in (0, 1))]
         seen = tuple(np.concatenate([a, b]) for a, b in zip(old, (port[port > 0], us[port > 0], ordinal[port > 0]), strict=True))
-        count = in_sight(us[own], ordinal[own], seen)
+        count = in_sight(us[own], ordinal[own], seen, instant=self.instant)
         now = max(timerValues.getCurrentWatermarkInMs(), 0)
         open_ = seen[1] >= now * 1000 - PORTS
         fresh = np.arange(len(open_)) >= len(old[0])
@@ -181,16 +186,16 @@ class Ports(StatefulProcessor):
         pass
 
 
-def port_signals(events: DataFrame, late: str = "1 minute") -> DataFrame:
+def port_signals(events: DataFrame, late: str = "1 minute", instant: bool = False) -> DataFrame:
     """Distinct destination ports of the host in the five minutes up to each event, across micro-batches (ts, host,
     ordinal, us, dest_port); 0 without a time or a host. A group is PORT_SLICE of a host, with the sightings of the five
     minutes before it as context, so that a busy host is split by time; without a host, events are dealt by hash.
 
-    An event counts what lies at or before its own place (time, then arrival) and has arrived by then; a late one
-    doesn't count what lies after it."""
+    An event counts what lies at or before its own place (time, then arrival; `instant`: time alone) and has arrived by
+    then; a late one doesn't count what lies after it."""
     stateful(events.sparkSession)
     rows = in_slices(events.withWatermark("ts", late), PORTS, PORT_SLICE)
     rows = rows.withColumn("own", F.col("own_slice") == F.col("slice")).where(F.col("own") | (F.col("dest_port") > 0))
     dealt = F.when(F.col("host").isNull(), -1 - F.pmod(F.xxhash64("ordinal"), F.lit(UNTIMED))).otherwise(F.col("slice"))
     rows = rows.where(F.col("host").isNotNull() | F.col("own")).withColumn("slice", dealt).select("ts", "host", "slice", "ordinal", "us", "dest_port", "own")
-    return rows.groupBy("host", "slice").transformWithStateInPandas(Ports(), PORT_SIGNALS, "append", "eventtime")
+    return rows.groupBy("host", "slice").transformWithStateInPandas(Ports(instant), PORT_SIGNALS, "append", "eventtime")
