@@ -1,7 +1,8 @@
 """Ranked full text: postings by term in sorted files, and the score of the best field.
 
-A segment holds the postings (term, field, id, times, size) of a batch of rows, sorted by range over term and id: a look-up
-reads the row groups whose terms it asks for, by their statistics and Bloom filters, and a frequent term spans files.
+A segment holds the postings (term, field, id, times, size) of a batch of rows. Rows are dealt by a hash of their id, and
+the postings of each part are sorted by term where they are made, so that no posting is shuffled and a file names few
+ids, by a dictionary. A look-up reads the pages whose terms it asks for, by statistics and Bloom filters.
 Beside them are the ids of the batch and, per field, how many rows have it and how long they are together. A row that
 comes again in a later segment counts there alone.
 
@@ -11,15 +12,17 @@ B + B size / mean size)); its score is that of its best field.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.session import Folder
+from ..plans.session import Folder, tidy
 
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 FIELDS = ("summary", "title", "command_line", "log.log_original", "log.log_message")
+#: Bytes of a file's dictionary of ids.
+DICTIONARY = 16 << 20
 POSTINGS = "term string, field string, id string, times long, size long"
 
 
@@ -41,13 +44,29 @@ class TextIndex:
         aren't indexed."""
         at, found = f"{self.path}/segment={batch:09d}", tokens(rows, fields, id_column)
         ids = rows.select(F.col(id_column).cast("string").alias("id")).where("id is not null")
-        ids.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{at}/ids")
-        size = F.size("words").cast("long")
-        found.groupBy("field").agg(F.count("*").alias("n"), F.sum(size).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{at}/fields")
-        words = found.select("field", "id", size.alias("size"), F.explode("words").alias("term"))
-        postings = words.groupBy("term", "field", "id").agg(F.count("*").alias("times"), F.first("size").alias("size"))
-        postings = postings.repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id")
-        postings.select(*(c.split()[0] for c in POSTINGS.split(", "))).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/postings")
+        with tidy(self.spark):
+            self._write_ids(ids, f"{at}/ids")
+            size = F.size("words").cast("long")
+            found.groupBy("field").agg(F.count("*").alias("n"), F.sum(size).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{at}/fields")
+            texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
+            dealt = self._dealt(rows.select(F.col(id_column).cast("string").alias("id"), texts.alias("texts")).where("id is not null"))
+            each = dealt.select("id", F.explode("texts").alias("f")).select("id", "f.field", X.search_tokens(F.col("f.text")).alias("words"))
+            words = each.select("field", "id", size.alias("size"), F.explode("words").alias("term"))
+            postings = words.groupBy("id", "term", "field").agg(F.count("*").alias("times"), F.first("size").alias("size"))  # an id is in one part
+            self._write_postings(postings, f"{at}/postings")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows by a hash of their id, over as many parts as the session shuffles to, however small they are."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "id")
+
+    def _write_ids(self, ids: DataFrame, path: str) -> None:
+        self._dealt(ids).sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def _write_postings(postings: DataFrame, path: str) -> None:
+        """In files by term; ids by dictionary also where there are many."""
+        rows = postings.select(*(c.split()[0] for c in POSTINGS.split(", "))).sortWithinPartitions("term", "field", "id")
+        rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.dictionary.page.size", str(DICTIONARY)).parquet(path)
 
     def segments(self) -> list[str]:
         return [n for n in self.folder.names() if n.startswith("segment=")]
@@ -89,16 +108,22 @@ class TextIndex:
         segments = self.segments()
         if len(segments) < 2:
             return
-        ids = self.table("ids", "id string")
-        last = ids.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("segment")))).where("k = 1").select("id", "segment")
-        kept = self.table("postings", POSTINGS).join(last, ["id", "segment"], "left_semi").drop("segment")
+        last = self.table("ids", "id string").groupBy("id").agg(F.max("segment").alias("segment"))
+        left = {r.segment for r in last.select("segment").distinct().collect()}  # at most one a segment
+        for s in [s for s in segments if int(s[8:]) not in left and s != segments[-1]]:
+            self.folder.delete(s)  # all that it has has come again
+        segments = self.segments()
+        if len(segments) < 2:
+            return
+        last = self.table("ids", "id string").groupBy("id").agg(F.max("segment").alias("segment"))
         at = f"{self.path}/_merged"
         self.folder.delete("_merged")
-        last.select("id").repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{at}/ids")
-        sizes = kept.select("field", "id", "size").distinct()
-        sizes.groupBy("field").agg(F.count("*").alias("n"), F.sum("size").alias("words")).coalesce(1).write.parquet(f"{at}/fields")
-        kept = kept.repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id")
-        kept.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/postings")
+        with tidy(self.spark):
+            self._write_ids(last.select("id"), f"{at}/ids")
+            held = self.table("postings", POSTINGS).join(last, ["id", "segment"], "left_semi").drop("segment")
+            self._write_postings(self._dealt(held), f"{at}/postings")
+            sizes = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings").groupBy("field", "id").agg(F.first("size").alias("size"))
+            sizes.groupBy("field").agg(F.count("*").alias("n"), F.sum("size").alias("words")).coalesce(1).write.parquet(f"{at}/fields")
         self.folder.move("_merged", f"segment={int(segments[-1][8:]) + 1:09d}")  # counts for all before, which now go
         for s in segments:
             self.folder.delete(s)
