@@ -31,3 +31,7 @@ def test_an_id_has_its_postings_in_one_file(spark):
     index.add(rows, 1, ("title",))
     index.merge()  # nothing of the first is left: it goes, the second stays as it is
     assert index.segments() == ["segment=000000001"] and index.search("one").count() == 300
+
+
+def test_latest_sorts_the_columns_asked_for(spark, sf):
+    assert "summary" not in plan(R.alert_latest_versions(spark, sf))
