@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from sentrylake.operators.overview import tagged
 from sentrylake.operators.text_index import TextIndex
 from sentrylake.plans import registry as R
 from sentrylake.plans.session import scratch
@@ -35,3 +36,7 @@ def test_an_id_has_its_postings_in_one_file(spark):
 
 def test_latest_sorts_the_columns_asked_for(spark, sf):
     assert "summary" not in plan(R.alert_latest_versions(spark, sf))
+
+
+def test_tags_are_counted_in_their_row(spark, sf):
+    assert "Window" not in plan(tagged(R.alerts(spark, sf).withColumn("event_day", F.lit("a"))))
